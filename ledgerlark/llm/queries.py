@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, secrets
+from . import langid, licenses, packing, pii, secrets, urls
 from .shared import table
 
 
+#: Key of the pseudonyms in this query; a production run passes its own.
+DEMO_KEY = "pseudonym-key-of-the-query"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return done.selectExpr("doc_id", "text", "cast(size(pii) as bigint) as n_pii", "array_join(sort_array(array_distinct(pii.kind)), ',') as kinds")
+
+
+def held_out() -> Column:
+    """Whether a document belongs to the held-out fold; a null doc_id counts as the empty string."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.train(docs.where(~held_out()).select("text", "lang"))
+    told = langid.predict(docs.select("doc_id", "text"), prototypes)
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    weights = urls.train(urls.labelled_sample(pages))
+    return urls.judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(secrets.labelled_samples(docs))
@@ -40,7 +67,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op4_urls": op4_urls, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
