@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, pii, secrets, urls
+from . import langid, licenses, neardup, packing, pii, secrets, urls, vectors
 from .shared import table
 
 
@@ -38,6 +38,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(secrets.labelled_samples(docs))
@@ -49,6 +53,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(text.format("spans")).alias("spans"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +75,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op4_urls": op4_urls, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
