@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, neardup, packing, pii, secrets, urls, vectors
+from . import chat, decontaminate, langid, licenses, neardup, packing, pii, secrets, urls, vectors
 from .shared import table
 
 
@@ -32,6 +32,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.preference_pairs(convs, chat.pairs_by_opening(convs))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     weights = urls.train(urls.labelled_sample(pages))
@@ -42,6 +47,10 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(secrets.labelled_samples(docs))
@@ -75,7 +84,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op3_preferences": op3_preferences, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op6_decontamination": op6_decontamination, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
