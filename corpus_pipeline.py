@@ -1,8 +1,70 @@
-"""Training-corpus pipeline: its stages are filled in with the operators they call."""
+"""Training-corpus pipeline over the table `documents`: five stages, each written and read again.
 
-STAGES = []
+Language identification drops documents without a language, the similarity join keeps one document of each
+group, decontamination drops documents that hold benchmark items, personal values become pseudonyms, and what
+is left is tokenised and packed.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import decontaminate, langid, neardup, packing, pii
+from ledgerlark.llm.queries import DEMO_KEY
+from ledgerlark.llm.shared import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: null texts and texts without any letter go, all others stay.
+
+    Prototypes are learnt from the labelled rows of `docs`. Without any label nothing is rejected.
+    """
+    prototypes = langid.train(docs.select("text", "lang"))
+    if not prototypes:
+        return docs
+    told = langid.predict(docs, prototypes, names=("lang_pred__", "score__"))
+    return told.where("lang_pred__ != 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id; repeated rows stay once.
+
+    Documents without words link with nothing and stay. Rows with a null doc_id stay unless they are linked
+    to a row with one; those of equal text stay once.
+    """
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
+    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept__"), F.col("text_hash").alias("hash__")).distinct()
+    return docs.join(keep, F.expr("doc_id <=> kept__ and xxhash64(cast(text as string)) = hash__"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window that is similar to a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal numbers and dates replaced; n_chars, where it is there, counts the new text."""
+    done = pii.pseudonymise(docs, DEMO_KEY, found="pii__")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.size("pii__") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pseudonyms), ("packing", packed)]
+
+#: Similarity joins over hashed signatures, learnt prototypes and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

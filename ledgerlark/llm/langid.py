@@ -125,12 +125,12 @@ def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, dims: int = 1024, seed: int = 7) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, dims: int = 1024, seed: int = 7, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """`docs` with lang_pred (a learned language, or `und`) and score (cosine, 0 to 1) of each text.
 
     `und` with score 0 goes to null texts, texts without any letter and, without prototypes, to all. Of equal
     cosines the first language by name wins. Rows stay one for one with all their columns; own columns of
-    these two names are replaced; an empty table stays empty. Texts are read whole.
+    these two names, which `names` can change, are replaced; an empty table stays empty. Texts are read whole.
     """
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs]).astype(np.float32) if langs else None
@@ -151,5 +151,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, dims
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
     told = docs.withColumn("guess__", guess(F.col("text").cast("string")))
-    kept = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score")]
-    return told.select(*kept, F.col("guess__.lang_pred").alias("lang_pred"), F.col("guess__.score").alias("score"))
+    kept = [F.col(c) for c in docs.columns if c not in names]
+    return told.select(*kept, F.col("guess__.lang_pred").alias(names[0]), F.col("guess__.score").alias(names[1]))

@@ -4,8 +4,8 @@ Sets are put into bands of sizes. Within a band, two sets with Jaccard similarit
 differ in at most k elements. The domain of shingles is hashed into n1 partitions of three parts each. With
 n1 > k / 2, sets that close have a partition with at most one difference, hence two of its three parts in
 common: of the three two-part subsets of each partition, one is equal. The hash of a set's elements in such a
-subset is a signature, and sufficiently similar sets share at least one. A set near the upper end of its band
-also signs for the next band.
+subset is a signature, and sufficiently similar sets share at least one. A set near the lower end of its band
+also signs for the band below, where k allows for such guests.
 
 A subset without elements would be shared by everybody. So n1 exceeds what is needed by `spare`
 partitions: a set with at most `spare` partitions that have an empty subset is met by its neighbours in a
@@ -41,6 +41,9 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
+BYTES = mixed(np.arange(1, 257, dtype=U64), 11)[LOWER]
+
+
 @lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x2545F4914F6CDD1D
@@ -56,14 +59,14 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     """
     if not text:
         return np.zeros(0, U64)
-    raw = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     blank = np.concatenate(([True], BLANKS[raw], [True]))
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, U64)
     up, down = _powers(1 << max(16, int(len(raw) + 1).bit_length()))
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(mixed(raw.astype(U64) + U64(1), 11) * up[: len(raw)], dtype=U64)))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTES[raw] * up[: len(raw)], dtype=U64)))
     word = mixed((sums[ends] - sums[starts]) * down[starts], 23)
     size = min(words, len(word))
     out = np.zeros(len(word) - size + 1, U64)
@@ -88,26 +91,34 @@ def band(level: int) -> tuple[int, int]:
 
 @lru_cache(100_000)
 def bands_of(size: int, percent: int) -> tuple[int, ...]:
-    """The band of a size and, where a partner at the threshold may be larger than its end, the next."""
+    """The band of a size and, where a partner at the threshold may be in the band below, that one."""
     level = 0
     while band(level)[1] < size:
         level += 1
-    return (level, level + 1) if 100 * size >= percent * band(level + 1)[0] else (level,)
+    return (level, level - 1) if level and 100 * band(level - 1)[1] >= percent * size else (level,)
 
 
-def shape(level: int, percent: int) -> tuple[int, int]:
-    """(n1, spare) of a band: partitions in all and those that may have an empty subset."""
-    k = 2 * band(level)[1] * (100 - percent) // (100 + percent)
+@lru_cache(4096)
+def shape(level: int, percent: int) -> tuple[int, int, int]:
+    """(k, n1, spare) of a band: the most differences, partitions, and those that may have an empty subset.
+
+    Sets of sizes a <= b at the threshold differ in at most (a + b) * (1 - t) / (1 + t) elements, where a is in
+    the band and b is at most a / t.
+    """
+    hi = band(level)[1]
+    k = (hi + hi * 100 // percent) * (100 - percent) // (100 + percent)
     need = k // 2 + 1
-    spare = 1 + need // 8 if k else 0
-    return need + spare, spare
+    spare = 1 + need // 6
+    return k, need + spare, spare
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """The distinct signatures of a set of at least one element."""
     out = []
     for level in bands_of(len(elements), percent):
-        n1, spare = shape(level, percent)
+        k, n1, spare = shape(level, percent)
+        if not k:
+            continue  # equal sets only, and those are one node
         for turn in range(LEVELS):
             part = (mixed(elements, 1000 + turn) % U64(3 * n1)).astype(np.int64)
             sums = np.zeros(3 * n1, U64)
@@ -125,7 +136,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
             out += [sig if keep_all else sig[ok] for ok, sig in full]
             if last:
                 break
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
 def overlap_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,17 +152,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and the fingerprint `node` of the set of each row; null without shingles."""
+    """doc_id, xxhash64 of the text, n_shingles and the fingerprint `node` of the set of each row; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingle_set(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in made], pa.int64()), pa.array([fingerprint(x) if len(x) else None for x in made], pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in made], pa.int64()), pa.array([fingerprint(x) if len(x) else None for x in made], pa.int64())],
+                names=["doc_id", "text_hash", "n_shingles", "node"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint")
 
 
 def signed(docs: DataFrame, words: int, percent: int, hot: int = 64) -> DataFrame:
@@ -177,10 +188,11 @@ def signed(docs: DataFrame, words: int, percent: int, hot: int = 64) -> DataFram
             if not sigs:
                 continue
             sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
-            _, first, back, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
-            many = times[back] > hot
+            ordered = np.sort(sig)
+            common = np.unique(ordered[hot:][ordered[hot:] == ordered[:-hot]]) if len(sig) > hot else sig[:0]
+            many = np.isin(sig, common) if len(common) else np.zeros(len(sig), bool)
             salt = np.where(many, 1 + (mixed(node.view(U64), 3) % U64(1024)).astype(np.int32), 0).astype(np.int32)
-            also = first[times > hot]
+            also = np.flatnonzero(many)[np.unique(sig[many], return_index=True)[1]]
             for at in range(0, len(sig), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (sig, salt, node)], names=["sig", "salt", "node"])
             if len(also):
@@ -189,6 +201,27 @@ def signed(docs: DataFrame, words: int, percent: int, hot: int = 64) -> DataFram
     return _texts(docs).where("text is not null").select("text").mapInArrow(run, "sig bigint, salt int, node bigint")
 
 
+def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The distinct (sig, node) of signatures that more than one node has."""
+    key = Window.partitionBy("sig", "salt")
+    spread = signed(docs, words, percent).withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key))
+    return written(spread.where("salt > 0 or lo < hi").select("sig", "node").distinct(), "shared")
+
+
+def elements_of(docs: DataFrame, nodes: DataFrame, shared: DataFrame, words: int) -> DataFrame:
+    """(node, elements): the sets of the nodes in `shared`, as bytes, each from one row that has it."""
+    firsts = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = shared.select("node").distinct().join(firsts, "node").select("doc_id", F.col("node").alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [(n, x) for n, t in zip(batch.column("wanted").to_pylist(), batch.column("text")) if fingerprint(x := shingle_set(t.as_py(), words)) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([x.tobytes() for _, x in keep], pa.binary())], names=["node", "elements"])
+
+    texts = _texts(docs).where("text is not null").withColumnRenamed("doc_id", "id").join(wanted, F.expr("id <=> doc_id"))
+    return written(texts.select("wanted", "text").mapInArrow(run, "node bigint, elements binary").dropDuplicates(["node"]), "elements")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets, looked up in `sets`, are similar enough."""
 
@@ -203,12 +236,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row: the smallest doc_id that links reach.
+    """doc_id, text_hash, n_shingles and component_id of each row: the smallest doc_id that links reach.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Rows with equal sets are
     one node. Null texts and texts without words have no shingles and link with nothing, not even with each
     other. Repeated rows come out once each; rows with a null doc_id stay, but lend no number to their
     component, which is null if they are all it has. An empty table gives no rows. Other columns are not read.
+    text_hash, xxhash64 of the text, tells rows of one doc_id apart.
 
     Sets that share a signature are candidates. In each of a few rounds every set is compared with one other
     set of its signatures, the same for all as far as can be, and linked sets merge, so a group of thousands
@@ -216,22 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     compared, so the result is that of comparing all pairs of sets.
     """
     nodes = written(sets_of(docs, words), "sets")
-    rows = signed(docs, words, percent)
-    key = Window.partitionBy("sig", "salt")
-    spread = rows.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key))
-    shared = written(spread.where("salt > 0 or lo < hi").select("sig", "node").distinct(), "shared")
+    shared = shared_signatures(docs, words, percent)
     free_shuffles(docs.sparkSession)
-
-    firsts = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("node").distinct().join(firsts, "node").select("doc_id", F.col("node").alias("wanted"))
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [(n, x) for n, t in zip(batch.column("wanted").to_pylist(), batch.column("text")) if fingerprint(x := shingle_set(t.as_py(), words)) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([x.tobytes() for _, x in keep], pa.binary())], names=["node", "elements"])
-
-    texts = _texts(docs).withColumnRenamed("doc_id", "id").join(wanted, F.expr("id <=> doc_id"))
-    sets = written(texts.select("wanted", "text").mapInArrow(elements, "node bigint, elements binary").dropDuplicates(["node"]), "elements")
+    sets = elements_of(docs, nodes, shared, words)
     free_shuffles(docs.sparkSession)
 
     links = written(docs.sparkSession.createDataFrame([], "a bigint, b bigint"), "near")
@@ -257,4 +278,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     of_node = nodes.where("node is not null").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = of_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_node.select("node", "component").distinct().join(ids, "component").select("node", "component_id")
-    return nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return nodes.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

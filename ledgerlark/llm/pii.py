@@ -138,10 +138,10 @@ def pseudonym(cipher: Cipher) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
-    """`docs` with personal values in `text` replaced, and the column `pii` of what was replaced.
+def pseudonymise(docs: DataFrame, key: str, back: bool = False, found: str = "pii") -> DataFrame:
+    """`docs` with personal values in `text` replaced, and the column `pii` (or `found`) of what was replaced.
 
-    `pii` is an array of (kind, value), values being the pseudonyms in order of place; an own column of that
+    It is an array of (kind, value), values being the pseudonyms in order of place; an own column of that
     name in `docs` is replaced. Kinds: email, iban (mod 97), date (of the calendar, 1800 to 2199), ssn (US
     rules), ip (octets below 256), phone (7 to 14 digits after the country code), card (13 to 19 digits,
     Luhn). Matches that fail their rule stay as they are. Null text stays null and, like an empty one, holds
@@ -149,9 +149,9 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     Texts are searched whole. `back` with the same key restores the original values.
     """
     value = pseudonym(Cipher(key, back=back))
-    found = f"transform(regexp_extract_all(text, r'{PATTERN}', 0), m -> {value})"
+    replaced = f"transform(regexp_extract_all(text, r'{PATTERN}', 0), m -> {value})"
     none = "cast(array() as array<struct<kind:string,value:string>>)"
-    rows = docs.withColumn("pii", F.expr(f"if(text rlike '[0-9@]' and text rlike r'{PATTERN}', {found}, {none})"))
+    rows = docs.withColumn(found, F.expr(f"if(text rlike '[0-9@]' and text rlike r'{PATTERN}', {replaced}, {none})"))
     gaps = f"split(text, r'{PATTERN}', -1)"
-    text = f"if(size(pii) > 0, array_join(transform({gaps}, (g, i) -> concat(g, coalesce(get(pii, i).value, ''))), ''), text)"
-    return rows.withColumn("text", F.expr(text)).withColumn("pii", F.expr("filter(pii, x -> x.kind is not null)"))
+    text = f"if(size({found}) > 0, array_join(transform({gaps}, (g, i) -> concat(g, coalesce(get({found}, i).value, ''))), ''), text)"
+    return rows.withColumn("text", F.expr(text)).withColumn(found, F.expr(f"filter({found}, x -> x.kind is not null)"))
