@@ -88,3 +88,31 @@ def adoption_page_check(totals: DataFrame) -> DataFrame:
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / R.ADOPTION_PAGE_SIZE)).cast("long")
     rows = F.when(F.col("page") < pages, F.lit(R.ADOPTION_PAGE_SIZE)).when(F.col("page") == pages, F.col("total") - (pages - 1) * R.ADOPTION_PAGE_SIZE)
     return totals.select("*", pages.alias("pages"), rows.cast("long").alias("expected_rows"))
+
+
+def adoption_violations(rows: DataFrame, prefecture: str = "", subsidy: str = "") -> DataFrame:
+    """Rows of adoption pages that break the search: another prefecture or programme, or a repeated id."""
+    wrong = F.lit(False)
+    if prefecture:
+        wrong = wrong | ~F.col("prefecture").eqNullSafe(F.lit(prefecture))
+    if subsidy:
+        wrong = wrong | ~F.col("subsidy").eqNullSafe(F.lit(subsidy))
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated").alias("reason"))
+    return rows.where(wrong).select("id", F.lit("filter").alias("reason")).unionByName(repeated)
+
+
+def adoption_criteria(params: dict[str, list[str]], programmes: set[str]) -> dict[str, str | int]:
+    """page (1 to 20,000), keyword (20 code points), prefecture (01 to 47) and programme, each given once at most."""
+    if any(len(v) > 1 for v in params.values()):
+        raise ValueError("given twice")
+    one = {k: v[0].strip() for k, v in params.items() if v}
+    page, keyword, prefecture, programme = one.get("page", "1"), one.get("keyword", ""), one.get("prefecture", ""), one.get("subsidy", "")
+    if not (page.isascii() and page.isdigit() and len(page) <= 5 and 1 <= int(page) <= 20_000):
+        raise ValueError("page")
+    if len(keyword) > 20:
+        raise ValueError("keyword")
+    if prefecture and not (len(prefecture) == 2 and prefecture.isascii() and prefecture.isdigit() and 1 <= int(prefecture) <= 47):
+        raise ValueError("prefecture")
+    if programme and programme not in programmes:
+        raise ValueError("subsidy")
+    return {"page": int(page), "keyword": keyword, "prefecture": prefecture, "subsidy": programme}

@@ -324,3 +324,24 @@ def record_urls(spark, sf_dir):
 def count_texts(spark, sf_dir):
     text = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("0"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderstatus") == "F", F.format_number("o_orderkey", 0)).otherwise(F.col("o_orderkey").cast("string"))
     return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_count(text).alias("n"))
+
+
+@query("""SELECT CAST(0 AS BIGINT) + count_if(o_orderstatus = 'P') AS foreign_rows, count_if(o_orderpriority = '5-LOW') AS incomplete,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated FROM orders""")
+def public_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey as id", "if(o_orderpriority = '5-LOW', null, o_orderpriority) as organization", "'x' as corporateNumber", "'k' as sourceKey", "o_orderstatus as stage",
+        "if(o_orderstatus = 'P', 'other', 'own') as ingestSource",
+    )
+    return files.public_violations(rows, "own").selectExpr("foreign as foreign_rows", "incomplete", "repeated")
+
+
+@query("SELECT DISTINCT id, reason FROM (SELECT CAST(c_nationkey AS VARCHAR) AS id, 'filter' AS reason FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'repeated' FROM customer GROUP BY c_nationkey HAVING count(*) > 1)")
+def adoption_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("cast(c_nationkey as string) as id", "'x' as prefecture", "c_mktsegment as subsidy")
+    return search.adoption_violations(rows, subsidy="BUILDING").distinct()
+
+
+@query("SELECT lang, count(*) AS n_rows, count(DISTINCT source) AS sources, count_if(text IS NULL) AS blank FROM documents GROUP BY 1")
+def group_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("sources"), F.count_if(F.col("text").isNull()).alias("blank"))

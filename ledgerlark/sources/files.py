@@ -99,3 +99,28 @@ def set_hash(df: DataFrame, by: list[str], key: str, buckets: int = 4096) -> Dat
     bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("long") % buckets
     leaves = df.groupBy(*by, bucket.alias("bucket__")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("leaf__"))
     return leaves.groupBy(*by).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket__", "leaf__"))), lambda x: x["leaf__"]), "\n"), 256).alias("set_hash"))
+
+
+def file_receipts(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes and sha256 of every JSON file of a published version; files are hashed where they are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return found.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_release(published: DataFrame, receipts: DataFrame) -> None:
+    """Files must be the same by name, size and hash on both sides; the first three differences are named."""
+    a, b = published.alias("a"), receipts.alias("b")
+    differ = a.join(b, "file", "full_outer").where("not (a.bytes <=> b.bytes) or not (a.sha256 <=> b.sha256)")
+    if bad := [r["file"] for r in differ.select("file").orderBy("file").limit(3).collect()]:
+        raise GateError(f"files differ from the receipt: {', '.join(bad)}")
+
+
+def public_violations(rows: DataFrame, ingest: str) -> DataFrame:
+    """One row of counters: records of another source, without required fields, or with a repeated id."""
+    required = F.lit(False)
+    for c in ("id", "organization", "corporateNumber", "sourceKey", "stage"):
+        required = required | (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"))
+    counts = rows.agg(F.count_if(~F.col("ingestSource").eqNullSafe(F.lit(ingest))).alias("foreign"), F.count_if(required).alias("incomplete"), F.count_if(~S.valid_corporate_number(F.col("corporateNumber"))).alias("bad_number"))
+    return counts.join(repeated, how="cross")  # one row with one row

@@ -106,3 +106,28 @@ def test_dashboard_contract(spark):
     pages = spark.createDataFrame([(0, head + row(good)), (1, swapped + row(good)), (2, head + row(good) * 2), (3, head + row([*good[:5], "", *good[6:]]))], "i int, html string")
     got = [(r.subsidies, r.procurements) for r in files.dashboard_counts(pages, "html", "省").orderBy("i").collect()]
     assert got == [(1234, 56), (None, None), (None, None), (None, 56)]
+
+
+def test_release_receipts(spark, subsidy, tmp_path):
+    path = files.publish(normalize.import_kind(subsidy, "subsidy")[0], f"{tmp_path}/site", "one")
+    receipts = files.file_receipts(spark, path)
+    assert receipts.count() == 2
+    files.verify_release(receipts, receipts)
+    with pytest.raises(continuity.GateError, match="files differ"):
+        files.verify_release(receipts, receipts.limit(1))
+
+
+def test_adoption_rules(spark):
+    rows = spark.createDataFrame([("a", "01", "p"), ("a", "01", "p"), ("b", "02", "p"), ("c", "01", "q")], "id string, prefecture string, subsidy string")
+    assert sorted(map(tuple, search.adoption_violations(rows, "01", "p").collect())) == [("a", "repeated"), ("b", "filter"), ("c", "filter")]
+    assert search.adoption_criteria({"page": ["20000"], "keyword": ["😀" * 20], "prefecture": ["47"], "subsidy": ["p"]}, {"p"})["page"] == 20000
+    for bad in ({"page": ["0"]}, {"page": ["20001"]}, {"page": ["1", "2"]}, {"keyword": ["😀" * 21]}, {"prefecture": ["48"]}, {"subsidy": ["x"]}):
+        with pytest.raises(ValueError):
+            search.adoption_criteria(bad, {"p"})
+
+
+def test_embedded_json(spark):
+    text = '{"props":{"pageProps":{"count":"1","total":1,"listView":[{"id":"x","name":" 甲社 ","address":"東京都","subsidy":"s","year":"2025","times":"3","plan":"p"}]}}}'
+    pages = spark.createDataFrame([(1, f'<script id="__NEXT_DATA__" type="application/json">{text}</script>'), (2, "<html></html>"), (3, None)], "page int, html string")
+    [row] = files.adoption_rows(pages, "html").collect()
+    assert (row.page, row.total, row.id, row.name, row.prefecture, row.round) == (1, 1, "x", "甲社", "東京都", "3")
