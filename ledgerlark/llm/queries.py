@@ -34,7 +34,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat.conversations(table(spark, sf_dir, "conversations"))
-    return chat.preference_pairs(convs, chat.pairs_by_opening(convs))
+    pairs = {"opening": chat.pairs_by_opening(convs), "reply": chat.pairs_by_reply(convs)}
+    done = [chat.preference_pairs(p).withColumn("kind", F.lit(kind)) for kind, p in pairs.items()]
+    spans = "array_join(transform({}, s -> concat(cast(s.start as string), ':', cast(s.end as string))), ',')"
+    return done[0].unionByName(done[1]).withColumns({c: F.expr(spans.format(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +86,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_render(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
+
+
+def _sql_mask(turns: str) -> str:
+    upto = f"coalesce(list_sum(list_transform({turns}[1:i], lambda t: length(t.role) + length(t.text) + 13)), 0)"
+    span = f"CAST(CAST({upto} AS BIGINT) - length({turns}[i].text) - 8 AS VARCHAR) || ':' || CAST(CAST({upto} AS BIGINT) - 1 AS VARCHAR)"
+    kept = f"list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant')"
+    return f"coalesce(array_to_string(list_transform({kept}, lambda i: {span}), ','), '')"
+
+
+OP3_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM t GROUP BY 1),
+f AS (SELECT turns[1] AS opening, min(conv_id) AS first_id FROM c GROUP BY 1),
+p AS (SELECT 'opening' AS kind, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS c, b.turns AS r FROM c b JOIN f ON b.turns[1] = opening JOIN c a ON a.conv_id = first_id WHERE a.turns <> b.turns
+  UNION ALL SELECT 'reply', a.conv_id, b.conv_id, a.turns, list_append(a.turns[1:len(a.turns) - 1], b.turns[-1]) FROM c a JOIN c b ON b.conv_id = a.conv_id + 1
+  WHERE a.turns[-1].role = 'assistant' AND b.turns[-1].role = 'assistant' AND a.turns[-1].text <> b.turns[-1].text),
+n AS (SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])[1] - 1, least(len(c), len(r))) AS k FROM p),
+s AS (SELECT kind, chosen_id, rejected_id, CAST(k AS BIGINT) AS n_common, c[1:k] AS h, c[k + 1:] AS x, r[k + 1:] AS y FROM n)
+SELECT kind, chosen_id, rejected_id, n_common, {_sql_render("h")} AS prompt, {_sql_render("x")} AS chosen, {_sql_mask("x")} AS chosen_mask, {_sql_render("y")} AS rejected, {_sql_mask("y")} AS rejected_mask FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op3_preferences": op3_preferences, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op6_decontamination": op6_decontamination, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preferences": OP3_SQL}
