@@ -147,6 +147,28 @@ def overlap_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in 2^j hash buckets, about two buckets or more for each element.
+
+    Bits in which two sketches differ are differences of the sets, so their number bounds these from below.
+    """
+    bits = 1 << max(6, int(2 * len(elements)).bit_length())
+    held = np.bincount((mixed(elements, 555) % U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the wider ones folded to the narrowest."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches]).view(U64)
+
+
+def may_be_near(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the folded sketches don't rule out the threshold."""
+    least = np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64)
+    return least * (100 + percent) <= (100 - percent) * (size + sizes)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -165,11 +187,12 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint")
 
 
-def signed(docs: DataFrame, words: int, percent: int, hot: int = 64) -> DataFrame:
-    """(sig, salt, node): the signatures of the distinct sets of each task.
+def signed(docs: DataFrame, words: int, percent: int, slots: int, hot: int = 64) -> DataFrame:
+    """(slot, hot, node, sigs): the signatures of the distinct sets of each task, put together by slot.
 
-    A signature that more than `hot` sets of one batch share is known to be shared. Its rows are dealt out by
-    a salt, and one of them goes, unsalted, to where the signature's other rows meet.
+    A signature lies in one slot, which the rows of a set share a shuffle row for. A signature that more than
+    `hot` sets of one batch have is known to be shared. Its rows are marked and dealt out over the slots, and
+    one of them goes, unmarked, to where the signature's other rows meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,46 +203,77 @@ def signed(docs: DataFrame, words: int, percent: int, hot: int = 64) -> DataFram
                 made = shingle_set(text.as_py(), words)
                 if len(made) and (node := fingerprint(made)) not in seen:
                     seen.add(node)
-                    own = signatures(made, percent)
-                    sigs.append(own)
-                    nodes.append(np.full(len(own), node, np.int64))
+                    sigs.append(signatures(made, percent))
+                    nodes.append(node)
                 if len(seen) > 1_000_000:
                     seen.clear()
-            if not sigs:
+            if not nodes:
                 continue
-            sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            sig, row = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
             ordered = np.sort(sig)
             common = np.unique(ordered[hot:][ordered[hot:] == ordered[:-hot]]) if len(sig) > hot else sig[:0]
             many = np.isin(sig, common) if len(common) else np.zeros(len(sig), bool)
-            salt = np.where(many, 1 + (mixed(node.view(U64), 3) % U64(1024)).astype(np.int32), 0).astype(np.int32)
             also = np.flatnonzero(many)[np.unique(sig[many], return_index=True)[1]]
-            for at in range(0, len(sig), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (sig, salt, node)], names=["sig", "salt", "node"])
-            if len(also):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[also]), pa.array(np.zeros(len(also), np.int32)), pa.array(node[also])], names=["sig", "salt", "node"])
-
-    return _texts(docs).where("text is not null").select("text").mapInArrow(run, "sig bigint, salt int, node bigint")
+            sig, row, many = np.concatenate((sig, sig[also])), np.concatenate((row, row[also])), np.concatenate((many, np.zeros(len(also), bool)))
+            own = np.array(nodes, np.int64)
+            slot = (np.where(many, mixed(own.view(U64)[row] ^ sig, 3), mixed(sig, 9)) % U64(slots)).astype(np.int64)
+            group = (row * slots + slot) * 2 + many
+            order = np.argsort(group, kind="stable")
+            group, sig = group[order], sig[order].view(np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
+            ends = np.append(starts[1:], len(group))
+            for at in range(0, len(starts), 20_000):
+                part, lo = starts[at : at + 20_000], starts[at]
+                hi, keys = ends[min(at + 20_000, len(ends)) - 1], group[part]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(part - lo, hi - lo).astype(np.int32)), pa.array(sig[lo:hi]))
+                columns = [pa.array((keys // 2 % slots).astype(np.int32)), pa.array(keys % 2 == 1), pa.array(own[keys // 2 // slots]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "hot", "node", "sigs"])
+
+    return _texts(docs).where("text is not null").select("text").mapInArrow(run, "slot int, hot boolean, node bigint, sigs array<bigint>")
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The distinct (sig, node) of signatures that more than one node has."""
-    key = Window.partitionBy("sig", "salt")
-    spread = signed(docs, words, percent).withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key))
-    return written(spread.where("salt > 0 or lo < hi").select("sig", "node").distinct(), "shared")
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signed(docs, words, percent, slots).repartition("slot").select("slot", "hot", "node", F.explode("sigs").alias("sig"))
+    key = Window.partitionBy("slot", "sig")  # rows of a slot are together already
+    spread = rows.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key))
+    return written(spread.where("hot or lo < hi").select("sig", "node").distinct(), "shared")
 
 
 def elements_of(docs: DataFrame, nodes: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """(node, elements): the sets of the nodes in `shared`, as bytes, each from one row that has it."""
+    """(node, size, sketch, elements) of the nodes in `shared`, sets as bytes, each from one row that has it."""
     firsts = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = shared.select("node").distinct().join(firsts, "node").select("doc_id", F.col("node").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [(n, x) for n, t in zip(batch.column("wanted").to_pylist(), batch.column("text")) if fingerprint(x := shingle_set(t.as_py(), words)) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([x.tobytes() for _, x in keep], pa.binary())], names=["node", "elements"])
+            columns = [pa.array([n for n, _ in keep], pa.int64()), pa.array([len(x) for _, x in keep], pa.int64()), pa.array([sketch(x) for _, x in keep], pa.binary()), pa.array([x.tobytes() for _, x in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "elements"])
 
     texts = _texts(docs).where("text is not null").withColumnRenamed("doc_id", "id").join(wanted, F.expr("id <=> doc_id"))
-    return written(texts.select("wanted", "text").mapInArrow(run, "node bigint, elements binary").dropDuplicates(["node"]), "elements")
+    return written(texts.select("wanted", "text").mapInArrow(run, "node bigint, size bigint, sketch binary, elements binary").dropDuplicates(["node"]), "elements")
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for side, to in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"{to}_size"), F.col(column).alias(to)), side)
+    return pairs.select("a", "b", "left", "right", "left_size", "right_size")
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "left_size", "right_size"))):
+                two = folded([x, y])
+                ok.append(bool(may_be_near(two[0], two[1:], n, np.array([m]), percent)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    return _with_both(pairs, sets, "sketch").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,11 +282,53 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [overlap_enough(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column("left"), batch.column("right"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    return _with_both(pairs, sets, "elements").mapInArrow(run, "a bigint, b bigint")
+
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+def open_pairs(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Distinct pairs of members of a signature in different components that their sketches don't rule out.
+
+    A signature's members are cut into blocks and every two blocks meet in a task, so a signature of any size
+    is compared in bounded memory; pairs that are ruled out never leave the task.
+    """
+    cut = sigs.select("sig", F.ceil(F.col("held") / block).cast("int").alias("blocks"))
+    rows = members.join(cut, "sig").join(sets.select("node", "size", "sketch"), "node")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("sig", F.least("side", "other"), F.greatest("side", "other")).alias("task"), "side", (F.col("side") == F.col("other")).alias("own"), "node", "component", "size", "sketch")
+
+    def pairs_in(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        if part.num_rows < 2:
+            return
+        node, component, size, side = (part.column(c).to_numpy() for c in ("node", "component", "size", "side"))
+        words, alone = folded(part.column("sketch").to_pylist()), part.column("own").to_numpy().all()
+        for i in range(len(node) - 1):
+            apart = component[i + 1 :] != component[i]
+            if not alone:
+                apart &= side[i + 1 :] != side[i]
+            at = i + 1 + np.flatnonzero(apart)
+            at = at[may_be_near(words[i], words[at], size[i], size[at], percent)] if len(at) else at
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            ends = [*(np.flatnonzero(task[1:] != task[:-1]) + 1), len(task)]
+            start = 0
+            for end in ends:
+                part = batch.slice(start, end - start)
+                if rest and rest[0].column("task")[0] != part.column("task")[0]:
+                    yield from pairs_in(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(part)
+                start = end
+        if rest:
+            yield from pairs_in(pa.Table.from_batches(rest))
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
@@ -247,7 +343,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     Sets that share a signature are candidates. In each of a few rounds every set is compared with one other
     set of its signatures, the same for all as far as can be, and linked sets merge, so a group of thousands
     of near copies is not expanded to pairs. The pairs that still lie in different components are then all
-    compared, so the result is that of comparing all pairs of sets.
+    compared, so the result is that of comparing all pairs of sets. Sketches, which bound the differences of two
+    sets from below, rule out most pairs before whole sets are looked up.
     """
     nodes = written(sets_of(docs, words), "sets")
     shared = shared_signatures(docs, words, percent)
@@ -257,23 +354,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
 
     links = written(docs.sparkSession.createDataFrame([], "a bigint, b bigint"), "near")
     members = shared.withColumn("component", F.col("node"))
-    for turn in range(star_rounds + 1):
-        last = turn == star_rounds
+    turn, n_more = 0, 1
+    while True:
+        last = turn >= star_rounds or not n_more
         if turn:
             found = components(links)
             members = shared.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        mixed_sigs = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("component", F.lit(turn)), "component", "node")).alias("hub")).where("lo < hi")
+        hub = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("order"), "component", "node")).alias("hub")
+        sigs = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"), hub)
+        sigs = written(sigs.where("lo < hi"), "sigs")  # both sides of a join on it are read from shuffles, so its tasks can be split
         if last:
-            open_rows = written(members.join(mixed_sigs.select("sig"), "sig", "left_semi"), "open")
-            other = open_rows.select("sig", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = open_rows.join(other, "sig").where("component < other").select(F.col("node").alias("a"), "b").distinct()
+            pairs = open_pairs(members, sigs, sets, percent)
         else:
-            pairs = members.join(mixed_sigs.select("sig", "hub"), "sig").where("component != hub.component")
-            pairs = pairs.groupBy("node").agg(F.min(F.struct("hub.col1", "hub.node")).alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        more = written(verified(pairs, sets, percent), "near")
+            pairs = members.join(sigs.select("sig", "hub"), "sig").where("component != hub.component")
+            pairs = pairs.groupBy("node").agg(F.min(F.struct("hub.order", "hub.node")).alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+            pairs = sketched(pairs, sets, percent)
+        near = written(pairs, "candidates")
+        free_shuffles(docs.sparkSession)
+        more = written(verified(near, sets, percent), "near")
         n_more = more.count()
+        free_shuffles(docs.sparkSession)
         if n_more:
             links = written(links.unionByName(more), "near")
+        if last:
+            break
+        turn += 1
     found = components(links)
     of_node = nodes.where("node is not null").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = of_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,16 @@ def drop_written(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: it does so once their plans are collected."""
+    """Let Spark remove the shuffle files of finished steps, which it does once their plans are collected.
+
+    The session keeps the last plan, so a small query takes its place; the driver's Python lets go of its
+    plans in the background, hence the pauses.
+    """
     gc.collect()
+    spark.range(1).count()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -89,3 +89,30 @@ def test_components(spark, links):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == closure({x for e in real for x in e}, real)
+
+
+def test_signatures_that_many_share_and_blocks(spark, monkeypatch):
+    """Over 64 sets with one signature in a batch, and more members than a block holds."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, line = [word() for _ in range(60)], [word() for _ in range(12)]
+    rows = [(i, " ".join([*base[: 60 - i % 9], word()])) for i in range(150)]
+    rows += [(200 + i, " ".join([*line, *(word() for _ in range(4))])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    marked = neardup.signed(docs, 5, 80, slots=4)
+    assert marked.where("hot").count() > 0
+    plain = neardup.open_pairs
+    monkeypatch.setattr(neardup, "open_pairs", lambda *a: plain(*a, block=16))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, star_rounds=1).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), np.int64).astype(np.uint64))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, len(a))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 300)), np.int64).astype(np.uint64))))
+        x, y = neardup.folded([neardup.sketch(a), neardup.sketch(b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        if neardup.overlap_enough(a, b, 80):
+            assert neardup.may_be_near(x, y[None, :], len(a), np.array([len(b)]), 80)[0]
