@@ -187,54 +187,60 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint")
 
 
-def signed(docs: DataFrame, words: int, percent: int, slots: int, hot: int = 64) -> DataFrame:
+def signed(docs: DataFrame, words: int, percent: int, slots: int, hot: int = 64, most: int = 400_000) -> DataFrame:
     """(slot, hot, node, sigs): the signatures of the distinct sets of each task, put together by slot.
 
     A signature lies in one slot, which the rows of a set share a shuffle row for. A signature that more than
-    `hot` sets of one batch have is known to be shared. Its rows are marked and dealt out over the slots, and
+    `hot` sets have, of those that a task holds at a time (up to `most` signatures), is known to be shared. Its rows are marked and dealt out over the slots, and
     one of them goes, unmarked, to where the signature's other rows meet.
     """
 
+    def packed(sigs: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        sig, row = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
+        ordered = np.sort(sig)
+        common = np.unique(ordered[hot:][ordered[hot:] == ordered[:-hot]]) if len(sig) > hot else sig[:0]
+        many = np.isin(sig, common) if len(common) else np.zeros(len(sig), bool)
+        also = np.flatnonzero(many)[np.unique(sig[many], return_index=True)[1]]
+        sig, row, many = np.concatenate((sig, sig[also])), np.concatenate((row, row[also])), np.concatenate((many, np.zeros(len(also), bool)))
+        own = np.array(nodes, np.int64)
+        slot = (np.where(many, mixed(own.view(U64)[row] ^ sig, 3), mixed(sig, 9)) % U64(slots)).astype(np.int64)
+        group = (row * slots + slot) * 2 + many
+        order = np.argsort(group, kind="stable")
+        group, sig = group[order], sig[order].view(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
+        ends = np.append(starts[1:], len(group))
+        for at in range(0, len(starts), 20_000):
+            part, lo = starts[at : at + 20_000], starts[at]
+            hi, keys = ends[min(at + 20_000, len(ends)) - 1], group[part]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(part - lo, hi - lo).astype(np.int32)), pa.array(sig[lo:hi]))
+            columns = [pa.array((keys // 2 % slots).astype(np.int32)), pa.array(keys % 2 == 1), pa.array(own[keys // 2 // slots]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "hot", "node", "sigs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs, nodes, held = [], [], 0
         for batch in batches:
-            sigs, nodes = [], []
             for text in batch.column("text"):
                 made = shingle_set(text.as_py(), words)
                 if len(made) and (node := fingerprint(made)) not in seen:
                     seen.add(node)
                     sigs.append(signatures(made, percent))
                     nodes.append(node)
+                    held += len(sigs[-1])
+                if held > most:
+                    yield from packed(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
                 if len(seen) > 1_000_000:
                     seen.clear()
-            if not nodes:
-                continue
-            sig, row = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
-            ordered = np.sort(sig)
-            common = np.unique(ordered[hot:][ordered[hot:] == ordered[:-hot]]) if len(sig) > hot else sig[:0]
-            many = np.isin(sig, common) if len(common) else np.zeros(len(sig), bool)
-            also = np.flatnonzero(many)[np.unique(sig[many], return_index=True)[1]]
-            sig, row, many = np.concatenate((sig, sig[also])), np.concatenate((row, row[also])), np.concatenate((many, np.zeros(len(also), bool)))
-            own = np.array(nodes, np.int64)
-            slot = (np.where(many, mixed(own.view(U64)[row] ^ sig, 3), mixed(sig, 9)) % U64(slots)).astype(np.int64)
-            group = (row * slots + slot) * 2 + many
-            order = np.argsort(group, kind="stable")
-            group, sig = group[order], sig[order].view(np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
-            ends = np.append(starts[1:], len(group))
-            for at in range(0, len(starts), 20_000):
-                part, lo = starts[at : at + 20_000], starts[at]
-                hi, keys = ends[min(at + 20_000, len(ends)) - 1], group[part]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(part - lo, hi - lo).astype(np.int32)), pa.array(sig[lo:hi]))
-                columns = [pa.array((keys // 2 % slots).astype(np.int32)), pa.array(keys % 2 == 1), pa.array(own[keys // 2 // slots]), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["slot", "hot", "node", "sigs"])
+        if nodes:
+            yield from packed(sigs, nodes)
 
     return _texts(docs).where("text is not null").select("text").mapInArrow(run, "slot int, hot boolean, node bigint, sigs array<bigint>")
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The distinct (sig, node) of signatures that more than one node has."""
-    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = signed(docs, words, percent, slots).repartition("slot").select("slot", "hot", "node", F.explode("sigs").alias("sig"))
     key = Window.partitionBy("slot", "sig")  # rows of a slot are together already
     spread = rows.withColumn("lo", F.min("node").over(key)).withColumn("hi", F.max("node").over(key))
