@@ -1,10 +1,11 @@
 """Licence scan with a positional index of rare words.
 
-Every licence template is a row of words with positions. A file is looked up by its highest-IDF licence
-words: an occurrence at file position p of a word that stands at template position t votes for the template
-at the alignment p - t. The score of an alignment is the IDF weight of the template words that agree with it
-over the weight of all of the template's words that the file could have been looked up by. A template is
-reported when its best alignment reaches `least` and all its mandatory key phrases stand in the file.
+Every licence template is a row of words with positions. It is looked for by its own highest-IDF words,
+whatever other licence words a file holds: an occurrence at file position p of such a word that stands at
+template position t votes for the template at the alignment p - t. The score of an alignment is the IDF
+weight of the template words that agree with it over the weight of all words that the template is looked for
+by, so a notice that stands word by word scores 1. A template is reported when its best alignment reaches
+`least` and all its mandatory key phrases stand in the file.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
 
     Adds n_words, places (array of (place, label) of the base phrases), found (array of (label, score,
     place) of templates that hold, best alignment of each) and score (best of all templates, 0 without any).
-    `rare` is how many of a file's highest-IDF licence words are looked up; document frequencies come from
-    all rows. Null and empty texts have no words, no places, no labels and score 0. Repeated rows get the
+    `rare` is how many of its highest-IDF words each template is looked for by; document frequencies come
+    from all rows. Null and empty texts have no words, no places, no labels and score 0. Repeated rows get the
     same result each; a null doc_id is kept; ties of alignments go to the smallest place. An empty table
     gives no rows. Other columns of `docs` are not read and cannot clash.
     """
@@ -98,26 +99,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
 
     spark = docs.sparkSession
-    postings = spark.createDataFrame([(w, t, k, idf[w]) for t, k, w in index], "word string, template int, at long, weight double")
+    # The same words make the postings and the totals, so all words of a verbatim notice can vote.
+    own = {t: set(sorted({w for u, _, w in index if u == t}, key=lambda w: (-idf[w], w))[:rare]) for t in range(len(templates))}
+    kept = [(w, t, k, idf[w]) for t, k, w in index if w in own[t]]
+    postings = spark.createDataFrame(kept, "word string, template int, at long, weight double")
     # One row for each file that holds licence words; repeated rows are alike and count once.
     files = table.where(F.expr("exists(holds, x -> x)")).dropDuplicates(["doc_id", "text_hash"])
-    weights = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, -idf[w])])
-    files = files.withColumn("weights", weights).withColumn("ranked", F.expr("sort_array(transform(array_distinct(seen.word), w -> named_struct('order', weights[w], 'word', w)))"))
-    looked_up = F.expr(f"slice(ranked.word, 1, {rare})")
     votes = (
-        files.withColumn("lookup", looked_up)
-        .select("doc_id", "text_hash", "holds", "lookup", F.explode("seen").alias("hit"))
-        .where(F.array_contains("lookup", F.col("hit.word")))
+        files.select("doc_id", "text_hash", "holds", F.explode("seen").alias("hit"))
         .select("doc_id", "text_hash", "holds", F.col("hit.word").alias("word"), F.col("hit.place").alias("place"))
         .join(F.broadcast(postings), "word")  # as many rows as the templates have words
         .where(F.get("holds", F.col("template")))
     )
     aligned = votes.groupBy("doc_id", "text_hash", "template", (F.col("place") - F.col("at")).alias("place")).agg(F.sum("weight").alias("weight"))
-    # A template's words that rank among the `rare` highest of the template are what a file can be looked up by.
-    totals = {}
-    for t in range(len(templates)):
-        own = sorted({w for u, _, w in index if u == t}, key=lambda w: (-idf[w], w))[:rare]
-        totals[t] = sum(idf[w] for u, _, w in index if u == t and w in own)
+    totals = {t: sum(weight for _, u, _, weight in kept if u == t) for t in range(len(templates))}
     sums = spark.createDataFrame([(t, name, totals[t]) for t, (name, _, _) in enumerate(templates)], "template int, label string, total double")
     scored = aligned.join(F.broadcast(sums), "template").withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.col("total")))
     best = scored.groupBy("doc_id", "text_hash", "label").agg(F.max(F.struct("score", -F.col("place"))).alias("top"))

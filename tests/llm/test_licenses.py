@@ -47,3 +47,17 @@ def test_template_without_base_phrase(spark):
     text = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
     [row] = licenses.scan(docs(spark, [(1, "intro words " + text, None, None)])).collect()
     assert [f.label for f in row.found] == ["bsd"] and row.found[0].place == 2
+
+
+def test_many_notices_in_one_text(spark):
+    notices = {}
+    for label, notice, _ in licenses.TEMPLATES:
+        notices.setdefault(label, []).append(notice)
+    apache, mit, bsd = notices["apache-2.0"][0], notices["mit"][0], notices["bsd"][0]
+    every = " filler words here ".join(n for group in notices.values() for n in group)
+    texts = [every, f"{apache} {mit} {bsd}", f"{mit} then {bsd} " * 20]
+    rows = licenses.scan(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    got = {r.doc_id: {f.label: round(f.score, 9) for f in r.found} for r in rows}
+    assert got[0] == dict.fromkeys(notices, 1.0)
+    assert {k: v for k, v in got[1].items() if k in ("apache-2.0", "mit", "bsd")} == {"apache-2.0": 1.0, "mit": 1.0, "bsd": 1.0}
+    assert got[2]["mit"] == got[2]["bsd"] == 1.0
