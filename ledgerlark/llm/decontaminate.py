@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted similarity.
 
 A window that is as long as a benchmark item and similar enough to it shares a shingle with it, even one of
-any `missing + 1` shingles chosen beforehand, as no more than `missing` of the item's can be absent. So
-windows are laid where a document has such a shingle, aligned with the item; windows without one cannot pass
-the last check and need no fingerprint. Windows of equal words are fingerprinted once, however many
+any `missing + 1` shingles chosen beforehand, as no more than `missing` of the item's can be absent. It need
+not be where the item has it, as halves may be swapped. So all starts are looked at whose window holds such a
+shingle, and a window is laid where enough of its shingles are any of the items' of its length: the exact
+similarity of others is too low, whatever the item, and they need no fingerprint. Windows of equal words are fingerprinted once, however many
 documents hold them. Fingerprints are cut into radius + 1 blocks of bits: two within the radius agree in a
 block at least, so joining on (length, block, bits) finds all of them. Candidates are then compared exactly,
 by the Jaccard similarity of their shingles weighted by how often they occur: the n-th occurrence of a
@@ -81,23 +82,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     # Of the item's shingles at most `missing` can be absent from a window that is similar enough.
     seeds = items.withColumn("missing", F.expr(f"cast(floor(size(shingles) * {100 - percent} / 100) as int)"))
     at = F.expr("transform(sequence(0, missing), k -> cast(k * size(shingles) div (missing + 1) as int))")
-    seeds = seeds.select("size", "n_words", "shingles", F.explode(at).alias("at")).selectExpr("size", "n_words", "at", "get(shingles, at) as shingle").distinct()
+    seeds = seeds.select("size", "n_words", "shingles", F.explode(at).alias("at")).selectExpr("size", "n_words", "get(shingles, at) as shingle").distinct()
+    known = items.select("size", "n_words", F.explode("shingles").alias("shingle")).distinct()
     counts = seeds.groupBy("size").count().collect()  # one row for each shingle size, `words` at most
     small = sum(r["count"] for r in counts) <= most_broadcast
     ship = F.broadcast if small else (lambda df: df)
+    ship_known = F.broadcast if small and known.count() <= most_broadcast else (lambda df: df)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(words_of("text")).alias("words"))
-    windows = None
+    around = None
     for size in sorted(r["size"] for r in counts) or [words]:
         held = rows.withColumn("shingles", F.expr(shingles_of("words", size, words)))
         # The outer form, as for the other one a filter on the array's size would hash everything a second time.
         hits = held.select("doc_id", "text_hash", "words", F.posexplode_outer("shingles").alias("place", "shingle"))
         hits = hits.join(ship(seeds.where(F.col("size") == size).drop("size")), "shingle")
-        laid = hits.selectExpr("doc_id", "text_hash", "n_words", f"{size} as size", "greatest(least(place - at, size(words) - n_words), 0) as start", "words")
-        laid = laid.selectExpr("doc_id", "text_hash", "n_words", "size", "start", "slice(words, start + 1, n_words) as window").distinct()
-        windows = laid if windows is None else windows.unionByName(laid)
-    windows = written(windows.withColumn("content", F.expr("md5(concat_ws(' ', window))")), "windows")
+        # All starts whose window holds the hit, and the words of all of these windows.
+        hits = hits.selectExpr("doc_id", "text_hash", "n_words", f"{size} as size", f"greatest(place - n_words + {size}, 0) as lo", "least(place, greatest(size(words) - n_words, 0)) as hi", "words")
+        hits = hits.selectExpr("doc_id", "text_hash", "n_words", "size", "lo", "hi", "slice(words, lo + 1, hi - lo + n_words) as around").dropDuplicates(["doc_id", "text_hash", "n_words", "size", "lo", "hi"])
+        around = hits if around is None else around.unionByName(hits)
+    around = written(around, "around")
+
+    key = ["doc_id", "text_hash", "n_words", "size", "lo", "hi"]
+    held = None
+    for size in sorted(r["size"] for r in counts) or [words]:
+        own = around.where(F.col("size") == size).withColumn("shingles", F.expr(shingles_of("around", size, words)))
+        own = own.select(*key, F.posexplode_outer("shingles").alias("place", "shingle"))
+        own = own.join(ship_known(known.where(F.col("size") == size).drop("size")), ["n_words", "shingle"]).select(*key, "place")
+        held = own if held is None else held.unionByName(own)
+    held = held.groupBy(*key).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    # Of a and b shingles at least `need` must be shared; a window of them starts between its last one and its first.
+    a, b = "(greatest(least(n_words, size(around)) - size, 0) + 1)", "(n_words - size + 1)"
+    need = f"cast(({percent} * ({a} + {b}) + {100 + percent - 1}) div {100 + percent} as int)"
+    first, last = "greatest(get(places, i + need - 1) - a + 1, 0)", "least(get(places, i), hi - lo)"
+    starts = f"array_distinct(flatten(transform(sequence(0, size(places) - need), i -> if({first} <= {last}, sequence({first}, {last}), array()))))"
+    same = F.expr(" and ".join(f"around.{c} <=> held.{c}" for c in key))
+    laid = around.alias("around").join(held.alias("held"), same).select(*[F.col(f"around.{c}") for c in key], "around", "places")
+    laid = laid.withColumn("a", F.expr(a)).withColumn("need", F.expr(need)).where("size(places) >= need")
+    laid = laid.select("doc_id", "text_hash", "n_words", "size", "lo", "around", F.explode(F.expr(starts)).alias("rel"))
+    laid = laid.selectExpr("doc_id", "text_hash", "n_words", "size", "lo + rel as start", "slice(around, rel + 1, n_words) as window")
+    laid = laid.dropDuplicates(["doc_id", "text_hash", "n_words", "size", "start"])
+    windows = written(laid.withColumn("content", F.expr("md5(concat_ws(' ', window))")), "windows")
 
     contents = windows.groupBy("n_words", "size", "content").agg(F.first("window").alias("window"))  # equal contents, equal windows
     prints = contents.withColumn("shingles", F.expr(shingles_of("window", "size", words))).withColumn("features", F.expr(numbered("shingles"))).withColumn("fingerprint", F.expr(simhash("features")))

@@ -45,6 +45,20 @@ def test_finds_what_comparing_all_windows_finds(spark):
     assert shuffled == set(want)
 
 
+def test_finds_reordered_parts(spark):
+    filler = lambda n: " ".join(word() for _ in range(n))
+    bench, texts_ = [], []
+    for i in range(30):
+        parts = [word() for _ in range(rng.randint(60, 120))]
+        cut = rng.choice([len(parts) // 2, len(parts) // 3, 9])
+        bench.append((i, " ".join(parts)))
+        texts_ += [f"{filler(40)} {' '.join(parts[cut:] + parts[:cut])} {filler(40)}", " ".join(parts[cut:] + parts[:cut])]
+    rows = list(enumerate(texts_)) + [(None, texts_[0])]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    want = {(d, i): round(s, 9) for d, t in rows for i, x in bench if (s := brute(t, x)) >= 0.8}
+    assert len(want) > 40 and {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some words of a document")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
