@@ -6,6 +6,10 @@ can map them back. Numbers are permuted over Z_a x Z_b: in each round one half i
 the other, modulo its own size, so no value leaves the domain and no cycle walking is needed. Texts (local
 parts of e-mail addresses, account parts of IBANs) are halved likewise and shifted character by character
 within digits, capitals and small letters.
+
+Cards are looked for in runs of groups of digits, as other numbers may stand next to them: in each run the
+usual forms are tried at every group, then other groupings in what is left. Where the permuted digits would
+be cut in another way, they are permuted again until the same cuts are found, so the way back finds them too.
 """
 
 from __future__ import annotations
@@ -26,9 +30,16 @@ FORMATS = [
     r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])",
     r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
-    r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 ]
-PATTERN = "|".join(FORMATS)
+# A run of groups of digits in which cards are looked for; it ends before a value of another format.
+RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{'|'.join(FORMATS[:7])})[0-9]++)*+"
+PATTERN = "|".join([*FORMATS, RUN])
+# Forms of cards, by preference at one place; then other groupings, the first at the start only.
+CARDS = [
+    r"[0-9]{13,19}", r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{5}",
+    r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4}",
+]
+START, OTHERS = r"[0-9](?:[ -]?[0-9]){12,18}", [rf"[0-9]{{4,12}}(?:[ -][0-9]{{4,12}}){{{k}}}" for k in (3, 2, 1)]
 DAY_ZERO, DAYS = "DATE'1800-01-01'", (189, 773)  # 189 * 773 days are the 400 years from day zero
 
 
@@ -88,6 +99,32 @@ def mod97(text: str) -> str:
     return f"aggregate(split({text}, ''), 0, (t, c) -> {step})"
 
 
+def cards_in(run: str, forms: list[str], start: list[str]) -> str:
+    """SQL: array of (at, len) of cards in a string of groups of digits, from left to right.
+
+    At each group the first of `forms` counts that has 13 to 19 digits and passes Luhn, at the first group of
+    `start` too. Nesting is kept low, as the analyser goes only so deep.
+    """
+    tried = [f"regexp_extract(array_join(slice(h, k, 40), ''), r'^(?:{form})(?![0-9])', 0)" for form in forms]
+    tried = [f"if(k = 1, regexp_extract(array_join(slice(h, 1, 40), ''), r'^(?:{form})(?![0-9])', 0), '')" for form in start] + tried
+    digits = "translate(x, ' -', '')"
+    summed = f"aggregate(transform(split(reverse({digits}), ''), (c, j) -> if(j % 2 = 1, 2 * cast(c as int) div 10 + 2 * cast(c as int) % 10, cast(c as bigint))), 0L, (t, c) -> t + c)"
+    places = "filter(sequence(1, size(h)), k -> k = 1 or get(h, k - 2) in (' ', '-'))"
+    card = f"get(filter(array({', '.join(tried)}), x -> if(char_length({digits}) between 13 and 19, {summed} % 10 = 0, false)), 0)"
+    found = f"transform({places}, k -> named_struct('at', k - 1, 'len', char_length({card})))"
+    zero = "named_struct('next', 0, 'got', cast(array() as array<struct<at:int,len:int>>))"
+    got = f"aggregate({found}, {zero}, (a, e) -> if(e.len is null or e.at < a.next, a, named_struct('next', e.at + e.len, 'got', concat(a.got, array(e))))).got"
+    return bound(f"split({run}, '')", "h", got)
+
+
+def cuts(run: str) -> str:
+    """SQL: array of (at, len) of the cards in the run: usual forms first, others in the stretches between them."""
+    lo, hi = "if(i = 0, 0, get(u, i - 1).at + get(u, i - 1).len + 1)", f"coalesce(get(u, i).at - 1, char_length({run}))"
+    stretches = f"transform(sequence(0, size(u)), i -> named_struct('lo', {lo}, 'part', substr({run}, {lo} + 1, greatest({hi} - {lo}, 0))))"
+    others = f"flatten(transform({stretches}, b -> transform({cards_in('b.part', OTHERS, [START])}, q -> named_struct('at', q.at + b.lo, 'len', q.len))))"
+    return bound(cards_in(run, CARDS, []), "u", f"array_sort(concat(u, {others}))")
+
+
 def refill(shape: str, digits: str) -> str:
     """SQL: `shape` with its digits replaced, one by one, by those of `digits`."""
     put = "if(c between '0' and '9', named_struct('out', concat(a.out, substr(n, a.at + 1, 1)), 'at', a.at + 1), named_struct('out', concat(a.out, c), 'at', a.at))"
@@ -95,7 +132,7 @@ def refill(shape: str, digits: str) -> str:
 
 
 def pseudonym(cipher: Cipher) -> str:
-    """SQL over the match `m`: named_struct of its kind and its pseudonym; kind is null where it isn't valid."""
+    """SQL over the match `m`: named_struct of its new text and an array of the (kind, value) that it holds, empty where it isn't valid."""
 
     def of(kind: str, value: str) -> str:
         return f"named_struct('kind', '{kind}', 'value', {value})"
@@ -129,13 +166,22 @@ def pseudonym(cipher: Cipher) -> str:
     digits = "regexp_replace(m, '[^0-9]', '')"
     rest = f"substr({digits}, char_length({country}) + 1)"
     phone = f"if(char_length({rest}) between 7 and 14, {of('phone', refill('m', f'concat({country}, {permuted(rest, 'phone')})'))}, {no})"
-    body = f"substr({digits}, 1, char_length({digits}) - 1)"
-    card = bound(permuted(body, "card"), "e", refill("m", f"concat(e, {luhn_digit('e')})"))
-    card = f"if({luhn_digit(body)} = substr({digits}, -1), {of('card', card)}, {no})"
-    return (
+    part = "substr(l.y, f.at + 1, f.len)"
+    numerals = f"regexp_replace({part}, '[^0-9]', '')"
+    card = bound(permuted(f"substr({numerals}, 1, char_length({numerals}) - 1)", "card"), "e", refill(part, f"concat(e, {luhn_digit('e')})"))
+    moved = f"concat(substr(l.y, 1, f.at), {card}, substr(l.y, f.at + f.len + 1))"
+    # A round that leaves the cuts as they are is the last; one in four may not where groups of four adjoin.
+    again = bound(moved, "y", f"named_struct('y', y, 'done', {cuts('y')} = cs)")
+    walk = f"aggregate(sequence(1, 100), named_struct('y', w, 'done', false), (l, n) -> if(l.done, l, {again})).y"
+    order = "reverse(cs)" if cipher.back else "cs"
+    run = bound(f"aggregate({order}, m, (w, f) -> {walk})", "out", "named_struct('value', out, 'items', transform(cs, f -> named_struct('kind', 'card', 'value', substr(out, f.at + 1, f.len))))")
+    run = bound(cuts("m"), "cs", run)
+    other = bound(
         f"case when contains(m, '@') then {email} when m rlike '^[A-Z]' then {iban} {' '.join(dates)} when m like '___-__-____' then {ssn} "
-        f"when m rlike '^[0-9]+[.]' then {ip} when m rlike '^[+(]' then {phone} else {card} end"
-    )
+        f"when m rlike '^[0-9]+[.]' then {ip} else {phone} end",
+        "x", "named_struct('value', x.value, 'items', filter(array(x), z -> z.kind is not null))",
+    )
+    return f"if(m rlike '^[0-9]' and char_length({digits}) > 12 and m not like '%.%' and not contains(m, '@'), {run}, {other})"
 
 
 def pseudonymise(docs: DataFrame, key: str, back: bool = False, found: str = "pii") -> DataFrame:
@@ -144,14 +190,15 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, found: str = "pi
     It is an array of (kind, value), values being the pseudonyms in order of place; an own column of that
     name in `docs` is replaced. Kinds: email, iban (mod 97), date (of the calendar, 1800 to 2199), ssn (US
     rules), ip (octets below 256), phone (7 to 14 digits after the country code), card (13 to 19 digits,
-    Luhn). Matches that fail their rule stay as they are. Null text stays null and, like an empty one, holds
+    Luhn, also next to other numbers). Equal cards get equal pseudonyms, but for the few that would change the
+    cuts of adjoining groups. Matches that fail their rule stay as they are. Null text stays null and, like an empty one, holds
     nothing; rows, repeated ones too, stay one for one with all other columns; an empty table stays empty.
     Texts are searched whole. `back` with the same key restores the original values.
     """
     value = pseudonym(Cipher(key, back=back))
     replaced = f"transform(regexp_extract_all(text, r'{PATTERN}', 0), m -> {value})"
-    none = "cast(array() as array<struct<kind:string,value:string>>)"
+    none = "cast(array() as array<struct<value:string,items:array<struct<kind:string,value:string>>>>)"
     rows = docs.withColumn(found, F.expr(f"if(text rlike '[0-9@]' and text rlike r'{PATTERN}', {replaced}, {none})"))
     gaps = f"split(text, r'{PATTERN}', -1)"
     text = f"if(size({found}) > 0, array_join(transform({gaps}, (g, i) -> concat(g, coalesce(get({found}, i).value, ''))), ''), text)"
-    return rows.withColumn("text", F.expr(text)).withColumn(found, F.expr(f"filter({found}, x -> x.kind is not null)"))
+    return rows.withColumn("text", F.expr(text)).withColumn(found, F.expr(f"flatten({found}.items)"))

@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import date
 
@@ -58,3 +59,27 @@ def test_permutes_whole_domain(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id bigint, text string"), KEY).collect() == []
+
+
+def test_cards_next_to_numbers(spark):
+    rng = random.Random(5)
+    card, spaced, odd = "4539578763621486", "4539 5787 6362 1486", "45395787 63621486"
+    longer = next(f"{card} {n}" for n in range(100, 1000) if luhn(f"{card}{n}"))
+    texts = [
+        f"card {card} 12/27", f"flat 7 {card}.", f"{spaced} 12/27", f"{spaced} 123", f"year 2024 {spaced} 12/27 {card}", f"{spaced.replace(' ', '-')} 99", f"pay {longer} now",
+        f"{odd} {card}", f"{card} 1984-02-29", f"{card} 10.0.0.1", f"{card} 12@mail.com", "3782 822463 10005 11/26", f"{card} {card} {spaced}", "1 2 3 4 5 6 7 8 9 " * 3000,
+    ]
+    want = [1, 1, 1, 1, 2, 1, 1, 2, 2, 2, 2, 1, 3]
+    for _ in range(150):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        full = next(body + c for c in "0123456789" if luhn(body + c))
+        texts.append(f"{rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {full[:4]} {full[4:8]} {full[8:12]} {full[12:]} {rng.randint(100, 999)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    once = pii.pseudonymise(docs, KEY)
+    rows = sorted(once.collect(), key=lambda r: r.doc_id)
+    assert [len(r.pii) for r in rows[: len(want)]] == want and all(r.pii for r in rows[14:])
+    assert all(card not in r.text and spaced not in r.text and odd not in r.text for r in rows)
+    cards = [x.value.replace(" ", "").replace("-", "") for r in rows[:13] for x in r.pii if x.kind == "card"]
+    assert all(map(luhn, cards)) and len(set(cards[:4] + cards[5:11])) == 1
+    assert rows[0].text.endswith(" 12/27") and rows[1].text.startswith("flat 7 ") and [x.kind for x in rows[10].pii] == ["card", "email"]
+    assert [r.text for r in sorted(pii.pseudonymise(once, KEY, back=True).collect(), key=lambda r: r.doc_id)] == texts
