@@ -23,19 +23,23 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every `a` has one `b` and no `b` is also an `a`: all links then lead to a smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `links` (a, b): the smallest node that links reach.
 
     Links may repeat, point either way or loop; nulls link nothing; no links give no rows. Each round is
     written to the shared folder, which cuts the lineage.
     """
-    edges = written(links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    edges = written(links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b") % 1_000_003)).first()
-        if state == seen or not state[0]:
+        if _settled(edges):
             break
-        seen, after = state, written(_star(edges), "links")
+        after = written(_star(edges), "edges")
         drop_written(edges)
         edges = after
     else:

@@ -22,10 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one named by `spark.checkpoint.dir`, else the checkpoint folder that the session has
-    already; only where neither is set (tests on one machine) a new temporary folder is taken.
+    already; only where neither is set and all runs on one machine a new temporary folder is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledgerlark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -72,8 +72,10 @@ def test_similar_sets_share_a_signature():
         a = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64))
         gone = int(rng.integers(0, len(a) // 8 + 1))
         b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1)), np.int64).astype(np.uint64))))
-        if neardup.overlap_enough(a, b, 80) and (len(a) != len(b) or (a != b).any()):
-            assert np.intersect1d(neardup.signatures(a, 80), neardup.signatures(b, 80)).size
+        if near(a, b) and (len(a) != len(b) or (a != b).any()):
+            at = np.cumsum([0, len(a), len(b)])
+            sig, row = neardup.signatures(np.concatenate((a, b)), at, 80)
+            assert np.intersect1d(sig[row == 0], sig[row == 1]).size
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
@@ -91,19 +93,23 @@ def test_components(spark, links):
     assert got == closure({x for e in real for x in e}, real)
 
 
-def test_signatures_that_many_share_and_blocks(spark, monkeypatch):
-    """Over 64 sets with one signature in a batch, and more members than a block holds."""
+def near(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_signatures_that_many_share_and_blocks(spark, block):
+    """Over 64 sets with one signature in a lot, and more members than a block holds."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base, line = [word() for _ in range(60)], [word() for _ in range(12)]
     rows = [(i, " ".join([*base[: 60 - i % 9], word()])) for i in range(150)]
     rows += [(200 + i, " ".join([*line, *(word() for _ in range(4))])) for i in range(90)]
+    rows += [(300 + i, " ".join([*line, *(word() for _ in range(3))])) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
-    marked = neardup.signed(docs, 5, 80, slots=4)
-    assert marked.where("hot").count() > 0
-    plain = neardup.open_pairs
-    monkeypatch.setattr(neardup, "open_pairs", lambda *a: plain(*a, block=16))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, star_rounds=1).collect()}
+    assert neardup.read_texts(docs, 5, 80, slots=4).where("kind = 1").count() > 0
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, block=block, slots=4).collect()}
     assert got == brute(rows)
 
 
@@ -111,8 +117,24 @@ def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(300):
         a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), np.int64).astype(np.uint64))
-        b = np.unique(np.concatenate((a[int(rng.integers(0, len(a))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 300)), np.int64).astype(np.uint64))))
-        x, y = neardup.folded([neardup.sketch(a), neardup.sketch(b)])
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
-        if neardup.overlap_enough(a, b, 80):
-            assert neardup.may_be_near(x, y[None, :], len(a), np.array([len(b)]), 80)[0]
+        b = np.unique(np.concatenate((a[int(rng.integers(0, len(a))) :], rng.integers(0, 1 << 63, int(rng.integers(1, 300)), np.int64).astype(np.uint64))))
+        at = np.cumsum([0, len(a), len(b)])
+        drawn = neardup.sketches(np.concatenate((a, b)), at)
+        width = np.array([min(map(len, drawn)) // 8] * 2)
+        words, to = neardup.folded(np.frombuffer(b"".join(drawn), np.uint64), np.cumsum([0, *(len(x) // 8 for x in drawn)]), width)
+        assert neardup.differences(words, to, width, np.array([0]), np.array([1]))[0] <= len(np.setxor1d(a, b))
+
+
+def test_sets_of_chunks_are_those_of_single_texts():
+    texts = [t for _, t in corpus()] + ["", " ", None, "A\u00e9\u3000b c", "x", "x ", " x y", "a b c d", "a b c d e", "q" * 700_000]
+    want = [len(brute_set(t)) for t in texts]
+    import pyarrow as pa
+
+    got, alone = [], [neardup.shingle_set(t) for t in texts]
+    for lo, hi, raw, bounds in neardup.chunks(pa.array(texts).slice(0), most=3000):
+        elements, at = neardup.shingle_sets(raw, bounds)
+        for i in range(lo, hi):
+            mine = elements[at[i - lo] : at[i - lo + 1]]
+            assert (mine == alone[i]).all()
+            got.append(len(mine))
+    assert got == want
