@@ -9,6 +9,7 @@ spanning forest of the links of their blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import drop_written, written
 
 BLOCK = 256
 
@@ -40,6 +41,20 @@ def bucket_keys(x: np.ndarray, tables: int, projections: int, width: float, seed
         return (cells * odd).sum(axis=2) ^ np.int64(x.shape[1])
 
 
+def meets(distance: float, width: float) -> float:
+    """Probability that two points at a Euclidean distance fall into one cell of a random projection."""
+    x = width / distance
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
+
+
+def index_shape(n: int, threshold: float, width: float, recall: float) -> tuple[int, int]:
+    """(tables, projections) for n vectors: a vector meets half an unrelated (orthogonal) one in a table, and a
+    pair at the threshold shares a bucket of some table with probability `recall`, closer ones with more."""
+    near, far = meets(math.sqrt(2 - 2 * threshold), width), meets(math.sqrt(2), width)
+    projections = max(6, math.ceil(math.log(2 * max(n, 1)) / -math.log(far)))
+    return math.ceil(math.log(1 - recall) / math.log1p(-(near**projections))), projections
+
+
 def forest(hits: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     """Links that keep the components of a boolean adjacency: each id with the smallest it reaches."""
     label = ids.copy()
@@ -62,7 +77,7 @@ def _compare(run_rows: pd.DataFrame, table: int, same_block: bool, threshold: fl
     return ids, hits @ sizes, forest(hits, ids)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 20, projections: int = 8, width: float = 2.0, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.97, width: float = 2.0, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of `vectors` (vec_id, embedding, label).
 
     Rows link when labels are equal and not null, dimensions are equal and the cosine in double precision
@@ -72,14 +87,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 2
     count each; a null vec_id is null in its own component unless others are in it. An empty table gives no
     rows. Other columns are not read.
 
-    At the defaults a pair at cosine 0.93 shares a bucket of some table with probability 0.998, one at 0.95
-    with over 0.9995; every vector is in the index. Nothing caps a bucket.
+    A pair at the threshold shares a bucket of some table with probability `recall`, closer pairs with more; every
+    vector is in the index and nothing caps a bucket. The number of projections grows with the logarithm of the
+    number of vectors, so what a vector is compared with by chance stays the same, and the number of tables with a
+    root of it (power 0.23 at the defaults).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     fine = "embedding is not null and label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x != 0)"
     rows = rows.withColumn("fine", F.expr(f"coalesce({fine}, false)")).withColumn("embedding", F.when(F.col("fine"), F.expr("transform(embedding, x -> x + 0d)")))
     grouped = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = written(grouped.withColumn("node", F.xxhash64("label", "embedding")), "vectors")
+    tables, projections = index_shape(nodes.count(), threshold, width, recall)
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -91,14 +109,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 2
             yield frame.assign(keys=keys)
 
     keyed = nodes.mapInPandas(hashed, "label bigint, embedding array<double>, first bigint, copies bigint, node bigint, keys array<bigint>")
-    slim = keyed.select("label", "node", F.posexplode("keys").alias("table", "bucket"))
-    full = slim.groupBy("label", "table", "bucket").agg(F.count("*").alias("held")).where("held > 1").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    placed = keyed.select("label", "embedding", "copies", "node", "keys", F.posexplode("keys").alias("table", "bucket")).join(full, ["label", "table", "bucket"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "table"), F.col("blocks")).cast("int"))
+    slim = keyed.select("node", F.posexplode("keys").alias("table", "key"), "label").select("node", "table", F.xxhash64("label", "table", "key").alias("bucket"))
+    full = slim.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    met = written(slim.join(full, "bucket"), "buckets")
+    placed = met.withColumn("block", F.pmod(F.xxhash64("node", "table"), F.col("blocks")).cast("int"))
     # Each row goes to every pair of blocks that its own is part of: (i, j) with i <= j.
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(keyed.select("node", "copies", "embedding", "keys"), "node")
     pairs = pairs.select(
-        F.xxhash64("label", "table", "bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
+        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
         "table", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("own"), "node", "copies", "embedding", "keys",
     )
 
@@ -126,6 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 2
 
     dealt = pairs.repartition("group").sortWithinPartitions("group")
     found = written(dealt.mapInPandas(compared, "node bigint, n bigint, least bigint"), "vector-links")
+    drop_written(met)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     reach = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     of_node = nodes.join(counts, "node", "left").join(reach, "node", "left").select("label", "embedding", "first", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))

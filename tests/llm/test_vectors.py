@@ -46,3 +46,23 @@ def test_copies_and_empty_table(spark):
     got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(frame).collect()], key=str)
     assert got == sorted([(3, 3, 3, True), (3, 3, 3, True), (None, 3, 3, False), (9, 3, 3, False)], key=str)
     assert vectors.near_duplicates(frame.where("false")).collect() == []
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng, rows = np.random.default_rng(4), []
+    for _ in range(400):
+        v, other = (x / np.linalg.norm(x) for x in rng.standard_normal((2, 48)))
+        other = other - (other @ v) * v
+        cosine = rng.uniform(0.931, 0.97)
+        w = cosine * v + math.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+        rows += [(len(rows), v.tolist(), 1), (len(rows) + 1, w.tolist(), 1)]
+    rows += [(len(rows) + i, v.tolist(), i % 2) for i, v in enumerate(rng.standard_normal((1500, 48)))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    linked = [got[2 * k + 1] == (1, 2 * k) for k in range(400)]
+    assert sum(linked) >= 0.95 * 400
+    assert all(got[i][0] == 0 for i in range(800, len(rows)))
+
+
+def test_index_grows_slowly():
+    shapes = [vectors.index_shape(n, 0.93, 2.0, 0.97) for n in (1000, 50_000, 10**9)]
+    assert [p for _, p in shapes] == sorted(p for _, p in shapes) and shapes[1][0] < 60 and shapes[2][0] < 500
