@@ -40,6 +40,8 @@ CARDS = [
     r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4}",
 ]
 START, OTHERS = r"[0-9](?:[ -]?[0-9]){12,18}", [rf"[0-9]{{4,12}}(?:[ -][0-9]{{4,12}}){{{k}}}" for k in (3, 2, 1)]
+# Country codes of one and two digits; all others have three.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 DAY_ZERO, DAYS = "DATE'1800-01-01'", (189, 773)  # 189 * 773 days are the 400 years from day zero
 
 
@@ -162,8 +164,8 @@ def pseudonym(cipher: Cipher) -> str:
         a, b = f"pow(10, {n} - {n} div 2)", f"pow(10, {n} div 2)"
         return bound(digits, "w", f"lpad(cast({cipher.number('w', a, b, kind)} as string), cast({n} as int), '0')")
 
-    country = "if(m like '+%', regexp_extract(m, '^[+]([0-9]{1,3})', 1), '')"
     digits = "regexp_replace(m, '[^0-9]', '')"
+    country = f"if(m like '+%', regexp_extract({digits}, '^(?:{COUNTRY})', 0), '')"
     rest = f"substr({digits}, char_length({country}) + 1)"
     phone = f"if(char_length({rest}) between 7 and 14, {of('phone', refill('m', f'concat({country}, {permuted(rest, 'phone')})'))}, {no})"
     part = "substr(l.y, f.at + 1, f.len)"
@@ -190,7 +192,8 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, found: str = "pi
     It is an array of (kind, value), values being the pseudonyms in order of place; an own column of that
     name in `docs` is replaced. Kinds: email, iban (mod 97), date (of the calendar, 1800 to 2199), ssn (US
     rules), ip (octets below 256), phone (7 to 14 digits after the country code), card (13 to 19 digits,
-    Luhn, also next to other numbers). Equal cards get equal pseudonyms, but for the few that would change the
+    Luhn, also next to other numbers). Phones are equal whatever their spacing, as the country code is told from
+    the digits; the domains of e-mail addresses stay readable. Equal cards get equal pseudonyms, but for the few that would change the
     cuts of adjoining groups. Matches that fail their rule stay as they are. Null text stays null and, like an empty one, holds
     nothing; rows, repeated ones too, stay one for one with all other columns; an empty table stays empty.
     Texts are searched whole. `back` with the same key restores the original values.

@@ -83,3 +83,16 @@ def test_cards_next_to_numbers(spark):
     assert all(map(luhn, cards)) and len(set(cards[:4] + cards[5:11])) == 1
     assert rows[0].text.endswith(" 12/27") and rows[1].text.startswith("flat 7 ") and [x.kind for x in rows[10].pii] == ["card", "email"]
     assert [r.text for r in sorted(pii.pseudonymise(once, KEY, back=True).collect(), key=lambda r: r.doc_id)] == texts
+
+
+def test_equal_phones_stay_linked(spark):
+    same = ["+1 017 555 7713", "+10175557713", "+1 (017) 555-7713", "+1017 5557713", "+101 755 57713", "(017) 555-7713"]
+    others = ["+49 30 1234567", "+4930 1234567", "+493 01234567", "+352 12 345 678", "+35 212 345 678"]
+    docs = spark.createDataFrame(list(enumerate(same + others)), "doc_id int, text string")
+    once = pii.pseudonymise(docs, KEY)
+    rows = sorted(once.collect(), key=lambda r: r.doc_id)
+    assert all(len(r.pii) == 1 for r in rows)
+    digits = [re.sub("[^0-9]", "", r.pii[0].value) for r in rows]
+    assert len(set(digits[:5])) == 1 and digits[0] == "1" + digits[5] and digits[0][1:] != "0175557713"
+    assert len(set(digits[6:9])) == 1 and digits[6].startswith("49") and digits[9] == digits[10] and digits[9].startswith("352")
+    assert [r.text for r in sorted(pii.pseudonymise(once, KEY, back=True).collect(), key=lambda r: r.doc_id)] == same + others
