@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, licenses, neardup, packing, pii, secrets, urls, vectors
-from .shared import table
+from .shared import table, written
 
 
 #: Key of the pseudonyms in this query; a production run passes its own.
@@ -33,7 +33,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    # Written, so joins read it from shuffles whose tasks can be split where many share an opening.
+    convs = written(chat.conversations(table(spark, sf_dir, "conversations")), "conversations")
     pairs = {"opening": chat.pairs_by_opening(convs), "reply": chat.pairs_by_reply(convs)}
     done = [chat.preference_pairs(p).withColumn("kind", F.lit(kind)) for kind, p in pairs.items()]
     spans = "array_join(transform({}, s -> concat(cast(s.start as string), ':', cast(s.end as string))), ',')"
