@@ -483,7 +483,7 @@ def likely(members: DataFrame, nodes: DataFrame, percent: int, across: bool) ->
         if rest and sum(map(len, rest)):
             yield compared(pa.concat_batches(rest))
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def overlaps(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -536,31 +536,28 @@ def verified(families: DataFrame, docs: DataFrame, words: int, percent: int, acr
             if found:
                 yield _links(found, node)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _open(rows: DataFrame, key: str, blocks: str, across: bool) -> DataFrame:
-    """Rows of the groups that hold several components (across: and several blocks), with their number of blocks."""
-    groups = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr(f"cast({blocks} as int)").alias("blocks"))
-    return rows.join(groups.where("lo < hi and blocks > 1" if across else "lo < hi").select(key, "blocks"), key)
+    return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _joined(rows: DataFrame, key: str, blocks: str, compare: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """(node, component) by the links that `compare` finds within the groups named by `key`: in each block on its own,
-    then across the blocks of the larger groups that these links leave in several components."""
-    links = written(compare(_open(rows.withColumn("component", F.col("node")), key, blocks, False), False), "links")
+    then across the blocks of those of several blocks that these links leave in several components."""
+    size = rows.groupBy(key).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr(f"cast({blocks} as int)").alias("blocks")).where("lo < hi")
+    links = written(compare(rows.join(size.select(key, "blocks"), key).withColumn("component", F.col("node")), False), "links")
     found = written(components(links), "joined")
-    if not rows.groupBy(key).agg(F.expr(f"{blocks} as blocks")).where("blocks > 1").isEmpty():
-        labelled = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = written(compare(_open(labelled, key, blocks, True), True), "links")
+    large = written(size.where("blocks > 1").select(key, "blocks"), "large")
+    if not large.isEmpty():
+        labelled = rows.join(large, key).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still = labelled.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
+        more = written(compare(labelled.join(still, key), True), "links")
         drop_written(found)
         found = written(components(links.unionByName(more)), "joined")
         drop_written(more)
-    drop_written(links)
+    drop_written(links, large)
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512, slots: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 2048, slots: int | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles and component_id of each row: the smallest doc_id that links reach.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Rows with equal sets are
