@@ -16,16 +16,22 @@ from ledgerlark.llm.queries import DEMO_KEY
 from ledgerlark.llm.shared import table, written
 
 
+#: A text of so many letters whose best cosine stays below the floor is in none of the learnt languages.
+LETTERS, FLOOR = 100, 0.1
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without any letter go, all others stay.
+    """Documents in a learnt language: texts without any letter go, and texts of 100 letters or more whose cosine
+    with every profile is below 0.1; shorter ones have too few n-grams to be refused for that.
 
-    Prototypes are learnt from the labelled rows of `docs`. Without any label nothing is rejected.
+    Prototypes are learnt from the labelled rows of `docs`. Without any label only texts without letters go.
     """
     prototypes = langid.train(docs.select("text", "lang"))
     if not prototypes:
-        return docs
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     told = langid.predict(docs, prototypes, names=("lang_pred__", "score__"))
-    return told.where("lang_pred__ != 'und'").select(*docs.columns)
+    foreign = f"score__ < {FLOOR}d and regexp_count(cast(text as string), '\\\\p{{L}}') >= {LETTERS}"
+    return told.where(f"lang_pred__ != 'und' and not ({foreign})").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     to a row with one; those of equal text stay once.
     """
     groups = neardup.near_duplicates(docs.select("doc_id", "text"))
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept__"), F.col("text_hash").alias("hash__")).distinct()
-    return docs.join(keep, F.expr("doc_id <=> kept__ and xxhash64(cast(text as string)) = hash__"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    keep = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept__"), F.col("text_hash").alias("hash__")).agg(F.count("*").alias("rows__"))
+    keep = written(keep, "kept")
+    kept = docs.join(keep, F.expr("doc_id <=> kept__ and xxhash64(cast(text as string)) = hash__"), "left_semi").select(*docs.columns)
+    # Whole texts are shuffled for repeated rows only where there are any.
+    return kept if keep.where("rows__ > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,8 +92,8 @@ def _groups(texts: list[str], most_chars: int = 400_000, most: int = 64) -> Iter
 def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most_per_lang: int = 2000) -> dict[str, np.ndarray]:
     """Prototypes by language from rows of text and lang; null langs and null texts teach nothing.
 
-    The classifier is fitted on a bounded sample: about `most_per_lang` rows of each language, chosen by a
-    hash of the text. Partitions bundle their rows, and the sums, one number for each language and
+    The classifier is fitted on a bounded sample: texts of about `most_per_lang` rows of each language, chosen by
+    a hash of the text, each text once however often it is repeated. Partitions bundle their rows, and the sums, one number for each language and
     dimension, are all that reaches the driver. They are whole numbers of 1/256, so their order is free.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -102,7 +102,7 @@ def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most
         return {}
     keep = F.lit(False)
     for lang, count in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, most_per_lang / count) * (1 << 20))))
+        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < int(min(1.0, most_per_lang / count) * (1 << 50))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -117,7 +117,7 @@ def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most
         if sums:
             yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
-    part = rows.where(keep).mapInPandas(run, "lang string, sums array<bigint>")
+    part = rows.where(keep).distinct().mapInPandas(run, "lang string, sums array<bigint>")
     summed = part.select("lang", F.posexplode("sums").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in summed.collect():  # languages x dims numbers
