@@ -31,12 +31,16 @@ SEMANTIC = [
 ]
 PUBLIC = ["id", "fiscalYear", "date", "organization", "corporateNumber", "sourceAgency", "program", "amount", "amountRaw", "stage", "sourceKey", "sourceRowNumber", "sourceSystem"]
 
+# Mark of the bulk source, fields that no published row may have, limits.
+INGEST = "gbiz-bulk-csv"
+ROUTE_FIELDS = ["route", "flowLevel", "flowDepth"]
 PAGE_SIZE, MOST_PAGES, MOST_QUERY = 100, 10_000, 100
-ADOPTION_PAGE_SIZE = 20
+ADOPTION_PAGE_SIZE, MOST_ADOPTION_BYTES, MOST_MESSAGE = 20, 1_000_000, 2_000
+GROWTH_FLOOR, GROWTH_PERCENT = 1000, 5
 
 
 def growth_limit(previous: int) -> int:
-    return max(1000, -(-previous * 5 // 100))
+    return max(GROWTH_FLOOR, -(-previous * GROWTH_PERCENT // 100))
 
 
 def correction_limit(previous: int) -> int:

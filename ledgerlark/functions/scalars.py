@@ -92,6 +92,8 @@ def json_value(c: Column, number: bool = False) -> Column:
     if number:
         return F.coalesce(c.cast("string"), F.lit("null"))
     quoted = F.to_json(F.struct(c.alias("v")))
+    for digit in "ABCDEF":  # escapes of control characters end in one of these or in a digit
+        quoted = F.when(c.rlike(r"[\x00-\x1F\x7F]"), F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")).otherwise(quoted)
     return F.when(c.isNull(), "null").otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
 
 
@@ -102,7 +104,7 @@ def semantic_hash(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
 
 
 def escape_table(c: Column) -> Column:
-    """A cell of a Markdown table."""
+    """A cell of a Markdown table; a null says so."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("null")), r"\|", r"\\|"), r"\r?\n", " ")
 
 
@@ -129,5 +131,28 @@ def tokyo_time(utc: Column) -> Column:
 
 
 def component_url(base: str, c: Column) -> Column:
-    """`base` and the percent-encoded value, blanks as %20."""
-    return F.concat(F.lit(base), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
+    """`base` and the percent-encoded value: blanks as %20, and ~ ! ' ( ) as they are."""
+    out = F.url_encode(c)
+    for code, sign in (("+", "%20"), ("%7E", "~"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return F.concat(F.lit(base), out)
+
+
+def query_url(base: str, given: dict[str, Column], defaults: dict[str, str]) -> Column:
+    """`base` with the form-encoded values that are neither null nor their default, in the given order."""
+    parts = [F.when(c.isNotNull() & (c != defaults.get(k, "")), F.concat(F.lit(f"{k}="), F.url_encode(c))) for k, c in given.items()]
+    text = F.concat_ws("&", *parts)
+    return F.when(text == "", F.lit(base)).otherwise(F.concat(F.lit(f"{base}?"), text))
+
+
+def coverage_years(years: Column, undated: Column) -> Column:
+    """Text of an ascending array of fiscal years and a number of undated rows."""
+    first, last = F.get(years, F.lit(0)).cast("string"), F.get(years, F.size(years) - 1).cast("string")
+    span = F.when(F.size(years) == 1, F.concat(first, F.lit("年度"))).otherwise(F.concat(first, F.lit("–"), last, F.lit("年度（認定日・受注日基準）")))
+    none = F.when(undated > 0, "日付の記載なしのみ").otherwise("収録なし")
+    return F.when(F.size(years) == 0, none).otherwise(F.concat(span, F.when(undated > 0, "、日付の記載なしあり").otherwise("")))
+
+
+def shown_count(c: Column, unit: str = "件") -> Column:
+    """Grouped count with its unit; unknown ones say so."""
+    return F.coalesce(F.concat(F.format_number(c, 0), F.lit(unit)), F.lit("未照合"))

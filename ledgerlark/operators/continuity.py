@@ -84,7 +84,7 @@ def import_audit(counts: DataFrame) -> DataFrame:
 
 def snapshot_verdicts(counters: DataFrame) -> DataFrame:
     """counter, growth, growth_limit and passed for rows of (counter, previous, candidate)."""
-    limit = F.greatest(F.lit(1000), F.ceil(F.col("previous") * 5 / 100)).cast("long")
+    limit = F.greatest(F.lit(R.GROWTH_FLOOR), F.ceil(F.col("previous") * R.GROWTH_PERCENT / 100)).cast("long")
     growth = F.col("candidate") - F.col("previous")
     passed = F.coalesce((growth >= 0) & (growth <= limit), F.lit(False))
     return counters.select("counter", growth.alias("growth"), limit.alias("growth_limit"), passed.alias("passed"))

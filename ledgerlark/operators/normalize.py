@@ -16,8 +16,8 @@ def aliases(spark) -> DataFrame:
 
 def with_publisher(df: DataFrame, name: str, alias: DataFrame | None = None) -> DataFrame:
     """Adds publisherCanonical by exact match of the column `name`; null where it is no alias."""
-    alias = alias if alias is not None else aliases(df.sparkSession)
-    return df.join(F.broadcast(alias), df[name] == alias["alias_name"], "left").drop("alias_name").withColumnRenamed("canonical", "publisherCanonical")
+    alias = alias if alias is not None else F.broadcast(aliases(df.sparkSession))  # 27 rows; a given table is joined as Spark sees fit
+    return df.join(alias, df[name] == alias["alias_name"], "left").drop("alias_name").withColumnRenamed("canonical", "publisherCanonical")
 
 
 def suspicious(name, markers: list[str] = R.MARKERS):
@@ -93,7 +93,7 @@ def top_unmatched(counted: DataFrame, n: int = 20) -> DataFrame:
     return counted.orderBy(F.desc("rows"), F.collate("name", "ja"), "name").limit(n)
 
 
-def import_kind(raw: DataFrame, kind: str, ingest: str = "gbizinfo-bulk") -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_kind(raw: DataFrame, kind: str, ingest: str = R.INGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, statistics, unmatched agencies) of a bulk file."""
     rows = typed_rows(raw, kind)
     return records(rows, kind, ingest), statistics(rows), unmatched_agencies(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,17 +28,16 @@ def criteria(params: dict[str, str]) -> Criteria:
     units = lambda s: len(s.encode("utf-16-le")) // 2
     query, agency = params.get("q", "").strip(), params.get("agency", "all").strip() or "all"
     stage, year, page = params.get("stage", "all"), params.get("year", "all"), params.get("page", "1").strip()
-    try:
-        number = float(page or 0)
-    except ValueError:
-        raise ValueError("page") from None
+    if not re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?", page or "0", re.ASCII):
+        raise ValueError("page")
+    number = float(page or 0)
     if units(query) > R.MOST_QUERY or units(agency) > R.MOST_QUERY:
         raise ValueError("too long")
     if stage not in ("all", *R.STAGES.values()):
         raise ValueError("stage")
     if year not in ("all", "unclassified") and not (len(year) == 4 and year.isascii() and year.isdigit()):
         raise ValueError("year")
-    if number != int(number) or not 1 <= number <= R.MOST_PAGES:
+    if not 1 <= number <= R.MOST_PAGES or number != int(number):
         raise ValueError("page")
     return Criteria(query, agency, stage, year, int(number))
 
@@ -68,14 +68,27 @@ def stored_order() -> list[Column]:
     return [F.col("amount").desc_nulls_last(), F.col("date").desc_nulls_last(), F.col("id")]
 
 
-def page(df: DataFrame, c: Criteria) -> DataFrame:
-    """The rows of a page; a page beyond the last is refused."""
+def result(df: DataFrame, c: Criteria, known_agencies: list[str] | None = None, total: int | None = None) -> tuple[DataFrame, int, int]:
+    """(rows of the page, total, pages). A page beyond the last and an agency that is not known are refused.
+
+    The agency is looked up in `known_agencies` where they are given, else in the rows. A `total` that the caller
+    has already counted for the same criteria saves the counting scan.
+    """
+    if c.agency != "all":
+        known = c.agency in known_agencies if known_agencies is not None else not df.where(F.col("sourceAgency") == c.agency).isEmpty()
+        if not known:
+            raise ValueError(f"agency {c.agency}")
     found = df.where(matches(c))
-    total = found.count()
+    total = found.count() if total is None else total
     pages = max(1, -(-total // R.PAGE_SIZE))
     if c.page > pages:
         raise ValueError(f"page {c.page} of {pages}")
-    return found.orderBy(*search_order()).offset((c.page - 1) * R.PAGE_SIZE).limit(R.PAGE_SIZE)
+    return found.orderBy(*search_order()).offset((c.page - 1) * R.PAGE_SIZE).limit(R.PAGE_SIZE), total, pages
+
+
+def page(df: DataFrame, c: Criteria) -> DataFrame:
+    """The rows of a page, as `result` finds them."""
+    return result(df, c)[0]
 
 
 def agencies(df: DataFrame) -> DataFrame:

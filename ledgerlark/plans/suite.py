@@ -273,7 +273,7 @@ def dashboard_rows(spark, sf_dir):
     counts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).groupBy("n_name").agg(F.count("*").alias("a"), F.sum("c_custkey").alias("b"))
     head = "<tr>" + "".join(f"<th class='h'>{h}</th>" for h in files.DASHBOARD_HEADERS) + "</tr>"
     last = F.when(F.col("n_name") == "NATION_3", F.lit("01")).otherwise(F.format_number("b", 0))
-    html = F.concat(F.lit(f"<table>{head}<tr><td>1</td><td> <b>省</b></td><td>0</td><td>0</td><td>0</td><td>"), F.col("a").cast("string"), F.lit("</td><td>&nbsp;"), last, F.lit("</td><td>0</td><td>0</td></tr></table>"))
+    html = F.concat(F.lit(f"<table id='corporateActivityNumbersTable'><thead>{head}</thead><tbody><tr><td>1</td><td> <b>省</b></td><td>0</td><td>0</td><td>0</td><td>"), F.col("a").cast("string"), F.lit("</td><td>&nbsp;"), last, F.lit("</td><td>0</td><td>0</td></tr></tbody></table>"))
     return files.dashboard_counts(counts.select("n_name", html.alias("html")), "html", "省").select("n_name", "subsidies", "procurements")
 
 

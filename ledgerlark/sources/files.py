@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,47 +12,70 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..operators.continuity import GateError
 
+# Headers of the dashboard's table, in order.
 DASHBOARD_HEADERS = ["", "省庁", "財務情報", "特許情報", "届出・認定・行政処分情報", "補助金情報", "調達情報", "表彰情報", "職場情報"]
 ADOPTIONS = "props struct<pageProps: struct<count: string, total: bigint, listView: array<struct<id: string, name: string, address: string, subsidy: string, year: string, times: string, plan: string>>>>"
 
 
-def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bulk_csv(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
     """All columns as strings plus sourceRowNumber, from 2 on; rows of another width are refused.
 
-    A file with newlines in quotes can't be split, so it is one partition, which makes its ordinals those of
-    its rows; the rows are dealt out right after.
+    `path` is one file. A file with newlines in quotes can't be split, so it is one partition, which makes its
+    ordinals those of its rows. With `stage`, a new folder, the file is parsed once: its rows are written there as
+    Parquet, checked and read back by many tasks. Without it each use parses the file again.
     """
     header = spark.read.option("multiLine", True).option("header", False).csv(path).first()
     names = [header_cell(x) for x in header]
     if len(set(names)) != len(names):
         raise ValueError("duplicate header")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_broken"]])
-    rows = spark.read.schema(schema).options(multiLine=True, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True, columnPruning=False).csv(path)
+    broken = "_broken"
+    while broken in names:
+        broken += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
+    rows = spark.read.schema(schema).options(multiLine=True, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=broken, enforceSchema=True, columnPruning=False).csv(path)
     rows = rows.withColumn("sourceRowNumber", F.monotonically_increasing_id() + 2)
+    if stage:
+        plain = [f"c{k}" for k in range(len(names))]
+        rows.toDF(*plain, "broken", "sourceRowNumber").write.option("maxRecordsPerFile", 100_000).mode("errorifexists").parquet(stage)
+        rows = spark.read.parquet(stage).toDF(*names, broken, "sourceRowNumber")
     # All columns are asked for, as a parser that skips some does not see a wrong width.
-    if rows.agg(F.count_if(F.col("_broken").isNotNull()).alias("broken__"), *[F.count(F.col(f"`{n}`")) for n in names]).first()["broken__"]:
+    if rows.agg(F.count_if(F.col(f"`{broken}`").isNotNull()).alias("broken__"), *[F.count(F.col(f"`{n}`")).alias(f"n{k}") for k, n in enumerate(names)]).first()["broken__"]:
         raise GateError("a row has another number of columns than the header")
-    return rows.drop("_broken").repartition("sourceRowNumber")
+    rows = rows.drop(broken)
+    return rows if stage else rows.repartition("sourceRowNumber")
 
 
 def header_cell(x: str | None) -> str:
     return " ".join((x or "").lstrip("﻿").split())
 
 
+def cells(row_html: Column) -> Column:
+    """Text of the cells of a table row."""
+    return F.transform(F.regexp_extract_all(row_html, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), S.strip_html)
+
+
 def dashboard_rows(html: Column) -> Column:
     """Cells of every table row of a page, as an array of arrays of text."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), S.strip_html))
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells)
 
 
 def dashboard_counts(pages: DataFrame, html: str, label: str) -> DataFrame:
-    """subsidies and procurements of the one row that `label` names; null where a page breaks the contract."""
-    head = F.array(*[F.lit(h) for h in DASHBOARD_HEADERS])
-    rows = pages.withColumn("rows__", dashboard_rows(F.col(html)))
-    body = F.filter("rows__", lambda r: F.get(r, F.lit(1)) == label)
-    ok = (F.get("rows__", F.lit(0)) == head) & (F.size(body) == 1) & (F.size(F.get(body, F.lit(0))) == len(DASHBOARD_HEADERS))
-    cell = lambda k: F.when(ok, S.parse_count(F.get(F.get(body, F.lit(0)), F.lit(k))))
-    return rows.withColumns({"subsidies": cell(5), "procurements": cell(6)}).drop("rows__")
+    """subsidies and procurements of the one row that `label` names; null where a page breaks the contract.
+
+    The table is the one whose id is corporateActivityNumbersTable, with the known headers in its head. A page
+    without any markup of a table's kind is read as rows of a label, a total and three parts that add up to it.
+    """
+    own, page = pages.columns, F.col("html__")
+    table = F.regexp_extract(page, r"""(?is)<table\b[^>]*\bid=["']corporateActivityNumbersTable["'][^>]*>(.*?)</table>""", 1)
+    rows = pages.withColumn("html__", F.coalesce(F.col(html), F.lit(""))).withColumn("table__", table)
+    head = F.regexp_extract("table__", r"(?is)<thead\b[^>]*>.*?<tr\b[^>]*>(.*?)</tr>.*?</thead>", 1)
+    rows = rows.withColumns({"head__": cells(head), "rows__": dashboard_rows(F.regexp_extract("table__", r"(?is)<tbody\b[^>]*>(.*?)</tbody>", 1)), "plain__": dashboard_rows(page)})
+    body, old = F.filter("rows__", lambda r: F.get(r, F.lit(1)) == label), F.get(F.filter("plain__", lambda r: F.get(r, F.lit(0)) == label), F.lit(0))
+    ok = (F.col("head__") == F.array(*[F.lit(h) for h in DASHBOARD_HEADERS])) & (F.size(body) == 1) & (F.size(F.get(body, F.lit(0))) == len(DASHBOARD_HEADERS))
+    number = lambda row, k: S.parse_count(F.get(row, F.lit(k)))
+    legacy = (F.col("table__") == "") & ~page.rlike(r"(?i)<(?:!doctype|html|table|thead|tbody)\b") & (F.size(old) == 5) & (number(old, 1) == number(old, 2) + number(old, 3) + number(old, 4))
+    pick = lambda new, before: F.when(ok, number(F.get(body, F.lit(0)), new)).when(legacy, number(old, before))
+    return rows.select(*own, pick(5, 2).alias("subsidies"), pick(6, 3).alias("procurements"))
 
 
 def adoption_rows(pages: DataFrame, html: str) -> DataFrame:
@@ -80,17 +105,63 @@ def write_years(records: DataFrame, path: str) -> DataFrame:
 
 
 def publish(records: DataFrame, root: str, version: str) -> str:
-    """Write a version, check its rows, then flip the pointer; a failure leaves the old pointer."""
+    """Write a version, check its rows, then flip the pointer; a failure leaves the old pointer.
+
+    The rows are written once and read back with their schema; the pointer is written beside the old one and
+    renamed over it.
+    """
     spark, path = records.sparkSession, f"{root}/v={version}"
-    manifest = write_years(records, path)
-    written = spark.read.json(path)
-    if written.count() != records.count() or written.select("id").distinct().count() != records.count():
+    rows = public_rows(records)
+    seen = Observation("published")
+    rows.observe(seen, F.count("*").alias("n")).withColumn("year_key", year_key(F.col("fiscalYear"))).write.partitionBy("year_key").mode("errorifexists").json(path)
+    written = spark.read.schema(rows.schema).json(path)
+    found = written.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).first()
+    if not seen.get["n"] == found["n"] == found["ids"]:
         raise GateError("written rows differ from the records")
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}_manifest")
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").json(f"{root}/pointer")
+    written.groupBy(year_key(F.col("fiscalYear")).alias("year_key")).agg(F.count("*").alias("rows")).coalesce(1).write.mode("errorifexists").json(f"{path}_manifest")
+    flip(spark, f"{root}/pointer.json", json.dumps({"version": version, "path": path}))
     return path
 
 
+def flip(spark: SparkSession, pointer: str, text: str) -> None:
+    """Replace a small file by another in one rename."""
+    jvm = spark.sparkContext._jvm
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{pointer}.new", pointer))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(new, old, options)
+
+
+def read_published(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows of the version that the pointer names, by a given schema; gzip files are read by their suffix."""
+    pointer = spark.read.schema("version string, path string").json(f"{root}/pointer.json").first()
+    return spark.read.schema(schema).json(pointer["path"])
+
+
+def read_listed(spark: SparkSession, folder: str, receipts: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the files of a folder with `file`; only after `verify_release` finds files and receipts alike."""
+    verify_release(file_receipts(spark, folder), receipts)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1)
+    return spark.read.schema(schema).json(folder).withColumn("file", name)
+
+
+def write_dataset(records: DataFrame, metadata: DataFrame, path: str) -> None:
+    """The full data set below `path`: all records, and the summary, which is the metadata without them."""
+    records.write.mode("errorifexists").json(f"{path}/records")
+    metadata.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")
+
+
+def write_evidence(raw: dict[str, DataFrame], snapshot: DataFrame, path: str) -> None:
+    """Evidence of a run below `path`: each kind's bulk rows as gzip CSV with a header, and the snapshot as JSON."""
+    for kind, rows in raw.items():
+        rows.write.mode("errorifexists").options(header=True, compression="gzip", quoteAll=False, escape='"').csv(f"{path}/{kind}")
+    snapshot.coalesce(1).write.mode("errorifexists").json(f"{path}/snapshot")
+
+
 def set_hash(df: DataFrame, by: list[str], key: str, buckets: int = 4096) -> DataFrame:
     """Hash of the set of keys of each group, as a tree: buckets of keys, sorted, then the sorted bucket hashes.
 

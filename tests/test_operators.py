@@ -1,7 +1,7 @@
 import pytest
 
 from ledgerlark.functions import registry as R
-from ledgerlark.operators import continuity, normalize, search
+from ledgerlark.operators import continuity, gates, normalize, search, summaries
 from ledgerlark.sources import files
 
 
@@ -92,10 +92,10 @@ def test_publish_flips_pointer_last(spark, subsidy, tmp_path):
     path = files.publish(records, f"{tmp_path}/site", "one")
     back = spark.read.json(path)
     assert {r.year_key for r in back.select("year_key").distinct().collect()} == {"2026", "unclassified"} and "amountRaw" not in back.columns
-    assert spark.read.json(f"{tmp_path}/site/pointer").first().version == "one"
+    assert spark.read.json(f"{tmp_path}/site/pointer.json").first().version == "one"
     with pytest.raises(continuity.GateError):
         files.publish(records.union(records), f"{tmp_path}/site", "two")
-    assert spark.read.json(f"{tmp_path}/site/pointer").first().version == "one"
+    assert spark.read.json(f"{tmp_path}/site/pointer.json").first().version == "one"
 
 
 def test_dashboard_contract(spark):
@@ -103,9 +103,12 @@ def test_dashboard_contract(spark):
     good = ["1", "省", "0", "0", "0", "1,234", "56", "0", "0"]
     head = row(files.DASHBOARD_HEADERS, "th")
     swapped = row([*files.DASHBOARD_HEADERS[:5], "調達情報", "補助金情報", *files.DASHBOARD_HEADERS[7:]], "th")
-    pages = spark.createDataFrame([(0, head + row(good)), (1, swapped + row(good)), (2, head + row(good) * 2), (3, head + row([*good[:5], "", *good[6:]]))], "i int, html string")
+    page = lambda h, body, name="corporateActivityNumbersTable": f"<table id='{name}'><thead>{h}</thead><tbody>{body}</tbody></table>"
+    old = lambda *cells: row(["省", *cells])
+    html = [page(head, row(good)), page(swapped, row(good)), page(head, row(good) * 2), page(head, row([*good[:5], "", *good[6:]])), page(head, row(good), "renamed"), old(10, "1,234", 5, 1), old(10, 4, 5, 1), old(10, 4, 5, 2), None]
+    pages = spark.createDataFrame(list(enumerate(html)), "i int, html string")
     got = [(r.subsidies, r.procurements) for r in files.dashboard_counts(pages, "html", "省").orderBy("i").collect()]
-    assert got == [(1234, 56), (None, None), (None, None), (None, 56)]
+    assert got == [(1234, 56), (None, None), (None, None), (None, 56), (None, None), (None, None), (4, 5), (None, None), (None, None)]
 
 
 def test_release_receipts(spark, subsidy, tmp_path):
@@ -131,3 +134,49 @@ def test_embedded_json(spark):
     pages = spark.createDataFrame([(1, f'<script id="__NEXT_DATA__" type="application/json">{text}</script>'), (2, "<html></html>"), (3, None)], "page int, html string")
     [row] = files.adoption_rows(pages, "html").collect()
     assert (row.page, row.total, row.id, row.name, row.prefecture, row.round) == (1, 1, "x", "甲社", "東京都", "3")
+
+
+def test_search_refuses_numbers_and_unknown_agencies(spark):
+    for page in ("1_0", "١", "inf", "nan", "1e400", "0x1", "-1"):
+        with pytest.raises(ValueError, match="page"):
+            search.criteria({"page": page})
+    df = spark.createDataFrame([("a", "社", "1", "経済産業省", "contracted", 2026, None)], "id string, organization string, corporateNumber string, sourceAgency string, stage string, fiscalYear int, date string")
+    with pytest.raises(ValueError, match="agency"):
+        search.result(df, search.criteria({"agency": "他"}))
+    assert search.result(df, search.criteria({"agency": "経済産業省"}))[1:] == (1, 1)
+
+
+def test_reading_what_was_published(spark, subsidy, tmp_path):
+    records = normalize.import_kind(subsidy, "subsidy")[0]
+    path, schema = files.publish(records, f"{tmp_path}/site", "one"), files.public_rows(records).schema
+    assert sorted(r.id for r in files.read_published(spark, f"{tmp_path}/site", schema).collect()) == sorted(r.id for r in records.collect())
+    receipts = files.file_receipts(spark, path)
+    assert files.read_listed(spark, path, receipts, schema).count() == records.count()
+    with pytest.raises(continuity.GateError):
+        files.read_listed(spark, path, receipts.withColumn("bytes", receipts.bytes + 1), schema)
+    files.publish(records.limit(1), f"{tmp_path}/site", "two")
+    assert files.read_published(spark, f"{tmp_path}/site", schema).count() == 1
+
+
+def test_evidence_and_dataset_are_written(spark, subsidy, tmp_path):
+    one = spark.createDataFrame([(1, "m")], "n int, message string")
+    files.write_evidence({"subsidy": subsidy}, one, f"{tmp_path}/audit")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/audit/subsidy")
+    assert back.count() == subsidy.count() and list((tmp_path / "audit" / "subsidy").glob("*.csv.gz"))
+    files.write_dataset(subsidy, one, f"{tmp_path}/data")
+    assert spark.read.json(f"{tmp_path}/data/summary").first().message == "m"
+
+
+def test_gates_refuse_the_first_rule(spark):
+    counts = spark.createDataFrame([("subsidy", 3, 3, 0), ("procurement", 2, 1, 4)], "kind string, eligible long, imported long, other_stage long")
+    with pytest.raises(continuity.GateError, match="imported rows differ"):
+        gates.refuse(gates.import_gate(counts))
+    gates.refuse(gates.import_gate(counts.where("kind = 'subsidy'")))
+    with pytest.raises(continuity.GateError, match="nothing is eligible"):
+        gates.refuse(gates.import_gate(counts.where("false")))
+    assert gates.banned_fields(["id", "route", "flowDepth"]) == ["route", "flowDepth"]
+
+
+def test_rule_hash_of_the_publishers(spark):
+    found = summaries.pairs_hash(normalize.aliases(spark), "alias_name", "canonical", number=False).first().sha256
+    assert found.startswith("eb670af0")

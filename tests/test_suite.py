@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import ledgerlark.plans.gate_suite  # noqa: F401, registers more queries
 from ledgerlark.plans.suite import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
