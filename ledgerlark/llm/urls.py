@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,20 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 
-# Words of hosts that label an URL as unwanted in the training table.
-UNWANTED = ["adult", "ads-", "bets", "casino", "pills", "spam"]
+# Words in the names of unwanted sites, and of others, for the labelled table.
+UNWANTED = (
+    "gambling casinos poker slots jackpot betting bet365 sportsbets lottery roulette blackjack viagra cialis pharma pillstore painpills steroids xxx porn sexcam escort adults adultchat nude "
+    "adserver adsense popads adstream tracker tracking clickbait spammer spamming spambot phishing malware warez cracked keygen freemoney payday loans getrich miracle weightloss replica"
+).split()
+ORDINARY = (
+    "news weather library school museum garden recipes travel science history sports music health university city parliament hospital bakery painter bicycle forum wiki docs photo radio river mountain "
+    "kitchen family village theatre poetry biology chemistry physics economy insurance railway reading writing letters northern southern weekly daily standard thread other between there things"
+).split()
+# The most frequent pairs of letters of English, of which made-up names consist.
+PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sh ing ion ble ly wh".split()
+
+
+WEIGHTS = "weights__"
 
 
 def host_of(url: str) -> Column:
@@ -40,21 +54,24 @@ def features(dims: int, sizes: tuple[int, ...]) -> str:
     return f"concat(array_distinct(concat({', '.join(parts)})), array({dims}))"
 
 
-def labelled_sample(pages: DataFrame, most: int = 200) -> DataFrame:
-    """A small labelled table of distinct URLs: `most` of each label at most, the smallest by hash.
+def labelled_table(rows: int = 2400, seed: int = 3) -> list[tuple[str, str, bool]]:
+    """A small labelled table (host, path, blocked): half of the names hold an unwanted word, the others are ordinary words or made up.
 
-    An URL is labelled as blocked where its host holds a word of the list of unwanted ones.
+    Names are alone or joined to another word, under common prefixes and domains; paths say nothing about the label.
     """
-    urls = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").select("url", host_of("url").alias("host"), path_of("url").alias("path"))
-    bad = F.lit(False)
-    for word in UNWANTED:
-        bad = bad | F.col("host").contains(word)
-    urls = urls.select("url", "host", "path", bad.alias("blocked")).dropDuplicates(["url"])
-    order = [F.xxhash64("url"), F.col("url")]
-    return urls.where("blocked").orderBy(*order).limit(most).unionByName(urls.where("not blocked").orderBy(*order).limit(most))
-
-
-def train(labelled: DataFrame, dims: int = 4096, sizes: tuple[int, ...] = (3, 4), epochs: int = 60, rate: float = 1.0, decay: float = 0.002) -> list[float]:
+    rng = random.Random(seed)
+    joined = "best top x now online club shop my the 24 world farm win free cheap track".split()
+    out = []
+    for k in range(rows):
+        word = rng.choice(UNWANTED) if k % 2 else rng.choice(ORDINARY) if k % 4 else "".join(rng.choices(PAIRS, k=rng.randint(2, 4)))
+        other = rng.choice(joined if k % 2 else joined[:12])  # the last four rather go with unwanted names
+        name = rng.choice([word, f"{word}-{other}", f"{other}-{word}", f"{word}{other}", f"{other}{word}"] if k % 2 else [word, word, f"{word}-{other}", f"{other}-{word}"])
+        host = rng.choice(["", "www.", "m.", "blog."]) + name + rng.choice([".com", ".net", ".org", ".info", ".example.com", ".example.net", ".example.org"])
+        out.append((host, f"/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randint(1, 9999)}{rng.choice(['', '/', '.html'])}", bool(k % 2)))
+    return out
+
+
+def train(labelled: DataFrame, dims: int = 8192, sizes: tuple[int, ...] = (3, 4), epochs: int = 80, rate: float = 1.0, decay: float = 0.0005) -> list[float]:
     """Weights of dims buckets and the intercept, by full-batch gradient steps over a small labelled table.
 
     `labelled` (host, path, blocked) is bounded by its maker; it becomes one array, and every step is one
@@ -75,7 +92,7 @@ def train(labelled: DataFrame, dims: int = 4096, sizes: tuple[int, ...] = (3, 4)
     return list(fitted[0]["w"]) if fitted else [0.0] * dims + [-1.0]
 
 
-def judge(pages: DataFrame, weights: list[float], dims: int = 4096, sizes: tuple[int, ...] = (3, 4), rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(pages: DataFrame, weights: list[float], dims: int = 8192, sizes: tuple[int, ...] = (3, 4), rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """The columns of `pages` with host, path, rule, score and verdict (allow or block) of its url.
 
     A rule fits its host and all subdomains of it where the path starts with the rule's; of several the
@@ -88,6 +105,7 @@ def judge(pages: DataFrame, weights: list[float], dims: int = 4096, sizes: tuple
     for host, path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
         rule, told = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(told)
-    margin = f"aggregate({features(dims, sizes)}, 0d, (t, j) -> t + get(weights, j))"
-    rows = rows.withColumn("weights", constant_array(weights)).withColumn("score", F.expr(f"1d / (1d + exp(-{margin}))")).drop("weights")
+    margin = f"aggregate({features(dims, sizes)}, 0d, (t, j) -> t + get({WEIGHTS}, j))"
+    scored = f"1d / (1d + exp(-{margin}))"
+    rows = rows.withColumn(WEIGHTS, constant_array(weights)).withColumn("score", F.expr(scored)).drop(WEIGHTS)
     return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(told, F.when(F.col("score") >= 0.5, "block").otherwise("allow")))

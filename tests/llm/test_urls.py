@@ -1,7 +1,6 @@
+import random
 import re
 
-import pytest
-
 from ledgerlark.llm import urls
 from ledgerlark.llm.queries import op4_urls
 
@@ -32,17 +31,27 @@ def test_rules_match_brute_force(spark, tmp_path):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
 
 
-def test_model_learns_words_of_hosts(spark):
-    good = [f"http://{w}.example.com/en/{i}" for i, w in enumerate(["weather", "library", "garden", "school", "museum", "recipes"] * 8)]
-    bad = [f"http://{w}.example.com/en/{i}" for i, w in enumerate(["casino-win", "cheap-pills", "free-bets", "spam-farm"] * 6)]
-    frame = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "page_id bigint, url string")
-    weights = urls.train(urls.labelled_sample(frame))
-    told = urls.judge(spark.createDataFrame([(0, "http://my-casino.example.org/de/4"), (1, "http://city-library.example.org/de/4")], "page_id bigint, url string"), weights)
-    assert [r.verdict for r in told.orderBy("page_id").collect()] == ["block", "allow"]
+def fitted(spark, rows=None):
+    return urls.train(spark.createDataFrame(urls.labelled_table() if rows is None else rows, "host string, path string, blocked boolean"))
+
+
+def test_hosts_that_training_does_not_hold(spark):
+    """Held-out hosts: other words, other names made up, other companions."""
+    rng = random.Random(11)
+    bad = [f"{p}{w}" for w in ("casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track", "poker77", "onlinegambling", "viagras", "pornhouse", "lotterywinner", "payday-loan") for p in ("", "www.", "m.", "blog.", "de.")]
+    good = ["".join(rng.choices(urls.PAIRS, k=4)) + rng.choice(["a", "o", "us"]) for _ in range(60)] + "townhall publisher orchestra teacher farmers-market biologists sailing cathedral bookshelf carpenter students weathermap".split()
+    judged = {f"{h}.example.com" for h in bad + good}
+    table = [r for r in urls.labelled_table() if r[0] not in judged]
+    rows = [(i, f"http://{h}.example.com/en/{i}", i < len(bad)) for i, h in enumerate(bad + good)]
+    told = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, weights boolean"), fitted(spark, table), rules=[]).collect()
+    hit = sum(r.verdict == "block" and r.weights for r in told)
+    false = sum(r.verdict == "block" and not r.weights for r in told)
+    assert hit >= 0.9 * len(bad) and false <= 0.05 * len(good)
 
 
-@pytest.mark.parametrize("rows", [[], [(1, "http://only.good/x")]])
-def test_without_both_labels(spark, rows):
-    frame = spark.createDataFrame(rows, "page_id bigint, url string")
-    told = urls.judge(frame, urls.train(urls.labelled_sample(frame))).collect()
-    assert [r.verdict for r in told] == ["allow"] * len(rows)
+def test_without_rows_and_without_both_labels(spark):
+    one = [("only.good", "/x", False)]
+    for rows in ([], one):
+        told = urls.judge(spark.createDataFrame([(1, "http://only.good/x"), (2, "http://casino.com/")], "page_id bigint, url string"), fitted(spark, rows)).collect()
+        assert [r.verdict for r in told] == ["allow"] * 2
+    assert urls.judge(spark.createDataFrame([], "page_id bigint, url string"), fitted(spark, one)).collect() == []
