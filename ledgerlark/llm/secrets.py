@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bound, constant_array, match_spans
@@ -21,6 +21,15 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
+# Words that identifiers are commonly made of.
+WORDS = (
+    "account action address admin application array backend balance batch block buffer button bytes cache callback category channel character check class client cluster code collection column command comment commit component "
+    "config connection constant container content context control controller convert count create currency current customer data database date default delete delivery dependency description detail device directory display document "
+    "domain driver element email enabled encoding endpoint engine entity environment error event example exception execute export extension factory feature field file filter folder format frame framework function gateway global "
+    "graph group handler header height history host identifier image import index information initialize input instance integer interface internal invoice item iterator java kernel label language layout length library license "
+    "limit listener local location manager mapping maximum memory message metadata method minimum model module monitor name network notification number object offset operation option order output package parameter parent parser "
+    "partition password path payment permission platform policy position prefix previous process product profile project property protocol provider public query queue reader record reference region register request resource response"
+).split()
 FIRST, ALPHABET = 32, 95  # printable ASCII; code 32 stands for "before the first character"
 
 
@@ -36,22 +45,35 @@ def base_spans(text: str) -> Column:
     return F.expr(f"sort_array(concat({', '.join(kinded(k, spans) for k, spans in kinds)}))")
 
 
-def labelled_samples(docs: DataFrame, most_docs: int = 20_000) -> DataFrame:
-    """(text, random) samples from the documents: values of pattern spans against ordinary words.
+def random_strings(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """(text, random) of n random strings, a fifth each in base64, letters and digits, capitals and digits, small letters and digits, hex.
 
-    A classifier may be fitted on a bounded sample: about `most_docs` rows are read, chosen by a hash of
-    doc_id. Values that assignments and keys carry are labelled random, words of eight or more characters
-    outside of any pattern span that hold no digit are labelled ordinary.
+    They come from hashes of numbers, so they are the same everywhere.
+    """
+    base64 = "base64(unhex(sha2(cast(id as string), 256)))"
+    plain = f"regexp_replace({base64}, '[^A-Za-z0-9]', '')"
+    kinds = [f"rtrim('=', {base64})", plain, f"upper({plain})", f"lower({plain})", "substr(sha2(cast(id as string), 256), 1, 32)"]
+    text = " ".join(f"when {k} then {kind}" for k, kind in enumerate(kinds))
+    return spark.range(n).selectExpr(f"case id % {len(kinds)} {text} end as text", "true as random")
+
+
+def labelled_samples(docs: DataFrame, most_docs: int = 20_000, n_random: int = 6000) -> DataFrame:
+    """(text, random) samples: random strings of several alphabets against identifiers made of ordinary words.
+
+    A classifier may be fitted on a bounded sample: the words are those of four letters and more of about
+    `most_docs` rows, chosen by a hash of doc_id, and a fixed list in several orders. Identifiers are words alone, capitalised, in capitals, and
+    neighbouring ones joined by `_`, by `-` and by capitals, with a small number at the end of one in four.
     """
     n = docs.count()
-    share = min(1.0, most_docs / max(n, 1))
-    rows = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    value = ASSIGN_HEAD.strip("^$")
-    random = f"filter(concat(regexp_extract_all(text, r'{value}', 1), regexp_extract_all(text, r'{ACCESS}|{HEX}', 0)), v -> char_length(v) >= 12 and v rlike '[0-9]')"
-    ordinary = "regexp_extract_all(text, r'(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{8,}(?![A-Za-z0-9+/_=-])', 0)"
-    both = [f"transform(array_distinct({values}), v -> named_struct('text', v, 'random', {label}))" for values, label in ((random, "true"), (ordinary, "false"))]
-    return rows.select(F.explode(F.expr(f"concat({', '.join(both)})")).alias("s")).select("s.*")
+    rows = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 50)) < int(min(1.0, most_docs / max(n, 1)) * (1 << 50)))
+    fixed = docs.sparkSession.range(40).select(F.expr(f"transform(sequence(0, {len(WORDS) - 1}), i -> get(split('{' '.join(WORDS)}', ' '), cast((i * (1 + id * 2) + id) % {len(WORDS)} as int)))").alias("w"))
+    rows = rows.select(F.expr(r"array_distinct(regexp_extract_all(coalesce(cast(text as string), ''), r'(?<![A-Za-z0-9])[A-Za-z]{4,}(?![A-Za-z0-9])', 0))").alias("w")).unionByName(fixed)
+    at = lambda k: f"coalesce(get(w, i + {k}), '')"
+    forms = [at(0), f"initcap({at(0)})", f"upper({at(0)})", f"concat_ws('_', lower({at(0)}), lower({at(1)}), lower({at(2)}))", f"concat_ws('-', lower({at(0)}), lower({at(1)}))", f"concat(lower({at(0)}), initcap({at(1)}), initcap({at(2)}))"]
+    form = " ".join(f"when {k} then {x}" for k, x in enumerate(forms))
+    ended = f"concat(case i % {len(forms)} {form} end, if(i % 4 = 0, cast(1 + i % 2030 as string), ''))"
+    ordinary = rows.select(F.explode(F.expr(f"array_distinct(transform(w, (x, i) -> {ended}))")).alias("text"), F.lit(False).alias("random"))
+    return ordinary.unionByName(random_strings(docs.sparkSession, n_random)) if n_random else ordinary
 
 
 def codes(token: str) -> str:

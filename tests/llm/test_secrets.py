@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from ledgerlark.llm import secrets
 from ledgerlark.llm.queries import op7_secrets
@@ -38,14 +40,37 @@ def test_base_matches_brute_force(spark, tmp_path):
 
 def test_model_tells_random_strings_from_words(spark):
     words = ["configuration", "documentation", "identifier", "international", "performance", "understanding", "transformation", "representation"]
-    random = [hashlib.sha1(bytes([i])).hexdigest() for i in range(40)]
-    table = secrets.train(spark.createDataFrame([(w, False) for w in words * 5] + [(r, True) for r in random], "text string, random boolean"))
+    drawn = [hashlib.sha1(bytes([i])).hexdigest() for i in range(40)]
+    table = secrets.train(spark.createDataFrame([(w, False) for w in words * 5] + [(r, True) for r in drawn], "text string, random boolean"))
     text = "see internationalrepresentation and X7fQ2mZk9Rt4LpW8vB3nY6cD done"
     [row] = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), table).collect()
     assert [(s.kind, text[s.start : s.end]) for s in row.spans] == [("markov", "X7fQ2mZk9Rt4LpW8vB3nY6cD")]
 
 
+def test_planted_secrets_that_no_pattern_finds(spark):
+    """Held out: secrets drawn by another generator, identifiers of words that the sample does not hold."""
+    rng = random.Random(9)
+    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    seen = "weather garden children winter reading market history kitchen railway library morning evening northern teacher village mountain".split()
+    fresh = "configuration understanding representation international description management information previous development background transport customer".split()
+    docs = [(i, " ".join(rng.choices(seen, k=60))) for i in range(60)]
+    made, planted, plain = [], 0, 0
+    for i in range(120):
+        words = rng.choices(fresh, k=3)
+        names = ["_".join(words), "-".join(words), words[0] + "".join(w.capitalize() for w in words[1:]), "".join(words), "_".join(words).upper(), f"{words[0]}_{words[1]}_{rng.randint(1, 2030)}"]
+        secret = "".join(rng.choices(alphabets[i % 4], k=rng.randint(20, 48)))
+        made.append((1000 + i, f"{rng.choice(names)} value {secret} of {rng.choice(names)}", secret))
+        planted, plain = planted + 1, plain + 2
+    frame = spark.createDataFrame(docs + [(i, t) for i, t, _ in made] + [(5000, "x " * 60_000 + made[0][2] + " y" * 60_000)], "doc_id bigint, text string")
+    table = secrets.train(secrets.labelled_samples(frame.where("doc_id < 1000")))
+    spans = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in secrets.scan(frame, table).collect()}
+    hit = sum(any(v == secret for _, v in spans[i]) for i, _, secret in made)
+    false = sum(kind == "markov" and v != secret for i, _, secret in made for kind, v in spans[i])
+    assert hit >= 0.95 * planted and false <= 0.02 * plain
+    assert [v for _, v in spans[5000]] == [made[0][2]] and not any(spans[i] for i, _ in docs)
+
+
 def test_empty_table_and_no_samples(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
-    table = secrets.train(secrets.labelled_samples(none))
-    assert set(table) == {0.0} and secrets.scan(none, table).count() == 0
+    assert secrets.scan(none, secrets.train(secrets.labelled_samples(none))).count() == 0
+    assert set(secrets.train(secrets.labelled_samples(none, n_random=0))) == {0.0}
