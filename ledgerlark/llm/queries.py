@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, neardup, packing, pii, secrets, urls, vectors
+from . import chat, decontaminate, langid, licenses, neardup, oracle, packing, pii, secrets, urls, vectors
 from .shared import table, written
 
 
@@ -83,7 +83,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_min(places.place) as first_word", "array_max(places.place) as last_word",
         "array_join(sort_array(array_distinct(places.label)), ',') as base_labels",
         "array_join(sort_array(array_distinct(concat(places.label, found.label))), ',') as labels",
-        "score",
+        "round(score, 9) as score",
     )
 
 
@@ -116,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL}
+    return {"op3_preferences": OP3_SQL, "op5_vectors": oracle.OP5_SQL, "op8_neardup": oracle.OP8_SQL, "op10_licenses": oracle.op10_sql()}
