@@ -6,7 +6,8 @@ not be where the item has it, as halves may be swapped. So all starts are looked
 shingle, and a window is laid where enough of its shingles are any of the items' of its length: the exact
 similarity of others is too low, whatever the item, and they need no fingerprint. Windows of equal words are fingerprinted once, however many
 documents hold them. Fingerprints are cut into radius + 1 blocks of bits: two within the radius agree in a
-block at least, so joining on (length, block, bits) finds all of them. Candidates are then compared exactly,
+block at least, so joining on (length, block, bits) finds all of them. At a radius that loses nothing the blocks
+are short, so it is the bound on shared shingles that keeps the candidates few. Candidates are then compared exactly,
 by the Jaccard similarity of their shingles weighted by how often they occur: the n-th occurrence of a
 shingle is a feature of its own, in fingerprints too.
 """
@@ -95,8 +96,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     for size in sorted(r["size"] for r in counts) or [words]:
         held = rows.withColumn("shingles", F.expr(shingles_of("words", size, words)))
         # The outer form, as for the other one a filter on the array's size would hash everything a second time.
-        hits = held.select("doc_id", "text_hash", "words", F.posexplode_outer("shingles").alias("place", "shingle"))
+        # Where the index is too large to broadcast, shingles are shuffled without the words, and hits get them afterwards.
+        carried = ["words"] if small else []
+        hits = held.select("doc_id", "text_hash", *carried, F.posexplode_outer("shingles").alias("place", "shingle"))
         hits = hits.join(ship(seeds.where(F.col("size") == size).drop("size")), "shingle")
+        if not small:
+            texts = rows.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "words")
+            hits = hits.drop("shingle").distinct().join(texts, F.expr("doc_id <=> of_doc and text_hash = of_hash"))
         # All starts whose window holds the hit, and the words of all of these windows.
         hits = hits.selectExpr("doc_id", "text_hash", "n_words", f"{size} as size", f"greatest(place - n_words + {size}, 0) as lo", "least(place, greatest(size(words) - n_words, 0)) as hi", "words")
         hits = hits.selectExpr("doc_id", "text_hash", "n_words", "size", "lo", "hi", "slice(words, lo + 1, hi - lo + n_words) as around").dropDuplicates(["doc_id", "text_hash", "n_words", "size", "lo", "hi"])

@@ -1,6 +1,7 @@
+import hashlib
 import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 
@@ -96,3 +97,71 @@ def test_equal_phones_stay_linked(spark):
     assert len(set(digits[:5])) == 1 and digits[0] == "1" + digits[5] and digits[0][1:] != "0175557713"
     assert len(set(digits[6:9])) == 1 and digits[6].startswith("49") and digits[9] == digits[10] and digits[9].startswith("352")
     assert [r.text for r in sorted(pii.pseudonymise(once, KEY, back=True).collect(), key=lambda r: r.doc_id)] == same + others
+
+
+class Brute:
+    """The permutations spelled out value by value."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def sha(self, *parts):
+        return hashlib.sha256("|".join([self.key, *map(str, parts)]).encode()).hexdigest()
+
+    def number(self, v, a, b, kind):
+        left, right = divmod(v, b)
+        for k in range(8):
+            left = (left + int(self.sha(kind, "l", k, right)[:15], 16)) % a
+            right = (right + int(self.sha(kind, "r", k, left)[:15], 16)) % b
+        return left * b + right
+
+    def digits(self, d, kind):
+        return str(self.number(int(d), 10 ** (len(d) - len(d) // 2), 10 ** (len(d) // 2), kind)).zfill(len(d))
+
+    def text(self, v, kind):
+        def shift(half, sha):
+            out = ""
+            for i, c in enumerate(half):
+                for lo, size in (("0", 10), ("a", 26), ("A", 26)):
+                    if ord(lo) <= ord(c) < ord(lo) + size:
+                        c = chr(ord(lo) + (ord(c) - ord(lo) + int(sha[i % 16 * 4 :][:4], 16)) % size)
+                        break
+                out += c
+            return out
+
+        left, right = v[: len(v) // 2], v[len(v) // 2 :]
+        for k in range(8):
+            left = shift(left, self.sha(kind, "l", k, right))
+            right = shift(right, self.sha(kind, "r", k, left))
+        return left + right
+
+
+def test_equals_permuting_value_by_value(spark):
+    rng, brute, want = random.Random(3), Brute("plain-key"), []
+    for i in range(40):
+        day = date(1800, 1, 1) + timedelta(days=rng.randrange(189 * 773))
+        moved = date(1800, 1, 1) + timedelta(days=brute.number((day - date(1800, 1, 1)).days, 189, 773, "date"))
+        want.append((day.isoformat(), moved.isoformat()))
+        want.append((day.strftime("%d.%m.%Y"), moved.strftime("%d.%m.%Y")))
+        octets = [rng.randrange(256) for _ in range(4)]
+        ip = brute.number(int.from_bytes(bytes(octets)), 65536, 65536, "ip").to_bytes(4)
+        want.append((".".join(map(str, octets)), ".".join(map(str, ip))))
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randint(1, 99), rng.randint(1, 9999)
+        at = brute.number(((area - (2 if area > 666 else 1)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn")
+        index = at // 9999 // 99
+        want.append((f"{area:03}-{group:02}-{serial:04}", f"{index + (2 if index > 664 else 1):03}-{at // 9999 % 99 + 1:02}-{at % 9999 + 1:04}"))
+        body = "".join(rng.choices("0123456789", k=15))
+        check = lambda b: next(c for c in "0123456789" if luhn(b + c))
+        moved = brute.digits(body, "card")
+        want.append((body + check(body), moved + check(moved)))
+        national = f"{rng.randint(200, 999)}{rng.randint(1000000, 9999999)}"
+        moved = brute.digits(national, "phone")
+        want.append((f"+1 {national[:3]} {national[3:6]} {national[6:]}", f"+1 {moved[:3]} {moved[3:6]} {moved[6:]}"))
+        local = "".join(rng.choices("abcXYZ019", k=rng.randint(1, 9)))
+        want.append((f"{local}@mail.example.com", f"{brute.text(local, 'email')}@mail.example.com"))
+        account = "".join(rng.choices("0123456789", k=18))
+        iban = lambda a: f"DE{98 - int(a + '131400') % 97:02}{a}"
+        want.append((iban(account), iban(brute.text(account, "iban"))))
+    docs = spark.createDataFrame([(i, f"see {a} now") for i, (a, _) in enumerate(want)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs, "plain-key").collect()}
+    assert [got[i] for i in range(len(want))] == [f"see {b} now" for _, b in want]
