@@ -50,6 +50,9 @@ def parse_amount(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(bare, "^[△▲]", "-"), r"^\((.*)\)$", "-$1")
     bare = F.trim(bare)
     number = F.when(bare == "", F.lit(0.0)).when(bare.rlike(NUMBER), bare.try_cast("double"))
+    for mark, digits, base in (("x", "0-9a-fA-F", 16), ("o", "0-7", 8), ("b", "01", 2)):  # more digits than these are beyond exact doubles
+        most = 14 if base == 16 else 18 if base == 8 else 53
+        number = number.when(bare.rlike(f"^0[{mark}{mark.upper()}]0*[{digits}]{{1,{most}}}$"), F.conv(F.substring(bare, 3, 1000), base, 10).try_cast("double"))
     whole = (number == F.floor(number)) & (F.abs(number) <= SAFE)
     return F.when((text != "") & whole, number.cast("long"))
 
@@ -103,8 +106,10 @@ def semantic_hash(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]")), 256)
 
 
-def escape_table(c: Column) -> Column:
-    """A cell of a Markdown table; a null says so."""
+def escape_table(c: Column, present: Column | None = None) -> Column:
+    """A cell of a Markdown table; a null says so, and a value that is not `present` is a dash."""
+    if present is not None:
+        return F.when(present, escape_table(c)).otherwise("—")
     return F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("null")), r"\|", r"\\|"), r"\r?\n", " ")
 
 

@@ -41,38 +41,59 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     )
 
 
-def assert_continuity(previous: DataFrame, candidate: DataFrame, allow_corrections: bool = False) -> dict:
-    """Counters of the comparison; the first rule that fails raises GateError.
+def continuity_counts(previous: DataFrame, candidate: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row: the counters of the diff, blank and repeated keys of either side, and records whose id kept but whose identity changed.
 
-    Only the counters and three sample keys reach the driver.
+    One outer join by key, one aggregation by key on each side, one join by id; blank keys take no part in the first.
     """
-    keys = ["stage", "sourceKey"]
+    blank = F.trim(F.coalesce(F.col(keys[-1]).cast("string"), F.lit(""))) == ""
+    out = diff_counts(snapshot_diff(previous.where(~blank), candidate.where(~blank), keys, fields))
     for name, df in (("previous", previous), ("candidate", candidate)):
-        bad = df.where("trim(coalesce(sourceKey, '')) = ''").limit(1).count() or duplicate_keys(df, keys).limit(1).count()
-        if name == "previous" and not df.limit(1).count():
-            raise GateError("the previous snapshot is empty")
-        if bad:
-            raise GateError(f"keys of the {name} snapshot are blank or repeated")
+        per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(blank).alias("blank"))
+        bad = per_key.agg(F.coalesce(F.sum(F.when(F.col("blank") | (F.col("n") > 1), F.col("n"))), F.lit(0)).alias(f"{name}_bad_keys"))
+        out = out.crossJoin(bad)  # one row with one row
+    old = previous.select("id", F.struct(*R.IDENTITY).alias("old"))
+    moved = old.join(candidate.select("id", F.struct(*R.IDENTITY).alias("new")), "id").agg(F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("moved_ids"))
+    return out.crossJoin(moved)
+
+
+def continuity_verdicts(counts: DataFrame, allow_corrections: bool = False) -> DataFrame:
+    """(position, rule, failures) of `continuity_counts`, in the order in which a candidate is refused."""
+    c = F.col
+    limit = F.greatest(F.lit(1), F.least(F.lit(100), F.ceil(c("previous_rows") * 2 / 1000)))
+    rules = [("the previous snapshot is empty", (c("previous_rows") == 0).cast("long")), ("keys of the previous snapshot are blank or repeated", c("previous_bad_keys")), ("keys of the candidate snapshot are blank or repeated", c("candidate_bad_keys"))]
     if allow_corrections:
-        moved = previous.select("id", *[F.col(f).alias(f"old_{f}") for f in R.IDENTITY]).join(candidate.select("id", *R.IDENTITY), "id")
-        changed = F.lit(False)
-        for f in R.IDENTITY:
-            changed = changed | ~F.col(f).eqNullSafe(F.col(f"old_{f}"))
-        if moved.where(changed).limit(1).count():
-            raise GateError("an identity field of a record changed")
-    diff = snapshot_diff(previous, candidate, keys, [f for f in R.SEMANTIC if f not in keys])
-    n = diff_counts(diff).first().asDict()
-    sample = lambda status: [tuple(r) for r in diff.where(F.col("status") == status).select(*keys).orderBy(*keys).limit(3).collect()]
-    limit = R.correction_limit(n["previous_rows"])
-    if n["removed_rows"]:
-        raise GateError(f"{n['removed_rows']} keys are missing: {sample('removed')}")
-    if n["changed_rows"] and not allow_corrections:
-        raise GateError(f"{n['changed_rows']} rows changed: {sample('changed')}")
-    if n["identity_changes"]:
-        raise GateError("an identity field of a record changed")
-    if n["changed_rows"] > limit:
-        raise GateError(f"{n['changed_rows']} corrections exceed the limit of {limit}")
-    return n | {"correction_limit": limit}
+        rules.append(("an identity field of a record changed", c("moved_ids")))
+    rules.append(("keys are missing", c("removed_rows")))
+    if not allow_corrections:
+        rules.append(("rows changed", c("changed_rows")))
+    rules += [("an identity field of a row changed", c("identity_changes")), ("corrections beyond the limit", F.greatest(c("changed_rows") - limit, F.lit(0)))]
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("position"), F.lit(rule).alias("rule"), n.cast("long").alias("failures")) for k, (rule, n) in enumerate(rules, 1)])))
+
+
+def assert_continuity(previous: DataFrame, candidate: DataFrame, allow_corrections: bool = False) -> dict:
+    """Counters of the comparison; the first rule that fails raises GateError, with three keys where it is about keys.
+
+    Only the counters and the sample reach the driver, and the snapshots are compared once unless a rule fails.
+    """
+    keys = ["stage", "sourceKey"]
+    fields = [f for f in R.SEMANTIC if f not in keys]
+    n = continuity_counts(previous, candidate, keys, fields).first().asDict()
+    row = previous.sparkSession.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
+    for r in continuity_verdicts(row, allow_corrections).where("failures > 0").orderBy("position").limit(1).collect():
+        status = {"keys are missing": "removed", "rows changed": "changed"}.get(r["rule"])
+        found = snapshot_diff(previous, candidate, keys, fields).where(F.col("status") == status).select(*keys).orderBy(*keys).limit(3).collect() if status else []
+        raise GateError(f"{r['rule']}: {r['failures']}" + f" {[tuple(x) for x in found]}" * bool(found))
+    return n | {"correction_limit": R.correction_limit(n["previous_rows"])}
+
+
+def import_totals(counts: DataFrame) -> DataFrame:
+    """One row of totals of (kind, eligible, imported, dashboard): sums, the gap, the difference to the dashboard and how they compare."""
+    known = F.count("dashboard") == F.count("*")
+    board = F.when(known, F.sum("dashboard"))
+    difference = board - F.sum("eligible")
+    status = F.when(board.isNull(), "unavailable").when(difference == 0, "matched").otherwise("different")
+    return counts.agg(F.sum("eligible").alias("eligible"), F.sum("imported").alias("imported"), (F.sum("eligible") - F.sum("imported")).alias("gap"), board.alias("dashboard"), difference.alias("difference"), status.alias("status"))
 
 
 def import_audit(counts: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import gates, normalize, search, summaries
+from ..operators import continuity, gates, normalize, search, summaries
 from ..sources import adoptions, files
 from .suite import DATED, DIGIT_SUM, FISCAL, dated, query, searchable, snapshots, table
 
@@ -209,8 +212,6 @@ def manifest_names(spark, sf_dir):
   JOIN (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) + CAST(o_orderpriority = '1-URGENT' AS INT) AS a, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN 'x|y' ELSE NULLIF(o_orderpriority, '2-HIGH') END AS b
   FROM orders WHERE o_orderpriority <> '5-LOW') c ON p.id = c.id, (SELECT unnest(['amount', 'stage']) AS field) u WHERE CASE WHEN u.field = 'amount' THEN p.a <> c.a ELSE p.b IS DISTINCT FROM c.b END""")
 def change_lines(spark, sf_dir):
-    from ..operators import continuity
-
     old, new = snapshots(spark, sf_dir)
     blank = {c: F.lit(None).cast("string") for c in summaries.AUDITED if c not in ("id", "amount", "stage")}
     old, new = old.withColumns(blank), new.withColumns(blank)
@@ -355,3 +356,63 @@ def plain_dashboards(spark, sf_dir):
 def escaped_hash(spark, sf_dir):
     text = F.concat(F.lit("a\x1fb\x7f"), "o_orderstatus", F.lit("\f\\u001F"))
     return table(spark, sf_dir, "orders").select("o_orderkey", S.semantic_hash([(text, False)]).alias("hash"))
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share; on one machine without such a setting, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerlark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL")
+def published_rows(spark, sf_dir):
+    records = normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0]
+    root = scratch(spark, "site")
+    files.publish(records, root, "one")
+    return files.read_published(spark, root, files.public_rows(records).schema).select("id", "date", "amount", "amountRaw", "sourceKey")
+
+
+@query(f"SELECT coalesce(CAST(fy AS VARCHAR), 'unclassified') AS year_key, count(*) AS n_rows FROM {RECORD} WHERE canonical IS NOT NULL GROUP BY 1")
+def verified_files(spark, sf_dir):
+    records = normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0]
+    path = files.publish(records, scratch(spark, "site"), "one")
+    rows = files.read_listed(spark, path, files.file_receipts(spark, path), files.public_rows(records).schema)
+    return rows.groupBy(F.regexp_extract("file", "year_key=([^/]+)/", 1).alias("year_key")).agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) + 1 AS n, CASE WHEN o_orderpriority = '5-LOW' THEN 'a,\"b\"' || chr(10) || 'c' ELSE o_orderpriority END AS cell FROM orders")
+def bulk_csv_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderpriority") == "5-LOW", 'a,"b"\nc').otherwise(F.col("o_orderpriority")).alias("cell"))
+    path = scratch(spark, "evidence")
+    files.write_evidence({"subsidy": rows.coalesce(1)}, spark.range(1), path)
+    return files.read_bulk_csv(spark, f"{path}/subsidy", stage=f"{path}/stage").selectExpr("cast(id as long) as id", "cast(sourceRowNumber as long) as n", "cell")
+
+
+@query("""SELECT CAST(sum(e) AS BIGINT) AS eligible, CAST(sum(i) AS BIGINT) AS imported, CAST(sum(e) - sum(i) AS BIGINT) AS gap, CAST(sum(n) AS BIGINT) AS dashboard, CAST(sum(n) - sum(e) AS BIGINT) AS difference, CASE WHEN sum(n) = sum(e) THEN 'matched' ELSE 'different' END AS status
+  FROM (SELECT count_if(o_totalprice > 20000) AS e, count_if(o_totalprice > 10000) AS i, count(*) AS n FROM orders GROUP BY o_orderstatus)""")
+def import_totals(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.expr("count_if(o_totalprice > 20000)").alias("eligible"), F.expr("count_if(o_totalprice > 10000)").alias("imported"), F.count("*").alias("dashboard"))
+    return continuity.import_totals(counts)
+
+
+CONTINUITY = """SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS position, unnest(['the previous snapshot is empty', 'keys of the previous snapshot are blank or repeated', 'keys of the candidate snapshot are blank or repeated', 'an identity field of a record changed',
+  'keys are missing', 'an identity field of a row changed', 'corrections beyond the limit']) AS rule, unnest([0, 0, CAST(count_if(o_orderkey % 10 = 7) AS BIGINT), count_if(o_orderkey % 10 IN (2, 7)), count_if(o_orderkey % 10 IN (1, 7)), count_if(o_orderkey % 10 = 2),
+  greatest(count_if(o_orderkey % 10 IN (2, 3)) - greatest(1, least(100, CAST(ceil(count(*) * 2 / 1000) AS BIGINT))), 0)]) AS failures FROM orders"""
+
+
+@query(CONTINUITY)
+def continuity_verdicts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 10 as k", "cast(o_orderkey as string) as id", "'contracted' as stage", "cast(o_orderkey as string) as sourceKey", "'1' as corporateNumber", "'IPA' as publisherCanonical", "o_totalprice as amount")
+    new = rows.where("k != 1").withColumns({"corporateNumber": F.expr("if(k = 2, '2', '1')"), "amount": F.expr("if(k = 3, amount + 1, amount)"), "sourceKey": F.expr("if(k = 7, ' ', sourceKey)")})
+    counts = continuity.continuity_counts(rows.drop("k"), new.drop("k"), ["stage", "sourceKey"], ["corporateNumber", "publisherCanonical", "amount"])
+    return continuity.continuity_verdicts(counts, allow_corrections=True)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END AS amount FROM orders")
+def radix_amounts(spark, sf_dir):
+    text = F.expr("case o_orderkey % 4 when 0 then concat('0x', lower(hex(o_orderkey)), '円') when 1 then concat('0B', bin(o_orderkey)) when 2 then concat('0o', conv(o_orderkey, 10, 8)) else concat('-0x', hex(o_orderkey)) end")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_amount(text).alias("amount"))

@@ -78,13 +78,17 @@ def dashboard_counts(pages: DataFrame, html: str, label: str) -> DataFrame:
     return rows.select(*own, pick(5, 2).alias("subsidies"), pick(6, 3).alias("procurements"))
 
 
-def adoption_rows(pages: DataFrame, html: str) -> DataFrame:
-    """The rows of adoption pages, from the JSON that a script element carries."""
-    text = F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+def adoption_rows(pages: DataFrame, html: str, base: str | None = None) -> DataFrame:
+    """The rows of adoption pages, from the JSON that a script element carries; with `base`, sourceUrl is the address of each below it.
+
+    Pages that `adoptions.page_faults` finds malformed have no rows here: ask it first, and refuse them.
+    """
+    text = F.regexp_extract(html, r'''(?is)<script[^>]*\bid=["']__NEXT_DATA__["'][^>]*>(.*?)</script>''', 1)
     listed = pages.withColumn("json__", F.from_json(text, ADOPTIONS)).select("*", F.posexplode("json__.props.pageProps.listView").alias("position", "row__"))
     fields = {"id": "id", "name": "name", "prefecture": "address", "subsidy": "subsidy", "year": "year", "round": "times", "plan": "plan"}
     keep = [c for c in pages.columns if c != html]
-    return listed.select(*keep, F.col("json__.props.pageProps.total").alias("total"), "position", *[F.trim(F.col(f"row__.{v}")).alias(k) for k, v in fields.items()])
+    address = [S.component_url(f"{base}/", F.trim(F.col("row__.id"))).alias("sourceUrl")] if base else []
+    return listed.select(*keep, F.col("json__.props.pageProps.total").alias("total"), "position", *[F.trim(F.col(f"row__.{v}")).alias(k) for k, v in fields.items()], *address)
 
 
 def public_rows(records: DataFrame) -> DataFrame:
