@@ -25,14 +25,16 @@ def valid_iso_date(year: Column, month: Column, day: Column) -> Column:
     return F.when((year != "") & (F.length(year) == 4) & (F.year(date) >= 100), F.date_format(date, "yyyy-MM-dd"))
 
 
+# Y-M-D or Y/M/D, YYYYMMDD, and Y年M月D日 anywhere.
+DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$|^[0-9]{8}$|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日"
+
+
 def parse_date(c: Column) -> Column:
     """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null."""
-    text = clean_cell(c)
-    found = []
-    for pattern in (r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$", r"^([0-9]{4})([0-9]{2})([0-9]{2})$", r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"):
-        parts = [F.regexp_extract(text, pattern, k) for k in (1, 2, 3)]
-        found.append(F.when(text.rlike(pattern), valid_iso_date(*parts)))
-    return F.coalesce(*found)
+    found = F.regexp_extract(clean_cell(c), DATE, 0)
+    parts = F.split(found, "[-/年月日]")
+    part = lambda k, at, n: F.when(F.size(parts) == 1, F.substring(found, at, n)).otherwise(F.get(parts, F.lit(k)))
+    return valid_iso_date(part(0, 1, 4), part(1, 5, 2), part(2, 7, 2))
 
 
 def fiscal_year(date: Column) -> Column:

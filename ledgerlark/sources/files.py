@@ -166,12 +166,17 @@ def write_evidence(raw: dict[str, DataFrame], snapshot: DataFrame, path: str) ->
     snapshot.coalesce(1).write.mode("errorifexists").json(f"{path}/snapshot")
 
 
-def set_hash(df: DataFrame, by: list[str], key: str, buckets: int = 4096) -> DataFrame:
+def set_hash(df: DataFrame, by: list[str], key: str, buckets: int | None = None) -> DataFrame:
     """Hash of the set of keys of each group, as a tree: buckets of keys, sorted, then the sorted bucket hashes.
 
-    No group is gathered whole: a bucket holds a share of 1 / `buckets` of a group.
+    No group is gathered whole: a bucket holds a share of 1 / `buckets` of a group. Unless it is given, the number
+    follows from the number of rows: 4,096, doubled until a bucket has about 50,000 of them.
     """
-    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("long") % buckets
+    if buckets is None:
+        buckets, n = 4096, df.count()
+        while buckets * 50_000 < n:
+            buckets *= 2
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4 if buckets <= 65_536 else 12), 16, 10).cast("long") % buckets
     leaves = df.groupBy(*by, bucket.alias("bucket__")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("leaf__"))
     return leaves.groupBy(*by).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket__", "leaf__"))), lambda x: x["leaf__"]), "\n"), 256).alias("set_hash"))
 
