@@ -89,15 +89,15 @@ def _groups(texts: list[str], most_chars: int = 400_000, most: int = 64) -> Iter
         yield group
 
 
-def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most_per_lang: int = 2000) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most_per_lang: int = 2000, most_langs: int = 1000) -> dict[str, np.ndarray]:
     """Prototypes by language from rows of text and lang; null langs and null texts teach nothing.
 
     The classifier is fitted on a bounded sample: texts of about `most_per_lang` rows of each language, chosen by
-    a hash of the text, each text once however often it is repeated. Partitions bundle their rows, and the sums, one number for each language and
+    a hash of the text, each text once however often it is repeated; a profile is made for each of the `most_langs` most frequent labels. Partitions bundle their rows, and the sums, one number for each language and
     dimension, are all that reaches the driver. They are whole numbers of 1/256, so their order is free.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return {}
     keep = F.lit(False)
