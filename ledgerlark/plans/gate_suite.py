@@ -416,3 +416,18 @@ def continuity_verdicts(spark, sf_dir):
 def radix_amounts(spark, sf_dir):
     text = F.expr("case o_orderkey % 4 when 0 then concat('0x', lower(hex(o_orderkey)), '円') when 1 then concat('0B', bin(o_orderkey)) when 2 then concat('0o', conv(o_orderkey, 10, 8)) else concat('-0x', hex(o_orderkey)) end")
     return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_amount(text).alias("amount"))
+
+
+@query("SELECT c_custkey AS id, c_name AS organization, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(2000 + c_nationkey AS INT) END AS \"fiscalYear\" FROM customer")
+def search_index(spark, sf_dir):
+    rows, path = searchable(spark, sf_dir).withColumn("fiscalYear", F.col("fiscalYear").cast("int")), scratch(spark, "index")
+    n = files.write_index(rows, search.search_order(), path)
+    return files.read_index(spark, path, rows.schema, n).select("id", "organization", "fiscalYear")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS n_records, max(o_orderdate) AS newest FROM orders")
+def dataset_files(spark, sf_dir):
+    orders, path = table(spark, sf_dir, "orders"), scratch(spark, "dataset")
+    files.write_dataset(orders, orders.agg(F.max("o_orderdate").alias("newest")), path)
+    n = spark.read.schema(orders.schema).json(f"{path}/records").agg(F.count("*").alias("n_records"))
+    return n.crossJoin(spark.read.schema(orders.select(F.col("o_orderdate").alias("newest")).schema).json(f"{path}/summary"))  # one row with one row

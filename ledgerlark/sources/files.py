@@ -153,6 +153,21 @@ def read_listed(spark: SparkSession, folder: str, receipts: DataFrame, schema: T
     return spark.read.schema(schema).json(folder).withColumn("file", name)
 
 
+def write_index(rows: DataFrame, order: list[Column], path: str) -> int:
+    """The search index: public rows in search order, as gzip JSON files that follow one another; returns how many rows were written."""
+    seen = Observation("index")
+    rows.orderBy(*order).observe(seen, F.count("*").alias("n")).write.mode("errorifexists").option("compression", "gzip").json(path)
+    return seen.get["n"]
+
+
+def read_index(spark: SparkSession, path: str, schema: T.StructType, n_rows: int) -> DataFrame:
+    """The rows of a search index; refused where there are more or fewer than its metadata says."""
+    rows = spark.read.schema(schema).json(path)
+    if (found := rows.count()) != n_rows:
+        raise GateError(f"the index has {found} rows instead of {n_rows}")
+    return rows
+
+
 def write_dataset(records: DataFrame, metadata: DataFrame, path: str) -> None:
     """The full data set below `path`: all records, and the summary, which is the metadata without them."""
     records.write.mode("errorifexists").json(f"{path}/records")
