@@ -368,13 +368,14 @@ def member_sets(rows: dict[int, list[tuple[bytes, bytes, bytes]]]) -> Iterator[t
     if not len(sigs):
         return
     name = mixed(np.add.reduceat(mixed(nodes, 77), first, dtype=U64), 78)
+    whole = np.unique(whole)
+    dealt = np.searchsorted(sigs, whole.astype(np.uint32))  # two whole signatures may have one lower half
     keep = np.zeros(len(sigs), bool)
     keep[np.unique(name, return_index=True)[1]] = True
     keep &= size > 1
-    whole = np.unique(whole)
-    dealt = np.searchsorted(sigs, whole.astype(np.uint32))
-    name[dealt], keep[dealt] = mixed(whole, 13), True
-    yield name[keep].view(np.int64), size[keep], nodes[spread(first[keep], size[keep])].view(np.int64)
+    keep[dealt] = False
+    for names, at in ((name[keep], np.flatnonzero(keep)), (mixed(whole, 13), dealt)):
+        yield names.view(np.int64), size[at], nodes[spread(first[at], size[at])].view(np.int64)
 
 
 def met(rows: DataFrame, slots: int) -> DataFrame:
