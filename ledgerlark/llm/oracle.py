@@ -58,3 +58,19 @@ mm AS (SELECT doc_id, max(score) AS score, list(label) FILTER (score >= {least})
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(labels, [])))), ','), '') AS labels, round(coalesce(score, 0), 9) AS score FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN mm USING (doc_id)
 """
+
+
+#: Every window of an item's length that shares a shingle with it, compared exactly.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS size FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ig AS (SELECT item_id, n, size, unnest(list_transform(range(n - size + 1), lambda k: array_to_string(w[k + 1:k + size], ' '))) AS g FROM i),
+ic AS (SELECT item_id, n, size, g, count(*) AS c FROM ig GROUP BY ALL),
+dg AS (SELECT doc_id, len(w) AS m, size, unnest(range(greatest(len(w) - size, 0) + 1)) AS p, unnest(list_transform(range(greatest(len(w) - size, 0) + 1), lambda k: array_to_string(w[k + 1:k + size], ' '))) AS g
+  FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) > 0),
+s AS (SELECT doc_id, item_id, m, n, ic.size, ic.g, c, unnest(range(greatest(p - n + ic.size, 0), least(p, greatest(m - n, 0)) + 1)) AS start FROM dg JOIN ic ON dg.g = ic.g AND dg.size = ic.size),
+t AS (SELECT doc_id, item_id, m, n, size, start, least(count(*), c) AS k FROM s GROUP BY doc_id, item_id, m, n, size, start, g, c),
+u AS (SELECT doc_id, item_id, n, start, sum(k) AS shared, greatest(least(n, m) - size, 0) + 1 + n - size + 1 - sum(k) AS either FROM t GROUP BY doc_id, item_id, m, n, size, start)
+SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(either AS DOUBLE) AS similarity, start, n AS n_words FROM u WHERE 100 * shared >= 80 * either
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / either DESC, start) = 1
+"""
