@@ -14,18 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .neardup import rooted, spread
 from .shared import drop_written, written
 
 BLOCK = 256
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one in double precision; scaling by the largest component first avoids overflow."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -55,26 +56,45 @@ def index_shape(n: int, threshold: float, width: float, recall: float) -> tuple[
     return math.ceil(math.log(1 - recall) / math.log1p(-(near**projections))), projections
 
 
-def forest(hits: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that keep the components of a boolean adjacency: each id with the smallest it reaches."""
-    label = ids.copy()
-    while True:
-        lower = np.minimum(label, np.where(hits, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (lower == label).all():
-            return [(int(a), int(b)) for a, b in zip(ids, label) if a != b]
-        label = lower
-
-
-def _compare(run_rows: pd.DataFrame, table: int, same_block: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list]:
-    ids, side = run_rows["node"].to_numpy(np.int64), run_rows["side"].to_numpy()
-    sizes, x, keys = run_rows["copies"].to_numpy(np.int64), unit(run_rows["embedding"]), np.stack(run_rows["keys"])
-    hits = x @ x.T >= threshold
-    np.fill_diagonal(hits, False)
-    if not same_block:
-        hits &= side[:, None] != side[None, :]
-    for earlier in range(table):
-        hits &= keys[:, earlier][:, None] != keys[:, earlier][None, :]
-    return ids, hits @ sizes, forest(hits, ids)
+def nested(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds by row) of a column of lists."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def compared(part: pa.RecordBatch, threshold: float, most: int = 1 << 21) -> pa.RecordBatch:
+    """(node, n, least): how many other rows each node of whole groups links with, and the smallest node it reaches by
+    links of its group. All pairs of a group are looked at, `most` numbers at a time."""
+    group, table, node, copies, side = (part.column(c).to_numpy() for c in ("group", "table", "node", "copies", "side"))
+    own = part.column("own").to_numpy(zero_copy_only=False)
+    (values, at), (keys, key_at) = nested(part.column("embedding")), nested(part.column("keys"))
+    dims, tables = np.diff(at), int(key_at[1])
+    keys, rows = keys.reshape(len(node), tables), np.empty((len(node), int(dims.max())))
+    for dim in np.unique(dims).tolist():
+        some = np.flatnonzero(dims == dim)
+        rows[some, :dim] = unit(values[spread(at[some], dims[some])].reshape(-1, dim))
+        rows[some, dim:] = 0
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    held = np.diff(np.append(first, len(group)))
+    after = np.repeat(first + held, held) - np.arange(len(group)) - 1  # later rows of the row's group
+    ends, n, links, lo = np.cumsum(after), np.zeros(len(node), np.int64), [], 0
+    step = max(1, most // max(rows.shape[1], tables))
+    while lo < len(node):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, "right")))
+        i, j = np.repeat(np.arange(lo, hi), after[lo:hi]), spread(np.arange(lo, hi) + 1, after[lo:hi])
+        ok = (node[i] != node[j]) & (own[i] | (side[i] != side[j])) & (dims[i] == dims[j])
+        i, j = i[ok], j[ok]
+        ok = (keys[i] == keys[j]).argmax(axis=1) == table[i]  # in the first table that has both in one bucket
+        i, j = i[ok], j[ok]
+        ok = np.einsum("ij,ij->i", rows[i], rows[j]) >= threshold
+        i, j = i[ok], j[ok]
+        np.add.at(n, i, copies[j])
+        np.add.at(n, j, copies[i])
+        links.append((i, j))
+        lo = hi
+    root = rooted(len(node), np.concatenate([i for i, _ in links]), np.concatenate([j for _, j in links]))
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[root[some]])], names=["node", "n", "least"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.97, width: float = 2.0, seed: int = 5) -> DataFrame:
@@ -103,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         for frame in frames:
             keys = [None] * len(frame)
             for _, at in frame.groupby(frame["embedding"].map(len)).indices.items():
-                made = bucket_keys(unit(frame["embedding"].iloc[at]), tables, projections, width, seed)
+                made = bucket_keys(unit(np.stack(frame["embedding"].iloc[at].tolist())), tables, projections, width, seed)
                 for i, k in zip(at, made):
                     keys[i] = k
             yield frame.assign(keys=keys)
@@ -120,30 +140,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         "table", F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("own"), "node", "copies", "embedding", "keys",
     )
 
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(part: pd.DataFrame) -> pd.DataFrame | None:
-            part = part.drop_duplicates(["node"])
-            if len(part) < 2:
-                return None
-            ids, counts, links = _compare(part, int(part["table"].iloc[0]), bool(part["own"].all()), threshold)
-            at = dict(links)
-            keep = counts > 0
-            return pd.DataFrame({"node": ids[keep], "n": counts[keep], "least": [at.get(int(i), int(i)) for i in ids[keep]]})
-
-        rest = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            cuts = np.flatnonzero(np.diff(frame["group"].to_numpy())) + 1
-            ends = [0, *cuts]
-            for lo, hi in zip(ends[:-1], ends[1:]):
-                if (out := done(frame.iloc[lo:hi])) is not None:
-                    yield out
-            rest = frame.iloc[ends[-1] :]
-        if rest is not None and (out := done(rest)) is not None:
-            yield out
-
-    dealt = pairs.repartition("group").sortWithinPartitions("group")
-    found = written(dealt.mapInPandas(compared, "node bigint, n bigint, least bigint"), "vector-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
+            if cut or (rest and len(group) and rest[0].column("group")[0].as_py() != group[0]):
+                yield compared(pa.concat_batches([*rest, batch.slice(0, cut)]), threshold)
+                rest = []
+            rest.append(batch.slice(cut))
+        if sum(map(len, rest)):
+            yield compared(pa.concat_batches(rest), threshold)
+
+    dealt = pairs.repartition("group").sortWithinPartitions("group", "node")
+    found = written(dealt.mapInArrow(run, "node bigint, n bigint, least bigint"), "vector-links")
     drop_written(met)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     reach = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
