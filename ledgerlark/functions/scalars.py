@@ -97,9 +97,11 @@ def json_value(c: Column, number: bool = False) -> Column:
     if number:
         return F.coalesce(c.cast("string"), F.lit("null"))
     quoted = F.to_json(F.struct(c.alias("v")))
+    small = quoted
     for digit in "ABCDEF":  # escapes of control characters end in one of these or in a digit
-        quoted = F.when(c.rlike(r"[\x00-\x1F\x7F]"), F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")).otherwise(quoted)
-    return F.when(c.isNull(), "null").otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    text = F.when(c.rlike(r"[\x00-\x1F\x7F]"), small).otherwise(quoted)
+    return F.when(c.isNull(), "null").otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
 
 
 def semantic_hash(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
