@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,23 +20,25 @@ def clean_cell(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def valid_iso_date(year: Column, month: Column, day: Column) -> Column:
-    """yyyy-MM-dd of digits that name a day of the calendar from year 100 on, else null."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    date = F.try_to_date(text, "yyyy-MM-dd")
-    return F.when((year != "") & (F.length(year) == 4) & (F.year(date) >= 100), F.date_format(date, "yyyy-MM-dd"))
-
-
 # Y-M-D or Y/M/D, YYYYMMDD, and Y年M月D日 anywhere.
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$|^[0-9]{8}$|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once a row, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_date(c: Column) -> Column:
     """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null."""
-    found = F.regexp_extract(clean_cell(c), DATE, 0)
-    parts = F.split(found, "[-/年月日]")
-    part = lambda k, at, n: F.when(F.size(parts) == 1, F.substring(found, at, n)).otherwise(F.get(parts, F.lit(k)))
-    return valid_iso_date(part(0, 1, 4), part(1, 5, 2), part(2, 7, 2))
+
+    def iso(found: Column) -> Column:
+        solid = F.concat_ws("-", F.substring(found, 1, 4), F.substring(found, 5, 2), F.substring(found, 7, 2))
+        two = lambda p, k: F.lpad(F.get(p, F.lit(k)), 2, "0")
+        apart = once(F.split(found, "[-/年月日]"), lambda p: F.concat_ws("-", F.get(p, F.lit(0)), two(p, 1), two(p, 2)))
+        return F.when(found == "", None).when(found.rlike("^[0-9]{8}$"), solid).otherwise(apart)
+
+    return once(once(F.regexp_extract(clean_cell(c), DATE, 0), iso), lambda t: F.when(F.year(F.try_to_date(t, "yyyy-MM-dd")) >= 100, t))
 
 
 def fiscal_year(date: Column) -> Column:
@@ -46,17 +50,20 @@ def parse_amount(c: Column) -> Column:
     """Whole yen of a cell, or null where it is blank, not a whole number or beyond exact doubles.
 
     Commas and the signs 円 and ￥ go, leading △ or ▲ and parentheses are a minus; a cell of signs alone is 0.
+    Unsigned numbers may be hexadecimal, octal or binary after 0x, 0o or 0b.
     """
-    text = clean_cell(c)
-    bare = F.trim(F.regexp_replace(text, "[,円￥]", ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, "^[△▲]", "-"), r"^\((.*)\)$", "-$1")
-    bare = F.trim(bare)
-    number = F.when(bare == "", F.lit(0.0)).when(bare.rlike(NUMBER), bare.try_cast("double"))
-    for mark, digits, base in (("x", "0-9a-fA-F", 16), ("o", "0-7", 8), ("b", "01", 2)):  # more digits than these are beyond exact doubles
-        most = 14 if base == 16 else 18 if base == 8 else 53
-        number = number.when(bare.rlike(f"^0[{mark}{mark.upper()}]0*[{digits}]{{1,{most}}}$"), F.conv(F.substring(bare, 3, 1000), base, 10).try_cast("double"))
-    whole = (number == F.floor(number)) & (F.abs(number) <= SAFE)
-    return F.when((text != "") & whole, number.cast("long"))
+
+    def value(bare: Column) -> Column:
+        number = F.when(bare == "", F.lit(0.0)).when(bare.rlike(NUMBER), bare.try_cast("double"))
+        for mark, digits, base, most in (("xX", "0-9a-fA-F", 16, 14), ("oO", "0-7", 8, 18), ("bB", "01", 2, 53)):  # more digits are beyond exact doubles
+            number = number.when(bare.rlike(f"^0[{mark}]0*[{digits}]{{1,{most}}}$"), F.conv(F.substring(bare, 3, 1000), base, 10).try_cast("double"))
+        return once(number, lambda n: F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long")))
+
+    def of(text: Column) -> Column:
+        bare = F.regexp_replace(F.trim(F.regexp_replace(text, "[,円￥]", "")), "^[△▲]", "-")
+        return F.when(text != "", once(F.trim(F.regexp_replace(bare, r"^\((.*)\)$", "-$1")), value))
+
+    return once(clean_cell(c), of)
 
 
 def digits_only(c: Column) -> Column:
