@@ -74,3 +74,48 @@ u AS (SELECT doc_id, item_id, n, start, sum(k) AS shared, greatest(least(n, m) -
 SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(either AS DOUBLE) AS similarity, start, n AS n_words FROM u WHERE 100 * shared >= 80 * either
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / either DESC, start) = 1
 """
+
+
+def crc_table() -> list[int]:
+    """The table of CRC-32 by its rule: eight shifts of each byte, with the reversed polynomial where a one falls out."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def sql_crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of ASCII characters."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = f"xor(c >> 8, {crc_table()}[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def op13_sql(levels: int = 6) -> str:
+    """Trees of up to 16^levels leaves, one WITH step for each level of the sources' trees and of the tree over sources."""
+    framed = lambda names: " || ".join(f"coalesce(strlen({n}) || ':' || {n}, '-')" for n in names)
+    text = "CAST({} AS VARCHAR)".format
+    names = [text("doc_id"), "source", "lang", text("n_chars")]
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        f"d AS (SELECT *, sha256({framed([*names, 'text'])}) AS leaf, sha256({framed([*names, lower])}) AS low, coalesce('1' || source, '0') AS k FROM documents)",
+        f"l0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS m, leaf AS h, doc_id, leaf, CASE WHEN {sql_crc32(text('doc_id'))} % 5 = 0 THEN low ELSE leaf END AS other FROM d)",
+    ]
+    for tree in "lt":
+        if tree == "t":
+            subs = " UNION ALL ".join(f"SELECT k, h FROM l{x} WHERE m = 1" for x in range(levels + 1))
+            out.append(f"t0 AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS m, h, k AS of FROM ({subs}))")
+        for x in range(levels):
+            out.append(f"{tree}{x + 1} AS (SELECT k, i // 16 AS i, (max(m) + 15) // 16 AS m, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {tree}{x} WHERE m > 1 GROUP BY k, i // 16)")
+            side = "coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN {} AND {}), '')".format
+            out.append(f"{tree}s{x} AS (SELECT k, i, {side('UNBOUNDED PRECEDING', '1 PRECEDING')} AS l, {side('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS r FROM {tree}{x} WHERE m > 1)")
+    out.append("root AS (" + " UNION ALL ".join(f"SELECT h AS root FROM t{x} WHERE m = 1" for x in range(levels + 1)) + ")")
+    out.append("f0 AS (SELECT l0.doc_id, l0.leaf, l0.k, l0.i, l0.i AS j, l0.other AS now, '' AS beside, t0.i AS ti, t0.h AS subroot FROM l0 JOIN t0 ON l0.k = t0.of)")
+    for x in range(2 * levels):
+        tree, at = ("l", "j") if x < levels else ("t", "ti")
+        key = "f.k" if tree == "l" else "''"
+        out.append(f"f{x + 1} AS (SELECT f.* REPLACE ({at} // 16 AS {at}, CASE WHEN s.l IS NULL THEN now ELSE sha256(s.l || now || s.r) END AS now, beside || coalesce(s.l || s.r, '') AS beside) FROM f{x} f LEFT JOIN {tree}s{x % levels} s ON s.k = {key} AND s.i = f.{at})")
+    head = ", ".join(out)
+    return f"WITH {head} SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, now AS folded_root, now = root AS verified FROM f{2 * levels}, root"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, neardup, oracle, packing, pii, secrets, urls, vectors
-from .shared import table, written
+from . import chat, decontaminate, langid, licenses, merkle, neardup, oracle, packing, pii, quality, repair, secrets, urls, vectors
+from .shared import lower_ascii, table, written
 
 
 #: Key of the pseudonyms in this query; a production run passes its own.
@@ -87,6 +87,29 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.where(~held_out()), labels.where(~held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    every = convs.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = repair.report(repair.keyed(repair.damaged(convs))).withColumnRenamed("conv_id", "own")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(found, F.expr("conv_id <=> own"), "left").select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0
+    manifest = merkle.build(docs, tampered=F.when(chosen, merkle.leaf_hash(docs, lower_ascii(F.col("text").cast("string")))))
+    return merkle.fold(manifest, "tampered")
+
+
 def _sql_render(turns: str) -> str:
     return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
 
@@ -112,8 +135,8 @@ SELECT kind, chosen_id, rejected_id, n_common, {_sql_render("h")} AS prompt, {_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op3_preferences": op3_preferences, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op6_decontamination": op6_decontamination, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_pseudonyms": op1_pseudonyms, "op2_language": op2_language, "op3_preferences": op3_preferences, "op4_urls": op4_urls, "op5_vectors": op5_vectors, "op6_decontamination": op6_decontamination, "op7_secrets": op7_secrets, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_licenses": op10_licenses, "op11_quality": op11_quality, "op12_repair": op12_repair, "op13_merkle": op13_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL, "op5_vectors": oracle.OP5_SQL, "op6_decontamination": oracle.OP6_SQL, "op8_neardup": oracle.OP8_SQL, "op10_licenses": oracle.op10_sql()}
+    return {"op3_preferences": OP3_SQL, "op5_vectors": oracle.OP5_SQL, "op6_decontamination": oracle.OP6_SQL, "op8_neardup": oracle.OP8_SQL, "op10_licenses": oracle.op10_sql(), "op13_merkle": oracle.op13_sql()}
