@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that cells are cleaned of, as a character class.
@@ -15,30 +15,28 @@ SEPARATOR = "\x1f"
 
 
 def clean_cell(c: Column) -> Column:
-    """A leading byte order mark goes, runs of white space become one blank, the ends are trimmed; null is empty."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), "^﻿", "")
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Runs of white space, byte order marks among them, become one blank, the ends are trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
 
 
 # Y-M-D or Y/M/D, YYYYMMDD, and Y年M月D日 anywhere.
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$|^[0-9]{8}$|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日"
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is evaluated once a row, however often `body` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def date_of_clean(c: Column) -> Column:
+    """Date of a cleaned cell; each step reads the one before once, so nothing is evaluated twice."""
+    apart = F.regexp_replace(F.translate(F.regexp_extract(c, DATE, 0), "/年月日", "---"), "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
+    return F.regexp_replace(apart, "^00[0-9]{2}-.*$", "").try_cast("date")
 
 
 def parse_date(c: Column) -> Column:
-    """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null."""
+    """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null. Years below 100 are null."""
+    return date_of_clean(clean_cell(c)).cast("string")
 
-    def iso(found: Column) -> Column:
-        solid = F.concat_ws("-", F.substring(found, 1, 4), F.substring(found, 5, 2), F.substring(found, 7, 2))
-        two = lambda p, k: F.lpad(F.get(p, F.lit(k)), 2, "0")
-        apart = once(F.split(found, "[-/年月日]"), lambda p: F.concat_ws("-", F.get(p, F.lit(0)), two(p, 1), two(p, 2)))
-        return F.when(found == "", None).when(found.rlike("^[0-9]{8}$"), solid).otherwise(apart)
 
-    return once(once(F.regexp_extract(clean_cell(c), DATE, 0), iso), lambda t: F.when(F.year(F.try_to_date(t, "yyyy-MM-dd")) >= 100, t))
+def is_iso_date(c: Column) -> Column:
+    """Whether a text is a date as `parse_date` writes it."""
+    return F.coalesce(c.rlike("^(?!00)[0-9]{4}-[0-9]{2}-[0-9]{2}$") & c.try_cast("date").isNotNull(), F.lit(False))
 
 
 def fiscal_year(date: Column) -> Column:
@@ -46,24 +44,30 @@ def fiscal_year(date: Column) -> Column:
     return F.year(date) - (F.month(date) <= 3).cast("int")
 
 
-def parse_amount(c: Column) -> Column:
-    """Whole yen of a cell, or null where it is blank, not a whole number or beyond exact doubles.
+def bare_amount(c: Column) -> Column:
+    """Text of a cleaned cell's number: signs and commas gone, a minus for triangles and parentheses, 0 where signs were all; a blank is `x`."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(c, "^$", "x"), "[,円￥]", ""))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, "^[△▲]", "-"), r"^\((.*)\)$", "-$1")), "^$", "0")
 
-    Commas and the signs 円 and ￥ go, leading △ or ▲ and parentheses are a minus; a cell of signs alone is 0.
-    Unsigned numbers may be hexadecimal, octal or binary after 0x, 0o or 0b.
-    """
 
-    def value(bare: Column) -> Column:
-        number = F.when(bare == "", F.lit(0.0)).when(bare.rlike(NUMBER), bare.try_cast("double"))
-        for mark, digits, base, most in (("xX", "0-9a-fA-F", 16, 14), ("oO", "0-7", 8, 18), ("bB", "01", 2, 53)):  # more digits are beyond exact doubles
-            number = number.when(bare.rlike(f"^0[{mark}]0*[{digits}]{{1,{most}}}$"), F.conv(F.substring(bare, 3, 1000), base, 10).try_cast("double"))
-        return once(number, lambda n: F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long")))
+def whole_number(bare: Column) -> Column:
+    """Double of a decimal, hexadecimal, octal or binary number; null for another text."""
+    number = F.regexp_extract(bare, NUMBER, 0).try_cast("double")
+    for mark, digits, base, most in (("xX", "0-9a-fA-F", 16, 14), ("oO", "0-7", 8, 18), ("bB", "01", 2, 53)):  # more digits are beyond exact doubles
+        number = F.coalesce(number, F.conv(F.nullif(F.regexp_extract(bare, f"^0[{mark}]0*([{digits}]{{1,{most}}})$", 1), F.lit("")), base, 10).try_cast("double"))
+    return number
 
-    def of(text: Column) -> Column:
-        bare = F.regexp_replace(F.trim(F.regexp_replace(text, "[,円￥]", "")), "^[△▲]", "-")
-        return F.when(text != "", once(F.trim(F.regexp_replace(bare, r"^\((.*)\)$", "-$1")), value))
 
-    return once(clean_cell(c), of)
+def with_amount(df: DataFrame, name: str, clean: Column) -> DataFrame:
+    """`df` with the amount of a cleaned cell: whole yen, or null where it is blank, not a whole number or beyond exact doubles.
+
+    Commas and the signs 円 and ￥ go, leading △ or ▲ and parentheses are a minus; a cell of signs alone is 0. Unsigned
+    numbers may be hexadecimal, octal or binary after 0x, 0o or 0b. The steps are columns of their own, as the later
+    ones read the earlier ones more than once.
+    """
+    n = F.col("number__")
+    rows = df.withColumn("bare__", bare_amount(clean)).withColumn("number__", whole_number(F.col("bare__")))
+    return rows.withColumn(name, F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long"))).drop("bare__", "number__")
 
 
 def digits_only(c: Column) -> Column:
@@ -99,22 +103,47 @@ def stable_id(kind: Column, key: Column, *others: Column) -> Column:
     return F.concat(F.lit("gbiz-"), F.substring(F.sha2(F.when(key != "", by_key).otherwise(by_row), 256), 1, 16))
 
 
+def small_escapes(json: Column) -> Column:
+    """JSON whose escapes of control characters, which end in a digit or a capital, have small letters."""
+    for digit in "ABCDEF":
+        json = F.regexp_replace(json, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return json
+
+
+def unbracketed(json: Column) -> Column:
+    """The items of a JSON array of strings and nulls, which don't begin or end with a bracket."""
+    return F.rtrim(F.ltrim(json, F.lit("[")), F.lit("]"))
+
+
 def json_value(c: Column, number: bool = False) -> Column:
     """JSON text of one value: null, a bare number or a quoted string with small hex in escapes."""
     if number:
         return F.coalesce(c.cast("string"), F.lit("null"))
-    quoted = F.to_json(F.struct(c.alias("v")))
-    small = quoted
-    for digit in "ABCDEF":  # escapes of control characters end in one of these or in a digit
-        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
-    text = F.when(c.rlike(r"[\x00-\x1F\x7F]"), small).otherwise(quoted)
-    return F.when(c.isNull(), "null").otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
-
-
-def semantic_hash(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
-    """sha256 of the JSON array of the values; True marks numbers."""
-    values = [json_value(c, number) for c, number in strings_and_numbers]
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]")), 256)
+    json = unbracketed(F.to_json(F.array(c.cast("string"))))
+    return F.when(json.contains("\\u00"), small_escapes(json)).otherwise(json)
+
+
+def json_array(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
+    """JSON array of the values, True marks numbers; neighbouring strings are written together. Escapes are as Spark writes them."""
+    parts: list[Column] = []
+    for number, run in itertools.groupby(strings_and_numbers, key=lambda x: x[1]):
+        values = [c for c, _ in run]
+        if number:
+            parts += [F.coalesce(c.cast("string"), F.lit("null")) for c in values]
+        else:
+            parts.append(unbracketed(F.to_json(F.array(*[c.cast("string") for c in values]))))
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def hash_of_json(json: Column) -> Column:
+    """sha256 of JSON text, with small letters in its escapes."""
+    return F.sha2(F.when(json.contains("\\u00"), small_escapes(json)).otherwise(json), 256)
+
+
+def with_semantic_hash(df: DataFrame, name: str, strings_and_numbers: list[tuple[Column, bool]], where: Column | None = None) -> DataFrame:
+    """`df` with the sha256 of the JSON array of the values, where `where` holds; the JSON is a column of its own, as it is read more than once."""
+    json = json_array(strings_and_numbers)
+    return df.withColumn("json__", json if where is None else F.when(where, json)).withColumn(name, hash_of_json(F.col("json__"))).drop("json__")
 
 
 def escape_table(c: Column, present: Column | None = None) -> Column:

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
-
-
-class GateError(ValueError):
-    """A snapshot must not replace the published one."""
+from ..functions.registry import GateError
 
 
 def snapshot_diff(previous: DataFrame, candidate: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def canonical_publisher(name: Column) -> Column:
 
 def coherent_date(date: Column, year: Column) -> Column:
     """Whether there is neither a date nor a year, or an ISO date and the fiscal year it falls in."""
-    return (date.isNull() & year.isNull()) | F.coalesce((S.parse_date(date) == date) & (S.fiscal_year(F.try_to_date(date, "yyyy-MM-dd")) == year), F.lit(False))
+    return (date.isNull() & year.isNull()) | F.coalesce(S.is_iso_date(date) & (S.fiscal_year(date.try_cast("date")) == year), F.lit(False))
 
 
 def record_rules() -> Rules:
@@ -108,7 +108,7 @@ def record_rules() -> Rules:
     c = F.col
     stored = [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC]
     return [
-        ("corporate number", ~S.valid_corporate_number(c("corporateNumber"))), ("no key", blank("sourceKey")), ("hash", ~blank("sourceRecordHash") & (c("sourceRecordHash") != S.semantic_hash(stored))),
+        ("corporate number", ~S.valid_corporate_number(c("corporateNumber"))), ("no key", blank("sourceKey")), ("hash", ~blank("sourceRecordHash") & (c("sourceRecordHash") != S.hash_of_json(S.json_array(stored)))),
         ("publisher", ~canonical_publisher(c("sourceAgency")).eqNullSafe(c("publisherCanonical"))), ("amount", c("amount").isNotNull() & (F.abs("amount") > S.SAFE)),
         ("date or fiscal year", ~coherent_date(c("date"), c("fiscalYear"))), ("stage", ~F.coalesce(c("stage").isin(*R.STAGES.values()), F.lit(False))),
         ("address of the source", ~F.coalesce(https(c("sourceUrl")), F.lit(False))),
@@ -165,7 +165,7 @@ def rederived(old: DataFrame, ingest: str = R.INGEST) -> DataFrame:
     """Members among old records in today's form: no route fields, dates and amounts only where they are valid, blanks instead of nulls."""
     c = F.col
     rows = old.where(is_member(ingest)).drop(*R.ROUTE_FIELDS)
-    date = F.when(S.parse_date(c("date")) == c("date"), c("date"))
+    date = F.when(S.is_iso_date(c("date")), c("date"))
     amount = F.when(F.abs("amount") <= S.SAFE, c("amount"))
     rows = rows.withColumns({"dateRaw": F.coalesce("dateRaw", date, F.lit("")), "amountRaw": F.coalesce("amountRaw", amount.cast("string"), F.lit("")), "publisherCanonical": F.coalesce(F.when(~blank("publisherCanonical"), c("publisherCanonical")), canonical_publisher(c("sourceAgency")), F.lit(""))})
     rows = rows.withColumns({"date": date, "amount": amount, "ingestSource": F.lit(ingest)} | {f: F.coalesce(c(f), F.lit("")) for f in ("program", "sourceAgency", "sourceKey")})

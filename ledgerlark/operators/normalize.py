@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
@@ -40,45 +44,58 @@ def check_headers(columns: list[str], kind: str) -> None:
 def typed_rows(raw: DataFrame, kind: str) -> DataFrame:
     """All rows of a bulk file with cleaned and typed columns and the flags is_recipient and is_eligible.
 
-    `raw` has string columns as published and sourceRowNumber. Absent optional columns are empty.
+    `raw` has string columns as published and sourceRowNumber. Absent optional columns are empty. Cells are cleaned once;
+    what follows reads the cleaned columns.
     """
     head = R.HEADERS[kind]
     check_headers([c for c in raw.columns if c != "sourceRowNumber"], kind)
+    c = F.col
 
     def cell(name: str):
-        return S.clean_cell(F.col(f"`{name}`")) if name in raw.columns else F.lit("")
+        return S.clean_cell(c(f"`{name}`")) if name in raw.columns else F.lit("")
 
     rows = raw.select(
-        S.digits_only(F.col(head["corporate"])).alias("corporateNumber"), cell(head["name"]).alias("organization"),
-        F.coalesce(F.col(head["date"]), F.lit("")).alias("dateRaw"), S.parse_date(F.col(head["date"])).alias("date"),
-        cell(head["program"]).alias("program"), F.coalesce(F.col(head["amount"]), F.lit("")).alias("amountRaw"),
-        S.parse_amount(F.col(head["amount"])).alias("amount"), cell(head["agency"]).alias("sourceAgency"), cell(head["key"]).alias("sourceKey"),
-        F.col("sourceRowNumber").cast("long").alias("sourceRowNumber"), cell(R.OPTIONAL["quality"]).alias("dataQuality"),
-        cell(R.OPTIONAL["system"]).alias("sourceSystem"), cell(R.OPTIONAL["retrieved"]).alias("sourceRetrievedAt"),
-        cell(R.OPTIONAL["updated"]).alias("sourceUpdatedAt"), cell(head["notes"]).alias("notes"), F.lit(R.STAGES[kind]).alias("stage"),
+        S.digits_only(c(head["corporate"])).alias("corporateNumber"), cell(head["name"]).alias("organization"), F.coalesce(c(head["date"]), F.lit("")).alias("dateRaw"), cell(head["date"]).alias("date__"),
+        cell(head["program"]).alias("program"), F.coalesce(c(head["amount"]), F.lit("")).alias("amountRaw"), cell(head["amount"]).alias("amount__"), cell(head["agency"]).alias("sourceAgency"), cell(head["key"]).alias("sourceKey"),
+        c("sourceRowNumber").cast("long").alias("sourceRowNumber"), cell(R.OPTIONAL["quality"]).alias("dataQuality"), cell(R.OPTIONAL["system"]).alias("sourceSystem"),
+        cell(R.OPTIONAL["retrieved"]).alias("sourceRetrievedAt"), cell(R.OPTIONAL["updated"]).alias("sourceUpdatedAt"), cell(head["notes"]).alias("notes"), F.lit(R.STAGES[kind]).alias("stage"),
     )
-    rows = with_publisher(rows, "sourceAgency").withColumn("fiscalYear", S.fiscal_year(F.to_date("date")))
-    recipient = S.valid_corporate_number(F.col("corporateNumber")) & (F.col("organization") != "")
-    rows = rows.withColumn("is_recipient", recipient)
-    return rows.withColumn("is_eligible", F.col("is_recipient") & F.col("publisherCanonical").isNotNull())
+    rows = S.with_amount(rows, "amount", c("amount__")).withColumn("day__", S.date_of_clean(c("date__")))
+    rows = rows.withColumns({"date": c("day__").cast("string"), "fiscalYear": S.fiscal_year(c("day__"))}).drop("date__", "day__", "amount__")
+    rows = with_publisher(rows, "sourceAgency")
+    rows = rows.withColumn("is_recipient", S.valid_corporate_number(c("corporateNumber")) & (c("organization") != ""))
+    return rows.withColumn("is_eligible", c("is_recipient") & c("publisherCanonical").isNotNull())
 
 
-def records(rows: DataFrame, kind: str, ingest: str) -> DataFrame:
-    """Eligible rows as records with stable ids and semantic hashes."""
-    c = F.col
-    out = rows.where("is_eligible").withColumn("id", S.stable_id(F.lit(kind), c("sourceKey"), c("sourceRowNumber"), c("dateRaw"), c("corporateNumber"), c("amountRaw"), c("program"), c("sourceAgency")))
-    fields = [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC]
-    return out.withColumn("sourceRecordHash", S.semantic_hash(fields)).withColumn("ingestSource", F.lit(ingest)).drop("is_recipient", "is_eligible")
+#: Texts that every record of a kind has.
+KIND_NAMES = {"subsidy": "補助金", "procurement": "調達"}
 
 
-def statistics(rows: DataFrame) -> DataFrame:
-    """One row of counters: one pass, partial sums before the shuffle."""
+def with_identity(rows: DataFrame, kind: str, ingest: str) -> DataFrame:
+    """`rows` with id, sourceRecordHash and what names the source, where they are eligible; else null."""
+    c, ok = F.col, F.col("is_eligible")
+    made = S.stable_id(F.lit(kind), c("sourceKey"), c("sourceRowNumber"), c("dateRaw"), c("corporateNumber"), c("amountRaw"), c("program"), c("sourceAgency"))
+    out = S.with_semantic_hash(rows.withColumn("id", F.when(ok, made)), "sourceRecordHash", [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC], ok)
+    texts = {"sourceName": F.lit(f"GビズINFO 全件CSV（{KIND_NAMES[kind]}）"), "sourceUrl": F.concat(F.lit("https://info.gbiz.go.jp/hojin/ichiran?hojinBango="), "corporateNumber"), "quality": F.lit("aggregated"), "ingestSource": F.lit(ingest)}
+    return out.withColumns({name: F.when(ok, value) for name, value in texts.items()})
+
+
+COUNTERS = ["total_rows", "recipient_rows", "eligible_rows", "missing_date", "missing_program", "missing_amount", "missing_key"]
+
+
+def counters() -> list[Column]:
+    """Counters of rows with is_recipient and is_eligible."""
     ok = F.col("is_eligible")
-    return rows.agg(
-        F.count("*").alias("total_rows"), F.count_if("is_recipient").alias("recipient_rows"), F.count_if("is_eligible").alias("eligible_rows"),
+    return [
+        F.count(F.lit(1)).alias("total_rows"), F.count_if("is_recipient").alias("recipient_rows"), F.count_if("is_eligible").alias("eligible_rows"),
         F.count_if(ok & F.col("date").isNull()).alias("missing_date"), F.count_if(ok & (F.col("program") == "")).alias("missing_program"),
         F.count_if(ok & F.col("amount").isNull()).alias("missing_amount"), F.count_if(ok & (F.col("sourceKey") == "")).alias("missing_key"),
-    )
+    ]
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """One row of counters: one pass, partial sums before the shuffle."""
+    return rows.agg(*counters())
 
 
 def unmatched_agencies(rows: DataFrame) -> DataFrame:
@@ -93,7 +110,34 @@ def top_unmatched(counted: DataFrame, n: int = 20) -> DataFrame:
     return counted.orderBy(F.desc("rows"), F.collate("name", "ja"), "name").limit(n)
 
 
-def import_kind(raw: DataFrame, kind: str, ingest: str = R.INGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, statistics, unmatched agencies) of a bulk file."""
-    rows = typed_rows(raw, kind)
-    return records(rows, kind, ingest), statistics(rows), unmatched_agencies(rows)
+@dataclass(frozen=True)
+class Import:
+    """What one pass over a bulk file left: its records, the counters of all its rows (one row) and its unmatched publishers."""
+
+    records: DataFrame
+    statistics: DataFrame
+    unmatched: DataFrame
+
+
+def import_kind(raw: DataFrame, kind: str, folder: str, ingest: str = R.INGEST) -> Import:
+    """Import a bulk file in one pass, to `folder`, which must be new.
+
+    The pass writes records, and of recipients whose publisher is no alias the name only; the counters are observed
+    while it runs. Records and names are told apart by `is_eligible`, by which the files are read back.
+    """
+    seen, rows = Observation(f"import-{uuid.uuid4().hex}"), typed_rows(raw, kind)
+    kept = with_identity(rows.observe(seen, *counters()).where("is_recipient"), kind, ingest)
+    names = [c for c in kept.columns if c not in ("is_recipient", "is_eligible")]
+    part = kept.select("is_eligible", *[F.col(c) if c == "sourceAgency" else F.when(F.col("is_eligible"), F.col(c)).alias(c) for c in names])
+    part.write.mode("errorifexists").parquet(folder)
+    spark = raw.sparkSession
+    stored = spark.read.schema(part.schema).parquet(folder)
+    found = spark.createDataFrame([tuple(seen.get[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+    unmatched = stored.where("not is_eligible").select("sourceAgency", F.lit(True).alias("is_recipient"), F.lit(None).cast("string").alias("publisherCanonical"))
+    return Import(stored.where("is_eligible").drop("is_eligible"), found, unmatched_agencies(unmatched))
+
+
+def union_of(imports: dict[str, Import]) -> Import:
+    """The imports of all kinds together, with the kind in statistics and unmatched."""
+    parts = [(i.records, i.statistics.withColumn("kind", F.lit(k)), i.unmatched.withColumn("kind", F.lit(k))) for k, i in imports.items()]
+    return Import(*[reduce(DataFrame.unionByName, side) for side in zip(*parts)])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +9,10 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..operators import continuity, gates, normalize, search, summaries
 from ..sources import adoptions, files
+from ..sources.storage import scratch
 from .suite import DATED, DIGIT_SUM, FISCAL, dated, query, searchable, snapshots, table
 
-# The bulk columns of a subsidy file, made from orders: a valid number for all but one priority, four publishers, some blanks.
+# The bulk columns of both files, made from orders: a valid number for all but one priority, four publishers, some blanks.
 BODY = "lpad(CAST(o_custkey * 7919 AS {}), 12, '0')"
 CHECKED = "CAST(9 - ({}) % 9 AS {}) || {}"
 PUBLISHERS = "CASE o_orderkey % 4 WHEN 0 THEN '特許庁' WHEN 1 THEN 'NEDO' WHEN 2 THEN '経済産業省関東経済産業局' ELSE 'NEDO支部' END"
@@ -22,40 +20,60 @@ CANONICAL = "CASE o_orderkey % 4 WHEN 0 THEN '特許庁' WHEN 1 THEN 'NEDO' WHEN
 NUMBERED = f"(SELECT *, {CHECKED.format(DIGIT_SUM, 'VARCHAR', 'substr(number, 2)')} AS corp FROM (SELECT *, '0' || {BODY.format('VARCHAR')} AS number FROM orders))"
 
 
-def bulk(spark, sf_dir) -> DataFrame:
-    """Orders as the raw string columns of a subsidy file."""
-    rows = table(spark, sf_dir, "orders").withColumn("number", F.expr(f"'0' || {BODY.format('STRING')}"))
-    return rows.selectExpr(
-        f"if(o_orderpriority = '5-LOW', '0', '') || {CHECKED.format(DIGIT_SUM, 'STRING', 'substr(number, 2)')} as `法人番号`", "' 株式会社　' || o_custkey as `商号または名称`",
-        "if(o_orderstatus = 'P', '', date_format(o_orderdate, 'yyyy/MM/dd')) as `証明日`", "if(o_orderpriority = '2-HIGH', '　', o_orderpriority) as `名称`",
-        "if(o_orderpriority = '3-MEDIUM', '非公開', cast(floor(o_totalprice) as string) || '円') as `金額`", f"{PUBLISHERS} as `発行元`",
-        "if(o_orderkey % 7 = 0, '', 'K' || o_orderkey) as `キー情報`", "cast(o_orderkey + 1 as long) as sourceRowNumber",
-    )
+def bulk(spark, sf_dir, kind="subsidy") -> DataFrame:
+    """Orders as the raw string columns of a kind's file; the procurement file has notes and a quality too."""
+    rows, head = table(spark, sf_dir, "orders").withColumn("number", F.expr(f"'0' || {BODY.format('STRING')}")), R.HEADERS[kind]
+    cells = {
+        "corporate": f"if(o_orderpriority = '5-LOW', '0', '') || {CHECKED.format(DIGIT_SUM, 'STRING', 'substr(number, 2)')}", "name": "' 株式会社　' || o_custkey", "date": "if(o_orderstatus = 'P', '', date_format(o_orderdate, 'yyyy/MM/dd'))",
+        "program": "if(o_orderpriority = '2-HIGH', '　', o_orderpriority)", "amount": "if(o_orderpriority = '3-MEDIUM', '非公開', cast(floor(o_totalprice) as string) || '円')", "agency": PUBLISHERS, "key": "if(o_orderkey % 7 = 0, '', 'K' || o_orderkey)",
+    } | ({"notes": "' 備考 ' || o_orderstatus"} if kind == "procurement" else {})
+    more = ["'A  1' as `データ品質`"] if kind == "procurement" else []
+    return rows.selectExpr(*[f"{value} as `{head[name]}`" for name, value in cells.items()], *more, "cast(o_orderkey + 1 as long) as sourceRowNumber")
+
+
+def imported(spark, sf_dir, kind="subsidy") -> normalize.Import:
+    return normalize.import_kind(bulk(spark, sf_dir, kind), kind, scratch(spark, f"import-{kind}"))
 
 
 RECORD = f"""(SELECT *, '株式会社 ' || o_custkey AS org, {PUBLISHERS} AS agency, {CANONICAL} AS canonical, CASE WHEN o_orderpriority = '2-HIGH' THEN '' ELSE o_orderpriority END AS program,
   CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(o_orderdate, '%Y/%m/%d') END AS date_raw, strftime({DATED}, '%Y-%m-%d') AS date_, {FISCAL} AS fy, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'K' || o_orderkey END AS key,
   CASE WHEN o_orderpriority = '3-MEDIUM' THEN '非公開' ELSE CAST(floor(o_totalprice) AS BIGINT) || '円' END AS amount_raw, CASE WHEN o_orderpriority <> '3-MEDIUM' THEN CAST(floor(o_totalprice) AS BIGINT) END AS amount_ FROM {NUMBERED} WHERE o_orderpriority <> '5-LOW')"""
-IMPORTED_ID = "'gbiz-' || substr(sha256(CASE WHEN key <> '' THEN concat_ws(chr(31), 'subsidy', 'key', key) ELSE concat_ws(chr(31), 'subsidy', 'row', o_orderkey + 1, date_raw, corp, amount_raw, program, agency) END), 1, 16)"
-HASHED = """sha256('["subsidy_published","' || key || '","' || org || '","' || corp || '","' || agency || '","' || canonical || '","' || program || '",' || coalesce('"' || date_ || '"', 'null') || ',"' || date_raw || '",'
-  || coalesce(CAST(fy AS VARCHAR), 'null') || ',' || coalesce(CAST(amount_ AS VARCHAR), 'null') || ',"' || amount_raw || '","","",""]')"""
+KIND_ID = "'gbiz-' || substr(sha256(CASE WHEN key <> '' THEN concat_ws(chr(31), '{0}', 'key', key) ELSE concat_ws(chr(31), '{0}', 'row', o_orderkey + 1, date_raw, corp, amount_raw, program, agency) END), 1, 16)"
+IMPORTED_ID = KIND_ID.format("subsidy")
+KIND_HASH = """sha256('["{}","' || key || '","' || org || '","' || corp || '","' || agency || '","' || canonical || '","' || program || '",' || coalesce('"' || date_ || '"', 'null') || ',"' || date_raw || '",'
+  || coalesce(CAST(fy AS VARCHAR), 'null') || ',' || coalesce(CAST(amount_ AS VARCHAR), 'null') || ',"' || amount_raw || '","{}","{}",""]')"""
+RECORD_SQL = "SELECT {} AS id, org AS organization, corp AS \"corporateNumber\", date_ AS date, CAST(fy AS INT) AS \"fiscalYear\", amount_ AS amount, canonical AS \"publisherCanonical\", {} AS hash FROM " + RECORD + " WHERE canonical IS NOT NULL"
+STATS_SQL = f"""SELECT (SELECT count(*) FROM orders) AS total_rows, count(*) AS recipient_rows, count_if(canonical IS NOT NULL) AS eligible_rows, count_if(canonical IS NOT NULL AND date_ IS NULL) AS missing_date,
+  count_if(canonical IS NOT NULL AND program = '') AS missing_program, count_if(canonical IS NOT NULL AND amount_ IS NULL) AS missing_amount, count_if(canonical IS NOT NULL AND key = '') AS missing_key FROM {RECORD}"""
+SHOWN = ["id", "organization", "corporateNumber", "date", "fiscalYear", "amount", "publisherCanonical"]
 
 
-@query(f"SELECT {IMPORTED_ID} AS id, org AS organization, corp AS \"corporateNumber\", date_ AS date, CAST(fy AS INT) AS \"fiscalYear\", amount_ AS amount, canonical AS \"publisherCanonical\", {HASHED} AS hash FROM {RECORD} WHERE canonical IS NOT NULL")
+@query(RECORD_SQL.format(IMPORTED_ID, KIND_HASH.format("subsidy_published", "", "")))
 def import_records(spark, sf_dir):
-    records, _, _ = normalize.import_kind(bulk(spark, sf_dir), "subsidy")
-    return records.select("id", "organization", "corporateNumber", "date", "fiscalYear", "amount", "publisherCanonical", F.col("sourceRecordHash").alias("hash"))
+    return imported(spark, sf_dir).records.select(*SHOWN, F.col("sourceRecordHash").alias("hash"))
+
 
+@query(RECORD_SQL.format(KIND_ID.format("procurement"), KIND_HASH.format("contracted", "備考 ' || o_orderstatus || '", "A 1")))
+def import_procurements(spark, sf_dir):
+    return imported(spark, sf_dir, "procurement").records.select(*SHOWN, F.col("sourceRecordHash").alias("hash"))
 
-@query(f"""SELECT (SELECT count(*) FROM orders) AS total_rows, count(*) AS recipient_rows, count_if(canonical IS NOT NULL) AS eligible_rows, count_if(canonical IS NOT NULL AND date_ IS NULL) AS missing_date,
-  count_if(canonical IS NOT NULL AND program = '') AS missing_program, count_if(canonical IS NOT NULL AND amount_ IS NULL) AS missing_amount, count_if(canonical IS NOT NULL AND key = '') AS missing_key FROM {RECORD}""")
+
+@query(STATS_SQL)
 def import_statistics(spark, sf_dir):
-    return normalize.import_kind(bulk(spark, sf_dir), "subsidy")[1]
+    return imported(spark, sf_dir).statistics
 
 
 @query(f"SELECT agency AS name, count(*) AS n_rows, true AS suspicious FROM {RECORD} WHERE canonical IS NULL GROUP BY 1")
 def import_unmatched(spark, sf_dir):
-    return normalize.import_kind(bulk(spark, sf_dir), "subsidy")[2].withColumnRenamed("rows", "n_rows")
+    return imported(spark, sf_dir).unmatched.withColumnRenamed("rows", "n_rows")
+
+
+@query(f"""SELECT stage, count(*) AS n_rows, count(DISTINCT id) AS ids, CAST(sum(amount_) AS BIGINT) AS checksum, min(address) AS address, min(name) AS name FROM (SELECT *, 'subsidy_published' AS stage, {IMPORTED_ID} AS id, 'GビズINFO 全件CSV（補助金）' AS name FROM {RECORD}
+  UNION ALL SELECT *, 'contracted', {KIND_ID.format('procurement')}, 'GビズINFO 全件CSV（調達）' FROM {RECORD}), (SELECT 'https://info.gbiz.go.jp/hojin/ichiran?hojinBango=' AS address) WHERE canonical IS NOT NULL GROUP BY 1""")
+def import_both_kinds(spark, sf_dir):
+    both = normalize.union_of({kind: imported(spark, sf_dir, kind) for kind in R.STAGES})
+    address = F.regexp_replace("sourceUrl", "[0-9]{13}$", "")
+    return both.records.groupBy("stage").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("ids"), F.sum("amount").alias("checksum"), F.min(address).alias("address"), F.min("sourceName").alias("name"))
 
 
 def _rules(*named: tuple[str, str], source: str, by: str = "") -> str:
@@ -94,7 +112,7 @@ VALID_RULES = [
 
 @query(_rules(*VALID_RULES, source=f"(SELECT *, {IMPORTED_ID} AS id FROM {RECORD} WHERE canonical IS NOT NULL)"))
 def validate_snapshot(spark, sf_dir):
-    records = normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0].withColumn("k", F.col("sourceRowNumber") - 1)
+    records = imported(spark, sf_dir).records.withColumn("k", F.col("sourceRowNumber") - 1)
     stored = lambda n, bad, good: F.when(F.col("k") % n == 0, bad).otherwise(good)
     c = F.col
     broken = records.withColumns({
@@ -102,7 +120,7 @@ def validate_snapshot(spark, sf_dir):
         "stage": stored(23, F.lit("paid"), c("stage")), "sourceUrl": stored(29, F.lit("http://x"), F.lit("https://x")),
     })
     whole = [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC]
-    broken = broken.withColumn("sourceRecordHash", stored(11, F.lit("00"), S.semantic_hash(whole)))
+    broken = S.with_semantic_hash(broken, "whole", whole).withColumn("sourceRecordHash", stored(11, F.lit("00"), c("whole"))).drop("whole")
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
     source = n.selectExpr("n as record_count", "n as eligible", "n + 1 as imported", "0L as gap", "1L as imported_subsidy", "1L as eligible_subsidy", "0L as imported_procurement", "0L as eligible_procurement", "n + 5 as dashboard", "n as dashboard_subsidy", "5L as dashboard_procurement", "5L as difference")
     return gates.validate(broken.drop("k"), source)
@@ -150,7 +168,7 @@ def oversized_bodies(spark, sf_dir):
 
 @query(f"SELECT canonical AS publisher, count(*) AS n_rows FROM {RECORD} WHERE canonical IS NOT NULL GROUP BY 1")
 def publisher_counts(spark, sf_dir):
-    return summaries.publisher_counts(normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0]).withColumnRenamed("rows", "n_rows")
+    return summaries.publisher_counts(imported(spark, sf_dir).records).withColumnRenamed("rows", "n_rows")
 
 
 @query("""SELECT CAST(sum(n) AS BIGINT) AS unmatched_rows, count(*) AS unmatched_names, CAST(coalesce(sum(n) FILTER (contains(source, '1')), 0) AS BIGINT) AS suspicious_rows, count_if(contains(source, '1')) AS suspicious_names
@@ -355,22 +373,12 @@ def plain_dashboards(spark, sf_dir):
 @query("SELECT o_orderkey, sha256('[\"a\\u001fb\\u007f' || o_orderstatus || '\\u000c\\\\u001F\"]') AS hash FROM orders".replace("\\u007f", chr(127)).replace("\\u000c", "\\f"))
 def escaped_hash(spark, sf_dir):
     text = F.concat(F.lit("a\x1fb\x7f"), "o_orderstatus", F.lit("\f\\u001F"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.semantic_hash([(text, False)]).alias("hash"))
-
-
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; on one machine without such a setting, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerlark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.hash_of_json(S.json_array([(text, False)])).alias("hash"))
 
 
 @query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL")
 def published_rows(spark, sf_dir):
-    records = normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0]
+    records = imported(spark, sf_dir).records
     root = scratch(spark, "site")
     files.publish(records, root, "one")
     return files.read_published(spark, root, files.public_rows(records).schema).select("id", "date", "amount", "amountRaw", "sourceKey")
@@ -378,7 +386,7 @@ def published_rows(spark, sf_dir):
 
 @query(f"SELECT coalesce(CAST(fy AS VARCHAR), 'unclassified') AS year_key, count(*) AS n_rows FROM {RECORD} WHERE canonical IS NOT NULL GROUP BY 1")
 def verified_files(spark, sf_dir):
-    records = normalize.import_kind(bulk(spark, sf_dir), "subsidy")[0]
+    records = imported(spark, sf_dir).records
     path = files.publish(records, scratch(spark, "site"), "one")
     rows = files.read_listed(spark, path, files.file_receipts(spark, path), files.public_rows(records).schema)
     return rows.groupBy(F.regexp_extract("file", "year_key=([^/]+)/", 1).alias("year_key")).agg(F.count("*").alias("n_rows"))
@@ -389,7 +397,7 @@ def bulk_csv_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderpriority") == "5-LOW", 'a,"b"\nc').otherwise(F.col("o_orderpriority")).alias("cell"))
     path = scratch(spark, "evidence")
     files.write_evidence({"subsidy": rows.coalesce(1)}, spark.range(1), path)
-    return files.read_bulk_csv(spark, f"{path}/subsidy", stage=f"{path}/stage").selectExpr("cast(id as long) as id", "cast(sourceRowNumber as long) as n", "cell")
+    return files.read_bulk_csv(spark, f"{path}/subsidy").selectExpr("cast(id as long) as id", "cast(sourceRowNumber as long) as n", "cell")
 
 
 @query("""SELECT CAST(sum(e) AS BIGINT) AS eligible, CAST(sum(i) AS BIGINT) AS imported, CAST(sum(e) - sum(i) AS BIGINT) AS gap, CAST(sum(n) AS BIGINT) AS dashboard, CAST(sum(n) - sum(e) AS BIGINT) AS difference, CASE WHEN sum(n) = sum(e) THEN 'matched' ELSE 'different' END AS status
@@ -415,7 +423,7 @@ def continuity_verdicts(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END AS amount FROM orders")
 def radix_amounts(spark, sf_dir):
     text = F.expr("case o_orderkey % 4 when 0 then concat('0x', lower(hex(o_orderkey)), '円') when 1 then concat('0B', bin(o_orderkey)) when 2 then concat('0o', conv(o_orderkey, 10, 8)) else concat('-0x', hex(o_orderkey)) end")
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_amount(text).alias("amount"))
+    return S.with_amount(table(spark, sf_dir, "orders").select("o_orderkey", S.clean_cell(text).alias("clean")), "amount", F.col("clean")).drop("clean")
 
 
 @query("SELECT c_custkey AS id, c_name AS organization, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(2000 + c_nationkey AS INT) END AS \"fiscalYear\" FROM customer")

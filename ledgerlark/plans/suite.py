@@ -69,7 +69,8 @@ def parse_amount_variants(spark, sf_dir):
     v = F.floor("o_totalprice").cast("long")
     text = v.cast("string")
     raw = by_priority(F.concat(F.format_number(v, 0), F.lit("円")), F.concat(F.lit("△"), text), F.concat(F.lit("("), text, F.lit(")")), F.concat(F.lit("￥"), text), F.lit(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("amount", S.parse_amount(F.col("raw")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("clean", S.clean_cell(F.col("raw")))
+    return S.with_amount(rows, "amount", F.col("clean")).drop("clean")
 
 
 RE2_SPACE = r"[\x{9}-\x{D} \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -109,7 +110,7 @@ def semantic_hash(spark, sf_dir):
     customer = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
     priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
     fields = [(F.concat(F.lit('a"\\'), F.col("o_orderstatus")), False), (customer, True), (priority, False)]
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.semantic_hash(fields).alias("hash"))
+    return S.with_semantic_hash(table(spark, sf_dir, "orders"), "hash", fields).select("o_orderkey", "hash")
 
 
 @query("""SELECT n_name, CASE WHEN r_name <> 'ASIA' THEN r_name END AS publisher, contains(n_name, '_1') AS suspicious, count(*) AS customers

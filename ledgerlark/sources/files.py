@@ -10,39 +10,24 @@ from pyspark.sql import types as T
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators.continuity import GateError
+from ..functions.registry import GateError
+from . import scanner
 
 # Headers of the dashboard's table, in order.
 DASHBOARD_HEADERS = ["", "省庁", "財務情報", "特許情報", "届出・認定・行政処分情報", "補助金情報", "調達情報", "表彰情報", "職場情報"]
 ADOPTIONS = "props struct<pageProps: struct<count: string, total: bigint, listView: array<struct<id: string, name: string, address: string, subsidy: string, year: string, times: string, plan: string>>>>"
 
 
-def read_bulk_csv(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
-    """All columns as strings plus sourceRowNumber, from 2 on; rows of another width are refused.
+def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings plus sourceRowNumber, from 2 on, of a file or a folder of files; rows of another width are refused.
 
-    `path` is one file. A file with newlines in quotes can't be split, so it is one partition, which makes its
-    ordinals those of its rows. With `stage`, a new folder, the file is parsed once: its rows are written there as
-    Parquet, checked and read back by many tasks. Without it each use parses the file again.
+    Files are split and read by many tasks (`scanner`); one pass checks them and finds where their rows begin.
     """
-    header = spark.read.option("multiLine", True).option("header", False).csv(path).first()
-    names = [header_cell(x) for x in header]
+    made = scanner.layout(spark, path)
+    names = [header_cell(x) for x in made.header]
     if len(set(names)) != len(names):
-        raise ValueError("duplicate header")
-    broken = "_broken"
-    while broken in names:
-        broken += "_"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
-    rows = spark.read.schema(schema).options(multiLine=True, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=broken, enforceSchema=True, columnPruning=False).csv(path)
-    rows = rows.withColumn("sourceRowNumber", F.monotonically_increasing_id() + 2)
-    if stage:
-        plain = [f"c{k}" for k in range(len(names))]
-        rows.toDF(*plain, "broken", "sourceRowNumber").write.option("maxRecordsPerFile", 100_000).mode("errorifexists").parquet(stage)
-        rows = spark.read.parquet(stage).toDF(*names, broken, "sourceRowNumber")
-    # All columns are asked for, as a parser that skips some does not see a wrong width.
-    if rows.agg(F.count_if(F.col(f"`{broken}`").isNotNull()).alias("broken__"), *[F.count(F.col(f"`{n}`")).alias(f"n{k}") for k, n in enumerate(names)]).first()["broken__"]:
-        raise GateError("a row has another number of columns than the header")
-    rows = rows.drop(broken)
-    return rows if stage else rows.repartition("sourceRowNumber")
+        raise GateError("duplicate header")
+    return scanner.scan(spark, path, made, names)
 
 
 def header_cell(x: str | None) -> str:

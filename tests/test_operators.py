@@ -20,8 +20,13 @@ def subsidy(spark, tmp_path_factory):
     return files.read_bulk_csv(spark, str(path))
 
 
-def test_import(subsidy):
-    records, stats, unmatched = normalize.import_kind(subsidy, "subsidy")
+@pytest.fixture(scope="module")
+def imported(subsidy, tmp_path_factory):
+    return normalize.import_kind(subsidy, "subsidy", str(tmp_path_factory.mktemp("import") / "subsidy"))
+
+
+def test_import(imported):
+    records, stats, unmatched = imported.records, imported.statistics, imported.unmatched
     rows = {r.sourceKey: r for r in records.collect()}
     assert set(rows) == {"k1", "k2"} or A[0] == "9"
     assert (rows["k1"].amount, rows["k1"].date, rows["k1"].fiscalYear, rows["k1"].program) == (0, None, None, "")
@@ -87,8 +92,8 @@ def test_search(spark):
     assert search.criteria({"page": "1e1", "agency": " "}) == search.Criteria(page=10)
 
 
-def test_publish_flips_pointer_last(spark, subsidy, tmp_path):
-    records = normalize.import_kind(subsidy, "subsidy")[0]
+def test_publish_flips_pointer_last(spark, imported, tmp_path):
+    records = imported.records
     path = files.publish(records, f"{tmp_path}/site", "one")
     back = spark.read.json(path)
     assert {r.year_key for r in back.select("year_key").distinct().collect()} == {"2026", "unclassified"} and "amountRaw" not in back.columns
@@ -111,8 +116,8 @@ def test_dashboard_contract(spark):
     assert got == [(1234, 56), (None, None), (None, None), (None, 56), (None, None), (None, None), (4, 5), (None, None), (None, None)]
 
 
-def test_release_receipts(spark, subsidy, tmp_path):
-    path = files.publish(normalize.import_kind(subsidy, "subsidy")[0], f"{tmp_path}/site", "one")
+def test_release_receipts(spark, imported, tmp_path):
+    path = files.publish(imported.records, f"{tmp_path}/site", "one")
     receipts = files.file_receipts(spark, path)
     assert receipts.count() == 2
     files.verify_release(receipts, receipts)
@@ -146,8 +151,8 @@ def test_search_refuses_numbers_and_unknown_agencies(spark):
     assert search.result(df, search.criteria({"agency": "経済産業省"}))[1:] == (1, 1)
 
 
-def test_reading_what_was_published(spark, subsidy, tmp_path):
-    records = normalize.import_kind(subsidy, "subsidy")[0]
+def test_reading_what_was_published(spark, imported, tmp_path):
+    records = imported.records
     path, schema = files.publish(records, f"{tmp_path}/site", "one"), files.public_rows(records).schema
     assert sorted(r.id for r in files.read_published(spark, f"{tmp_path}/site", schema).collect()) == sorted(r.id for r in records.collect())
     receipts = files.file_receipts(spark, path)
@@ -158,7 +163,7 @@ def test_reading_what_was_published(spark, subsidy, tmp_path):
     assert files.read_published(spark, f"{tmp_path}/site", schema).count() == 1
 
 
-def test_evidence_and_dataset_are_written(spark, subsidy, tmp_path):
+def test_evidence_and_dataset_are_written(spark, subsidy, imported, tmp_path):
     one = spark.createDataFrame([(1, "m")], "n int, message string")
     files.write_evidence({"subsidy": subsidy}, one, f"{tmp_path}/audit")
     back = spark.read.option("header", True).csv(f"{tmp_path}/audit/subsidy")

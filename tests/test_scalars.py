@@ -12,9 +12,11 @@ def run(spark, f, values):
 def test_amounts(spark):
     cases = {
         "0": 0, "-6,528,000": -6528000, "△151,706,000円": -151706000, "▲7": -7, "": None, "　": None, None: None, "(5)": -5, "￥5": 5, "¥5": None, "12.0": 12, "12.5": None, "5d": None,
+        "0x1F": 31, "0b101円": 5, "0o17": 15, "-0x1F": None, "()": None, "-": None, "△(5)": None, "(△5)": None, "+5": 5, ".5e1": 5, "1e400": None, "NaN": None, "Infinity": None, "x": None,
         "円": 0, ",": 0, "5 円": 5, "1e3": 1000, "9007199254740991": 9007199254740991, "9007199254740992": None, "abc": None,
     }
-    assert run(spark, S.parse_amount, list(cases)) == list(cases.values())
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, v string").withColumn("clean", S.clean_cell(F.col("v")))
+    assert [r.out for r in S.with_amount(rows, "out", F.col("clean")).orderBy("i").collect()] == list(cases.values())
 
 
 def test_dates(spark):
