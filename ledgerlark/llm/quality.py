@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,17 @@ class Model:
     prior: float
 
 
+@lru_cache(1)
+def sign_kinds() -> np.ndarray:
+    """By code point, bits for letters, capitals, digits, white space, common signs and exclamation marks; 0 for any other sign."""
+    tests = [str.isalpha, str.isupper, str.isdigit, str.isspace, lambda c: ord(c) in COMMON, lambda c: c == "!"]
+    table = np.zeros(0x110000, np.uint8)
+    for code in range(0x110000):
+        c = chr(code)
+        table[code] = sum(1 << k for k, test in enumerate(tests) if test(c))
+    return table
+
+
 def features(text: str) -> np.ndarray:
     """Shares of signs, words and lines of a whole text; zeros for a text without words."""
     out = np.zeros(N_FEATURES)
@@ -42,26 +54,26 @@ def features(text: str) -> np.ndarray:
     if not words:
         return out
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    distinct, counts = np.unique(codes, return_counts=True)
-    chars = [chr(c) for c in distinct]
-    share = lambda test: sum(int(n) for c, n in zip(chars, counts) if test(c)) / len(codes)
-    letters, upper = share(str.isalpha), share(str.isupper)
+    kinds = sign_kinds()[codes]
+    letters, upper, digits, spaces, common, loud_signs = ((kinds & bit != 0).mean() for bit in (1, 2, 4, 8, 16, 32))
+    other = (kinds == 0).mean()
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     lengths = np.fromiter(map(len, words), np.float64, len(words))
     frequent = Counter(words)
-    same = sum(a == b for a, b in zip(words, words[1:])) / len(words)
-    pairs = len(set(zip(words, words[1:]))) / max(len(words) - 1, 1)
-    spans = [words[k : k + 40] for k in range(0, len(words), 40)]
-    spans = spans[:-1] if len(spans) > 1 and len(spans[-1]) < 20 else spans
-    odd = [sum(not w[-1].isalnum() and ord(w[-1]) not in COMMON for w in s) / len(s) for s in spans]
-    fresh = [len(set(s)) / len(s) for s in spans]
-    loud = [sum(w.isupper() and len(w) > 1 for w in s) / len(s) for s in spans]
-    twice = codes[1:] == codes[:-1]
-    signs = np.isin(codes, distinct[[not (c.isalnum() or c.isspace()) for c in chars]])
+    place = {w: k for k, w in enumerate(frequent)}
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    flags = np.array([(not w[-1].isalnum() and ord(w[-1]) not in COMMON, w.isupper() and len(w) > 1, not (w[0].isalnum() or any(map(str.isalnum, w)))) for w in place], np.float64)[at]
+    same = float(np.count_nonzero(at[1:] == at[:-1])) / len(words)
+    pairs = len(np.unique(at[1:] * len(place) + at[:-1])) / max(len(words) - 1, 1)
+    starts = np.arange(0, max(len(words) - 19, 1), 40)  # runs of 40 words; a last one of fewer than 20 goes with the run before
+    ends = np.append(starts[1:], len(words))
+    odd, loud = (np.add.reduceat(flags[:, k], starts) / (ends - starts) for k in (0, 1))
+    fresh = [len(set(words[i:j])) / (j - i) for i, j in zip(starts.tolist(), ends.tolist())]
+    twice = (codes[1:] == codes[:-1]) & (kinds[1:] & 13 == 0)
     out[:] = [
-        letters, upper / max(letters, 1e-9), share(str.isdigit), share(str.isspace), share(lambda c: ord(c) in COMMON), share(lambda c: not (c.isalnum() or c.isspace() or ord(c) in COMMON)), share(lambda c: c == "!"),
-        float(np.count_nonzero(twice & signs[1:])) / len(words), float(np.log1p(lengths.mean())), float(lengths.std() / 10), len(frequent) / len(words), max(frequent.values()) / len(words), same, pairs,
-        len(set(lines)) / len(lines), sum(not any(c.isalnum() for c in w) for w in words) / len(words), max(odd), min(fresh), max(loud), float(np.mean(odd)),
+        letters, upper / max(letters, 1e-9), digits, spaces, common, other, loud_signs,
+        float(np.count_nonzero(twice)) / len(words), float(np.log1p(lengths.mean())), float(lengths.std() / 10), len(frequent) / len(words), max(frequent.values()) / len(words), same, pairs,
+        len(set(lines)) / len(lines), float(flags[:, 2].mean()), odd.max(), min(fresh), loud.max(), odd.mean(),
     ]
     return out
 
@@ -85,7 +97,7 @@ def sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
-def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, units: int = 12, epochs: int = 300, rate: float = 0.02, decay: float = 1e-4, seed: int = 11) -> tuple:
+def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, units: int = 12, epochs: int = 150, rate: float = 0.02, decay: float = 3e-3, seed: int = 11) -> tuple:
     """Weights of least non-negative risk with the logistic loss; without a prior, of telling the two sets apart.
 
     Every step takes all rows; Adam's step sizes. The seed fixes the start.
@@ -114,30 +126,33 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, un
     return tuple(theta)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, units: int = 12) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled rows, by the best bin over scores of rows that the first model did not see.
 
     Of the rows above a score, the share of the unlabelled over the share of the positives is the prior where nothing
-    but positives is left; the bin is the one of least upper bound, at 0.1 confidence for both shares.
+    but positives is left; the bin is the one of least upper bound, at 0.1 confidence for both shares. Either half of the
+    rows is scored by a model of the other half, and the two estimates are averaged.
     """
-    weights = fitted(positive[::2], unlabelled[::2], None, units)
-    p, u = forward(positive[1::2], weights)[1], forward(unlabelled[1::2], weights)[1]
-    if not len(p) or not len(u):
-        return 0.5
-    cuts = np.quantile(p, np.linspace(0, 0.95, 96))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
-    margin = np.sqrt(np.log(40) / 2)
-    q_p, q_u = above(p), above(u)
-    bound = (q_u + margin / np.sqrt(len(u)) + margin / np.sqrt(len(p))) / np.maximum(q_p, 1e-9)
-    best = int(bound.argmin())
-    return float(np.clip(q_u[best] / q_p[best], 0.05, 0.99))
+    found = []
+    for a, b in ((0, 1), (1, 0)):
+        p, u = positive[b::2], unlabelled[b::2]
+        if not len(positive[a::2]) or not len(unlabelled[a::2]) or not len(p) or not len(u):
+            return 0.5
+        weights = fitted(positive[a::2], unlabelled[a::2], None)
+        p, u = forward(p, weights)[1], forward(u, weights)[1]
+        cuts = np.quantile(p, np.linspace(0, 0.95, 96))
+        q_p, q_u = (1 - np.searchsorted(np.sort(x), cuts, "left") / len(x) for x in (p, u))
+        margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+        best = int(((q_u + margin) / np.maximum(q_p, 1e-9)).argmin())
+        found.append(q_u[best] / q_p[best])
+    return float(np.clip(np.mean(found), 0.05, 0.99))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     """A model of rows of doc_id and text, with the labels' rows of doc_id and quality.
 
     Positives are documents all of whose labels are 1; labels of other values are not read. Unlabelled are all documents. The classifier is
-    fitted on a bounded sample: about `most` of each, chosen by a hash of doc_id; null ids are left out.
+    fitted on a bounded sample: about `most` of each, chosen by a hash of doc_id; null ids are left out, of repeated ids one row counts.
     The numbers that reach the driver are their features. Without positives or documents nothing is learnt.
     """
     width = F.lit(1 << 50)
@@ -146,9 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null")
     good = good.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("greatest")).where("least = 1 and greatest = 1").select("doc_id")
     of_good, of_docs = chosen(good.count()), chosen(docs.count())
-    # One scan of the texts: a row is looked at where it is in either sample.
-    marked = docs.join(good.where(of_good).withColumn("good", F.lit(True)), "doc_id", "left").where(F.col("good") | of_docs)
-    rows = marked.select("doc_id", F.coalesce("good", F.lit(False)).alias("good"), of_docs.alias("any"), vectors(F.col("text")).alias("f")).orderBy("doc_id").collect()  # at most about twice `most`
+    # One scan of the texts: a row is looked at where it is in either sample. The ids sent to it are about `most`.
+    marked = docs.join(F.broadcast(good.where(of_good).withColumn("good", F.lit(True))), "doc_id", "left").where(F.col("good") | of_docs)
+    seen = marked.select("doc_id", F.coalesce("good", F.lit(False)).alias("good"), of_docs.alias("any"), vectors(F.col("text")).alias("f"))
+    rows = seen.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"), F.max("f").alias("f")).collect()  # at most about twice `most`
+    rows.sort(key=lambda r: r["doc_id"])
     shaped = lambda test: np.array([r["f"] for r in rows if test(r)], np.float64).reshape(-1, N_FEATURES)
     positive, unlabelled = shaped(lambda r: r["good"]), shaped(lambda r: r["any"])
     if not len(positive) or not len(unlabelled):
@@ -172,6 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.Series(np.full(len(texts), model.prior))
                 continue
             x = np.array([features(t or "") for t in texts]).reshape(-1, N_FEATURES)
-            yield pd.Series(sigmoid(forward(np.clip((x - model.centre) / model.scale, -8, 8), model.weights)[1]))
+            found = sigmoid(forward(np.clip((x - model.centre) / model.scale, -8, 8), model.weights)[1])
+            yield pd.Series(np.round(found, 9))  # the last digits depend on the batch
 
     return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text").cast("string")))
