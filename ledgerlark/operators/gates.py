@@ -124,32 +124,55 @@ def banned_fields(columns: list[str]) -> list[str]:
     return [c for c in columns if c in R.ROUTE_FIELDS]
 
 
-def source_rules() -> Rules:
-    """Conditions under which a source's metadata contradict its records, over `source` and the counts `records`."""
+def source_rules(rules_sha256: Column) -> Rules:
+    """Conditions under which a source's metadata contradict its records, over `sources` (how many there are), `source` and the counts `records`.
+
+    Metadata that is not there is not judged, but for the source itself: without exactly one, nothing holds.
+    """
     s, n = (lambda f: F.col(f"source.{f}")), (lambda f: F.col(f"records.{f}"))
     csv, board = s("eligible").isNotNull(), s("dashboard").isNotNull() & s("eligible").isNotNull()
     differs = lambda a, b: ~a.eqNullSafe(b)
+    by_kind = F.lit(False)
+    for kind in R.STAGES:
+        by_kind = by_kind | differs(s(f"difference_{kind}"), s(f"dashboard_{kind}") - s(f"eligible_{kind}"))
     return [
-        ("record count", differs(s("record_count"), n("n"))),
+        ("source", F.col("sources") != 1), ("record count", differs(s("record_count"), n("n"))), ("publisher rules", (F.coalesce(s("rules_sha256"), F.lit("")) != "") & differs(s("rules_sha256"), rules_sha256)),
         ("import counts", csv & (differs(s("imported"), s("record_count")) | differs(s("gap"), s("eligible") - s("imported")) | differs(s("gap"), F.lit(0)))),
         ("import counts by kind", csv & (differs(s("imported_subsidy"), n("subsidy")) | differs(s("eligible_subsidy"), n("subsidy")) | differs(s("imported_procurement"), n("procurement")) | differs(s("eligible_procurement"), n("procurement")))),
-        ("dashboard differences", board & (differs(s("dashboard"), s("dashboard_subsidy") + s("dashboard_procurement")) | differs(s("difference"), s("dashboard") - s("eligible")))),
+        ("dashboard differences", board & (differs(s("dashboard"), s("dashboard_subsidy") + s("dashboard_procurement")) | differs(s("difference"), s("dashboard") - s("eligible")) | by_kind)),
     ]
 
 
+#: What the metadata of a source may say; what it doesn't say is null.
+SOURCE = ["record_count", "eligible", "imported", "gap", "dashboard", "difference", *[f"{x}_{k}" for k in R.STAGES for x in ("imported", "eligible", "dashboard", "difference")]]
+
+
 def stage_counts(records: DataFrame) -> DataFrame:
     """One row: records, and records of each kind's stage."""
     return records.agg(F.count("*").alias("n"), *[F.count_if(F.col("stage") == stage).alias(kind) for kind, stage in R.STAGES.items()])
 
 
+def rules_hash() -> Column:
+    """Hash of the publisher table: the JSON of its pairs, in Japanese order of the names as published; 27 pairs."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in R.ALIASES.items()])
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.collate(p["a"], "ja").alias("order"), p["a"].alias("a"), p["b"].alias("b"))))
+    return F.sha2(F.to_json(F.transform(ordered, lambda p: F.array(p["a"], p["b"]))), 256)
+
+
 def validate(records: DataFrame, source: DataFrame) -> DataFrame:
-    """Verdicts on a whole snapshot: unique ids, no route fields, every record, then the metadata of its source (one row)."""
+    """Verdicts on a whole snapshot: unique ids, no route fields, every record, then the metadata of its source.
+
+    `source` has one row; columns of SOURCE and rules_sha256 that it lacks are unknown. With none or several rows the rule `source` fails.
+    """
     spark, rules = records.sparkSession, record_rules()
     head = repeated_rows(records, ["id"]).select(F.lit(1).alias("position"), F.lit("repeated id").alias("rule"), "failures")
     fields = spark.range(1).select(F.lit(2).alias("position"), F.lit("route fields").alias("rule"), F.lit(len(banned_fields(records.columns))).cast("long").alias("failures"))
     rows = verdicts(records, rules).withColumn("position", F.col("position") + 2)
-    both = source.select(F.struct("*").alias("source")).join(stage_counts(records).select(F.struct("*").alias("records")), how="cross")  # one row with one row
-    meta = verdicts(both, source_rules()).withColumn("position", F.col("position") + 2 + len(rules))
+    known = [F.col(c).cast("long").alias(c) if c in source.columns else F.lit(None).cast("long").alias(c) for c in SOURCE]
+    known.append((F.col("rules_sha256") if "rules_sha256" in source.columns else F.lit(None)).cast("string").alias("rules_sha256"))
+    one = source.select(F.struct(*known).alias("source")).agg(F.count("*").alias("sources"), F.first("source").alias("source"))  # a row even without any source
+    both = one.join(stage_counts(records).select(F.struct("*").alias("records")), how="cross")  # one row with one row
+    meta = verdicts(both, source_rules(rules_hash())).withColumn("position", F.col("position") + 2 + len(rules))
     return head.unionByName(fields).unionByName(rows).unionByName(meta)
 
 
@@ -201,34 +224,65 @@ def file_name_fault(year: Column, file: Column) -> Column:
     return F.when(~F.coalesce(file.rlike(r"^commitments-(?:[0-9]{4}|unclassified)\.json$"), F.lit(False)), "form").when(~F.concat(F.lit("commitments-"), year, F.lit(".json")).eqNullSafe(file), "year")
 
 
-def sync_verdicts(rows: DataFrame, receipts: DataFrame, release: DataFrame) -> DataFrame:
-    """Verdicts on published rows (with `file`) against receipts (file, rows) and the release (record_count, one row)."""
-    found = rows.groupBy("file").agg(F.count("*").alias("found"), F.count_if(~sync_rule()).alias("bad"))
-    files = receipts.join(found, "file", "full_outer").agg(
-        F.count_if(F.col("rows").isNull()).alias("r1"), F.count_if(F.col("rows").isNotNull() & ~F.col("rows").eqNullSafe(F.coalesce("found", F.lit(0)))).alias("r2"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("r3"), F.coalesce(F.sum("found"), F.lit(0)).alias("total"),
+def sync_verdicts(rows: DataFrame, files: DataFrame, receipts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Verdicts on what was read of a release before it is indexed.
+
+    rows: published rows with `file`; files: (file, bytes, sha256, rows, is_array) as read; receipts: (file, bytes, sha256, rows) of the release;
+    facts: one row of commit, expected_commit, manifest_sha256, manifest_found_sha256, record_count and id_set_sha256.
+    """
+    from ..sources.files import set_hash
+
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    told = receipts.select("file", *[F.col(c).alias(f"told_{c}") for c in ("bytes", "sha256", "rows")])
+    missing = F.col("told_bytes").isNull()
+    per_file = files.join(told, "file", "left").agg(
+        F.count_if(missing).alias("r1"), F.count_if(~missing & (differs("bytes", "told_bytes") | differs("sha256", "told_sha256"))).alias("r2"), F.count_if(~missing & (~F.coalesce("is_array", F.lit(False)) | differs("rows", "told_rows"))).alias("r3")
     )
-    one = files.join(release.select("record_count"), how="cross").join(repeated_rows(rows, ["id"]).withColumnRenamed("failures", "r4"), how="cross")  # single rows
-    names = ["file without a receipt", "rows of a file", "form of a row", "repeated id", "record count"]
-    counts = [F.col("r1"), F.col("r2"), F.col("r3"), F.col("r4"), (F.col("total") != F.col("record_count")).cast("long")]
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k + 1).alias("position"), F.lit(n).alias("rule"), v.alias("failures")) for k, (n, v) in enumerate(zip(names, counts))])))
+    bad = rows.agg(F.count_if(~sync_rule()).alias("r4"))
+    ids = set_hash(rows, [], "id").agg(F.max("rows").alias("found"), F.max("repeated").alias("repeated"), F.max("set_hash").alias("found_set"))
+    one = per_file.join(bad, how="cross").join(ids, how="cross").join(facts, how="cross")  # single rows
+    whole = differs("record_count", "found") | differs("id_set_sha256", "found_set")
+    named = {"commit": differs("commit", "expected_commit").cast("long"), "manifest": differs("manifest_sha256", "manifest_found_sha256").cast("long"), "file without a receipt": F.col("r1"), "bytes of a file": F.col("r2"), "rows of a file": F.col("r3"), "form of a row": F.col("r4"), "repeated id": F.coalesce("repeated", F.lit(0)), "whole release": whole.cast("long")}
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("rule"), v.alias("failures")) for k, (n, v) in enumerate(named.items(), 1)])))
+
+
+YEAR_KEY, YEAR_FILE = "^([0-9]{4}|unclassified)$", "^commitments-([0-9]{4}|unclassified)[.]json$"
 
 
 def release_rules() -> Rules:
-    """Conditions under which a client refuses a release, over its columns and the array `files` of (name, bytes, rows, sha256)."""
-    c, hexes = F.col, lambda col, n: F.coalesce(col.rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(False))
-    fine = lambda f: f["name"].rlike(r"^commitments-([0-9]{4}|unclassified)\.json$") & f["sha256"].rlike("^[0-9a-f]{64}$") & (f["bytes"] >= 0) & (f["rows"] >= 0)
+    """Conditions under which a client refuses a release, over `site.client_view`: the manifest, the receipt, then what they say of each other.
+
+    manifest_entries is an array of (year, file), files one of (name, bytes, rows, sha256), sources a struct of csvRetrievedAt, subsidy and procurement (sha256, bytes, filename).
+    """
+    c, hexes = F.col, lambda col, n: F.coalesce(col.rlike(f"^[0-9a-fA-F]{{{n}}}$"), F.lit(False))
+    natural = lambda col: whole(col) & (col >= 0)
+    entry = lambda e: F.coalesce(e["year"].rlike(YEAR_KEY) & e["file"].rlike(YEAR_FILE), F.lit(False))
+    fine = lambda f: F.coalesce(f["name"].rlike(YEAR_FILE), F.lit(False)) & hexes(f["sha256"], 64) & natural(f["bytes"]) & natural(f["rows"])
+    named = F.transform("manifest_entries", lambda e: e["file"])
+    snapshot = lambda k: hexes(c(f"sources.{k}.sha256"), 64) & whole(c(f"sources.{k}.bytes")) & c(f"sources.{k}.filename").isNotNull()
     return [
-        ("schema version", ~c("schema_version").eqNullSafe(F.lit(1))), ("commit", ~hexes(c("commit"), 40)), ("record count", ~(whole(c("record_count")) & (c("record_count") >= 0))),
-        ("hashes", ~(hexes(c("manifest_sha256"), 64) & hexes(c("id_set_sha256"), 64))), ("files", ~F.coalesce(F.forall("files", fine), F.lit(False))),
-        ("generated at", ~c("generated_at").eqNullSafe(c("manifest_generated_at"))), ("file list", ~F.array_sort(F.transform("files", lambda f: f["name"])).eqNullSafe(F.array_sort("manifest_files"))),
+        ("manifest", c("manifest_generated_at").isNull() | c("manifest_entries").isNull()), ("file map", (F.size("manifest_entries") == 0) | ~F.forall("manifest_entries", entry) | (F.size(F.array_distinct(named)) != F.size(named))),
+        ("schema version", ~c("schema_version").eqNullSafe(F.lit(1))), ("commit", ~hexes(c("commit"), 40)), ("record count", ~natural(c("record_count"))), ("hashes", ~(hexes(c("manifest_sha256"), 64) & hexes(c("id_set_sha256"), 64))),
+        ("files", ~F.coalesce(F.forall("files", fine), F.lit(False))), ("sources", ~F.coalesce(c("sources.csvRetrievedAt").isNotNull() & snapshot("subsidy") & snapshot("procurement"), F.lit(False))),
+        ("generated at", ~c("generated_at").eqNullSafe(c("manifest_generated_at"))), ("manifest hash", ~c("manifest_sha256").eqNullSafe(c("manifest_found_sha256"))), ("file list", ~F.array_sort(F.transform("files", lambda f: f["name"])).eqNullSafe(F.array_sort(named))),
     ]
 
 
+def answer_row(r: Column) -> Column:
+    """Whether a row of an answer has the public form; r is a struct of the public fields."""
+    filled = lambda f: F.coalesce(r[f] != "", F.lit(False))
+    out = r["program"].isNotNull() & F.coalesce(r["corporateNumber"].rlike(NUMBER_13), F.lit(False)) & F.coalesce(r["stage"].isin(*R.STAGES.values()), F.lit(False)) & whole(r["sourceRowNumber"]) & (r["sourceRowNumber"] >= 1)
+    for f in ("id", "organization", "sourceAgency", "sourceKey", "sourceSystem"):
+        out = out & filled(f)
+    return F.coalesce(out, F.lit(False))
+
+
 def answer_rules(page_size: int = R.PAGE_SIZE) -> Rules:
-    """Conditions under which a client refuses an answer: (commit, generated_at) of it and of the release, page asked for and given, totals, and `n_rows`."""
+    """Conditions under which a client refuses an answer: its rows, then (commit, generated_at) of it and of the release, the page's size, totals, the page asked for and given, and agencies."""
     c = F.col
+    ids = F.transform("rows", lambda r: r["id"])
     return [
-        ("commit", ~c("commit").eqNullSafe(c("release_commit"))), ("generated at", ~c("generated_at").eqNullSafe(c("release_generated_at"))), ("page", ~c("page").eqNullSafe(c("asked"))),
-        ("totals", ~F.coalesce((c("total") >= 0) & (c("pages") >= 1), F.lit(False))), ("rows", ~F.coalesce(c("n_rows") <= page_size, F.lit(False))),
+        ("form of a row", c("rows").isNull() | ~F.forall("rows", answer_row)), ("repeated id", F.size(F.array_distinct(ids)) != F.size(ids)),
+        ("commit", ~c("commit").eqNullSafe(c("release_commit"))), ("generated at", ~c("generated_at").eqNullSafe(c("release_generated_at"))), ("page size", ~c("page_size").eqNullSafe(F.lit(page_size))),
+        ("totals", ~F.coalesce((c("total") >= 0) & (c("pages") >= 1), F.lit(False))), ("page", ~c("page").eqNullSafe(c("asked"))), ("rows", ~F.coalesce(F.size("rows") <= page_size, F.lit(False))), ("agencies", ~F.coalesce(F.forall("agencies", lambda a: a.isNotNull()), F.lit(False))),
     ]

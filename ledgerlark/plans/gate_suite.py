@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import continuity, gates, normalize, search, summaries
-from ..sources import adoptions, files
+from ..operators import continuity, gates, index, normalize, search, summaries
+from ..sources import adoptions, files, site
 from ..sources.storage import scratch
 from .suite import DATED, DIGIT_SUM, FISCAL, dated, query, searchable, snapshots, table
 
@@ -105,8 +105,8 @@ def snapshot_continuity(spark, sf_dir):
 
 VALID_RULES = [
     ("repeated id", "count(*) - count(DISTINCT id)"), ("route fields", "0"), ("corporate number", "0"), ("no key", "count_if(key = '')"), ("hash", "count_if(o_orderkey % 11 = 0)"), ("publisher", "count_if(o_orderkey % 13 = 0)"),
-    ("amount", "count_if(o_orderkey % 17 = 0)"), ("date or fiscal year", "count_if(o_orderkey % 19 = 0)"), ("stage", "count_if(o_orderkey % 23 = 0)"), ("address of the source", "count_if(o_orderkey % 29 = 0)"),
-    ("record count", "CAST(count(*) <> (SELECT count(*) FROM orders) AS INT)"), ("import counts", "1"), ("import counts by kind", "1"), ("dashboard differences", "0"),
+    ("amount", "count_if(o_orderkey % 17 = 0)"), ("date or fiscal year", "count_if(o_orderkey % 19 = 0)"), ("stage", "count_if(o_orderkey % 23 = 0)"), ("address of the source", "count_if(o_orderkey % 29 = 0)"), ("source", "0"),
+    ("record count", "CAST(count(*) <> (SELECT count(*) FROM orders) AS INT)"), ("publisher rules", "1"), ("import counts", "1"), ("import counts by kind", "1"), ("dashboard differences", "1"),
 ]
 
 
@@ -122,10 +122,23 @@ def validate_snapshot(spark, sf_dir):
     whole = [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC]
     broken = S.with_semantic_hash(broken, "whole", whole).withColumn("sourceRecordHash", stored(11, F.lit("00"), c("whole"))).drop("whole")
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
-    source = n.selectExpr("n as record_count", "n as eligible", "n + 1 as imported", "0L as gap", "1L as imported_subsidy", "1L as eligible_subsidy", "0L as imported_procurement", "0L as eligible_procurement", "n + 5 as dashboard", "n as dashboard_subsidy", "5L as dashboard_procurement", "5L as difference")
+    source = n.selectExpr("n as record_count", "n as eligible", "n + 1 as imported", "0L as gap", "1L as imported_subsidy", "1L as eligible_subsidy", "0L as imported_procurement", "0L as eligible_procurement", "n + 5 as dashboard", "n as dashboard_subsidy", "5L as dashboard_procurement", "5L as difference", "n - 1 as difference_subsidy", "6L as difference_procurement", "'00' as rules_sha256")
     return gates.validate(broken.drop("k"), source)
 
 
+LEFT_OUT = [("repeated id", "0"), ("route fields", "1"), ("corporate number", "count_if(c_custkey % 3 = 0)"), ("no key", "0"), ("hash", "0"), ("publisher", "0"), ("amount", "0"), ("date or fiscal year", "0"), ("stage", "0"), ("address of the source", "0"),
+            ("source", "1"), ("record count", "1"), ("publisher rules", "0"), ("import counts", "0"), ("import counts by kind", "0"), ("dashboard differences", "0")]
+
+
+@query(_rules(*LEFT_OUT, source="customer"))
+def validate_without_source(spark, sf_dir):
+    number = F.expr(f"if(c_custkey % 3 = 0, '1', {CHECKED.format(DIGIT_SUM, 'STRING', 'substr(number, 2)')})")
+    rows = table(spark, sf_dir, "customer").withColumn("number", F.expr("'0' || lpad(cast(c_custkey as string), 12, '0')")).withColumn("corporateNumber", number)
+    named = {"id": "c_custkey", "sourceKey": "c_name", "sourceAgency": "'NEDO'", "publisherCanonical": "'NEDO'", "stage": "'contracted'", "sourceUrl": "'https://x'", "amount": "1L", "fiscalYear": "2024", "date": "'2025-03-31'", "sourceRecordHash": "''", "route": "'a>b'"}
+    blank = [c for c in R.SEMANTIC if c not in named and c != "corporateNumber"]
+    return gates.validate(rows.selectExpr("corporateNumber", *[f"{v} as {k}" for k, v in named.items()], *[f"'' as {c}" for c in blank]), spark.createDataFrame([], "record_count long"))
+
+
 PAGE_FAULTS = ["no search data", "no script", "not JSON", "not an object", "no list", "too many rows", "page count", "row count", "row", "repeated id", "empty result", "pages"]
 
 
@@ -286,33 +299,40 @@ def public_verdicts(spark, sf_dir):
     return gates.verdicts(published(spark, sf_dir), gates.public_rules())
 
 
-@query(_rules(("file without a receipt", "max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)"), ("rows of a file", "max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)"), ("form of a row", "count_if(o_orderkey % 11 = 0 OR o_orderkey % 13 = 0)"),
-              ("repeated id", "greatest(count_if(o_orderkey % 31 = 0) - 1, 0)"), ("record count", "0"), source="orders"))
+@query(_rules(("commit", "1"), ("manifest", "0"), ("file without a receipt", "max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)"), ("bytes of a file", "max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)"), ("rows of a file", "max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)"),
+              ("form of a row", "count_if(o_orderkey % 11 = 0 OR o_orderkey % 13 = 0)"), ("repeated id", "greatest(count_if(o_orderkey % 31 = 0) - 1, 0)"), ("whole release", "1"), source="orders"))
 def sync_verdicts(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("file")).agg(F.count("*").alias("n"))
-    receipts = counts.where("file != 'P'").select("file", F.expr("if(file = 'O', n + 1, n)").alias("rows"))
-    return gates.sync_verdicts(published(spark, sf_dir), receipts, counts.agg(F.sum("n").alias("record_count")))
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("file")).agg(F.count("*").alias("rows")).selectExpr("file", "10L as bytes", "'a' as sha256", "rows", "true as is_array")
+    receipts = counts.where("file != 'P'").selectExpr("file", "bytes", "if(file = 'F', 'b', sha256) as sha256", "if(file = 'O', rows + 1, rows) as rows")
+    facts = counts.agg(F.sum("rows").alias("record_count")).selectExpr("'c' as commit", "'d' as expected_commit", "'m' as manifest_sha256", "'m' as manifest_found_sha256", "record_count", "'x' as id_set_sha256")
+    return gates.sync_verdicts(published(spark, sf_dir), counts, receipts, facts)
 
 
-RELEASE_FAULTS = ["schema version", "commit", "record count", "hashes", "files", "generated at", "file list"]
+RELEASE_FAULTS = ["manifest", "file map", "file map", "schema version", "commit", "record count", "hashes", "files", "sources", "sources", "generated at", "manifest hash", "file list"]
 
 
-@query("SELECT c_custkey, CASE c_custkey % 9 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(RELEASE_FAULTS)) + " END AS fault FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 16 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(RELEASE_FAULTS)) + " END AS fault FROM customer")
 def release_faults(spark, sf_dir):
     sha = "sha2(c_name, 256)"
-    rows = table(spark, sf_dir, "customer").withColumn("k", F.expr("c_custkey % 9")).selectExpr(
-        "c_custkey", "if(k = 0, 2, 1) as schema_version", f"substr({sha}, 1, if(k = 1, 39, 40)) as commit", "if(k = 2, -1L, c_custkey) as record_count", f"if(k = 3, 'x', {sha}) as manifest_sha256", f"{sha} as id_set_sha256",
-        f"transform(sequence(2001, 2003), y -> named_struct('name', concat('commitments-', y, if(k = 4, '.txt', '.json')), 'bytes', 5L, 'rows', 1L, 'sha256', {sha})) as files", "'t' as generated_at", "if(k = 5, 'u', 't') as manifest_generated_at",
-        "transform(sequence(2003, if(k = 6, 2002, 2001)), y -> concat('commitments-', y, if(k = 4, '.txt', '.json'))) as manifest_files",
+    snap = lambda k, name: f"named_struct('sha256', if(k = {k}, 'x', {sha}), 'bytes', 1L, 'filename', '{name}')"
+    entry = "named_struct('year', if(k = 1, concat('y', y), cast(y as string)), 'file', concat('commitments-', if(k = 2, 2001, y), '.json'))"
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.expr("c_custkey % 16")).selectExpr(
+        "c_custkey", "if(k = 3, 2, 1) as schema_version", f"upper(substr({sha}, 1, if(k = 4, 39, 40))) as commit", "if(k = 5, -1L, c_custkey) as record_count", f"if(k = 6, 'x', {sha}) as manifest_sha256", f"upper({sha}) as id_set_sha256",
+        f"transform(sequence(2001, 2003), y -> named_struct('name', concat('commitments-', y, '.json'), 'bytes', if(k = 7, -5L, 5L), 'rows', 1L, 'sha256', {sha})) as files", "'t' as generated_at", "if(k = 0, null, if(k = 10, 'u', 't')) as manifest_generated_at",
+        f"named_struct('csvRetrievedAt', if(k = 8, null, 't'), 'subsidy', {snap(9, 'a')}, 'procurement', {snap(99, 'b')}) as sources", f"if(k = 11, 'y', {sha}) as manifest_found_sha256", f"transform(sequence(2003, if(k = 12, 2002, 2001)), y -> {entry}) as manifest_entries",
     )
     return rows.withColumn("fault", gates.first_fault(gates.release_rules())).select("c_custkey", "fault")
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'commit' WHEN 1 THEN 'generated at' WHEN 2 THEN 'page' WHEN 3 THEN 'totals' WHEN 4 THEN 'rows' END AS fault FROM events")
+ANSWER_FAULTS = ["form of a row", "repeated id", "commit", "generated at", "page size", "totals", "page", "rows", "agencies"]
+
+
+@query("SELECT event_id, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(ANSWER_FAULTS)) + " END AS fault FROM events")
 def response_faults(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("k", F.expr("event_id % 7")).selectExpr(
-        "event_id", "'a' as release_commit", "if(k = 0, 'b', 'a') as commit", "'t' as release_generated_at", "if(k = 1, null, 't') as generated_at", "event_id as asked", "if(k = 2, event_id + 1, event_id) as page",
-        "event_id as total", "if(k = 3, 0, 1) as pages", "if(k = 4, 101, 100) as n_rows",
+    row = "named_struct('id', if(k = 1, 'same', concat('r', i)), 'organization', if(k = 0, '', '社'), 'corporateNumber', '1234567890123', 'sourceAgency', 'NEDO', 'program', '', 'stage', 'contracted', 'sourceKey', 'k', 'sourceRowNumber', i, 'sourceSystem', 's')"
+    rows = table(spark, sf_dir, "events").withColumn("k", F.expr("event_id % 11")).selectExpr(
+        "event_id", f"transform(sequence(1L, if(k = 7, 101L, 2L)), i -> {row}) as rows", "'a' as release_commit", "if(k = 2, 'b', 'a') as commit", "'t' as release_generated_at", "if(k = 3, null, 't') as generated_at", "if(k = 4, 99, 100) as page_size",
+        "event_id as asked", "if(k = 6, event_id + 1, event_id) as page", "event_id as total", "if(k = 5, 0, 1) as pages", "if(k = 8, array('a', null), array('a')) as agencies",
     )
     return rows.withColumn("fault", gates.first_fault(gates.answer_rules())).select("event_id", "fault")
 
@@ -376,20 +396,27 @@ def escaped_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.hash_of_json(S.json_array([(text, False)])).alias("hash"))
 
 
-@query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL")
+SNAPSHOTS = {"csvRetrievedAt": "2026-01-02T00:00:00Z"} | {kind: {"sha256": "0" * 64, "bytes": 1, "filename": f"{kind}.csv"} for kind in R.STAGES}
+
+
+def published_site(spark, sf_dir) -> str:
+    """The bulk rows of orders, imported and published; the folder of the version."""
+    records = imported(spark, sf_dir).records.where("sourceKey != ''").withColumn("sourceSystem", F.lit("s"))
+    return site.publish(records, scratch(spark, "site"), "one", "2026-01-02T03:04:05Z", "a" * 40, SNAPSHOTS)
+
+
+@query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL AND key <> ''")
 def published_rows(spark, sf_dir):
-    records = imported(spark, sf_dir).records
-    root = scratch(spark, "site")
-    files.publish(records, root, "one")
-    return files.read_published(spark, root, files.public_rows(records).schema).select("id", "date", "amount", "amountRaw", "sourceKey")
+    return site.read_years(spark, published_site(spark, sf_dir)).rows.select("id", "date", "amount", "amountRaw", "sourceKey")
 
 
-@query(f"SELECT coalesce(CAST(fy AS VARCHAR), 'unclassified') AS year_key, count(*) AS n_rows FROM {RECORD} WHERE canonical IS NOT NULL GROUP BY 1")
+@query(f"SELECT 'commitments-' || coalesce(CAST(fy AS VARCHAR), 'unclassified') || '.json' AS file, count(*) AS n_rows, true AS listed FROM {RECORD} WHERE canonical IS NOT NULL AND key <> '' GROUP BY 1")
 def verified_files(spark, sf_dir):
-    records = imported(spark, sf_dir).records
-    path = files.publish(records, scratch(spark, "site"), "one")
-    rows = files.read_listed(spark, path, files.file_receipts(spark, path), files.public_rows(records).schema)
-    return rows.groupBy(F.regexp_extract("file", "year_key=([^/]+)/", 1).alias("year_key")).agg(F.count("*").alias("n_rows"))
+    path = published_site(spark, sf_dir)
+    read, receipts, facts = site.sync_facts(spark, path, "a" * 40)
+    gates.refuse(gates.sync_verdicts(read.rows, read.files, receipts, facts))
+    manifest = site.client_view(spark, path).select(F.inline("manifest_entries")).select("file", F.lit(True).alias("listed"))
+    return read.rows.groupBy("file").agg(F.count("*").alias("n_rows")).join(manifest, "file", "left").select("file", "n_rows", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) + 1 AS n, CASE WHEN o_orderpriority = '5-LOW' THEN 'a,\"b\"' || chr(10) || 'c' ELSE o_orderpriority END AS cell FROM orders")
@@ -426,11 +453,32 @@ def radix_amounts(spark, sf_dir):
     return S.with_amount(table(spark, sf_dir, "orders").select("o_orderkey", S.clean_cell(text).alias("clean")), "amount", F.col("clean")).drop("clean")
 
 
-@query("SELECT c_custkey AS id, c_name AS organization, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(2000 + c_nationkey AS INT) END AS \"fiscalYear\" FROM customer")
+def indexed(spark, sf_dir, block: int) -> index.Index:
+    """The search index of the customers."""
+    path = scratch(spark, "index")
+    return index.read(spark, path, index.build(searchable(spark, sf_dir).withColumn("fiscalYear", F.col("fiscalYear").cast("int")), path, block))
+
+
+RANKED = """(SELECT c_custkey AS id, c_name AS organization, lpad(CAST(c_custkey AS VARCHAR), 13, '0') AS number, n_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(2000 + c_nationkey AS INT) END AS "fiscalYear", c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+SEARCH_ORDER = 'ORDER BY "fiscalYear" DESC NULLS LAST, organization, id'
+
+
+@query(f'SELECT id, organization, "fiscalYear", row_number() OVER ({SEARCH_ORDER}) - 1 AS rank FROM {RANKED}')
 def search_index(spark, sf_dir):
-    rows, path = searchable(spark, sf_dir).withColumn("fiscalYear", F.col("fiscalYear").cast("int")), scratch(spark, "index")
-    n = files.write_index(rows, search.search_order(), path)
-    return files.read_index(spark, path, rows.schema, n).select("id", "organization", "fiscalYear")
+    return indexed(spark, sf_dir, 1000).rows.select("id", "organization", "fiscalYear", "rank")
+
+
+@query(f"SELECT id, organization, (SELECT count(*) FROM {RANKED} WHERE segment <> 'HOUSEHOLD') AS total FROM {RANKED} WHERE segment <> 'HOUSEHOLD' {SEARCH_ORDER} LIMIT 100 OFFSET (SELECT (count(*) - 1) // 100 * 100 FROM {RANKED} WHERE segment <> 'HOUSEHOLD')")
+def search_last_page(spark, sf_dir):
+    made = indexed(spark, sf_dir, 400)
+    n = index.matching(made, search.criteria({"stage": "subsidy_published"})).count()
+    rows, total, _ = index.page(made, search.criteria({"stage": "subsidy_published", "page": str(-(-n // 100))}))
+    return rows.select("id", "organization", F.lit(total).cast("long").alias("total"))
+
+
+@query(f"SELECT id, organization FROM {RANKED} WHERE contains(lower(organization || ' ' || number), '7 00') AND segment <> 'HOUSEHOLD' {SEARCH_ORDER} LIMIT 100")
+def search_keyword(spark, sf_dir):
+    return index.page(indexed(spark, sf_dir, 400), search.criteria({"q": "7 00", "stage": "subsidy_published"}))[0].select("id", "organization")
 
 
 @query("SELECT (SELECT count(*) FROM orders) AS n_records, max(o_orderdate) AS newest FROM orders")

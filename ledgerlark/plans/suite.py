@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import continuity, normalize, search
+from ..operators import continuity, gates, normalize, search
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,7 +241,7 @@ def duplicate_keys(spark, sf_dir):
   SELECT year_key, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(leaf, chr(10) ORDER BY b)) AS set_hash FROM leaves GROUP BY 1""")
 def release_receipt(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(files.year_key(S.fiscal_year(dated())).alias("year_key"), F.col("o_orderkey").alias("id"))
-    return files.set_hash(rows, ["year_key"], "id").withColumnRenamed("rows", "n_rows")
+    return files.set_hash(rows, ["year_key"], "id").select("year_key", F.col("rows").alias("n_rows"), "set_hash")
 
 
 @query("SELECT DISTINCT year_key, 'commitments-' || year_key || '.json' AS file FROM (SELECT coalesce(CAST(" + FISCAL + " AS VARCHAR), 'unclassified') AS year_key FROM orders)")
@@ -331,10 +331,12 @@ def count_texts(spark, sf_dir):
   (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated FROM orders""")
 def public_gate(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey as id", "if(o_orderpriority = '5-LOW', null, o_orderpriority) as organization", "'x' as corporateNumber", "'k' as sourceKey", "o_orderstatus as stage",
-        "if(o_orderstatus = 'P', 'other', 'own') as ingestSource",
+        "o_custkey as id", "if(o_orderpriority = '5-LOW', null, o_orderpriority) as organization", "'1234567890123' as corporateNumber", "'k' as sourceKey", "'contracted' as stage", "'a' as sourceAgency", "'s' as sourceSystem", "'' as program",
+        "1L as sourceRowNumber", "1 as fiscalYear", "'1' as file_year", "if(o_orderstatus = 'P', 'other', 'own') as ingestSource",
     )
-    return files.public_violations(rows, "own").selectExpr("foreign as foreign_rows", "incomplete", "repeated")
+    found = gates.verdicts(rows, gates.public_rules("own")).groupBy().pivot("rule", ["another source", "required fields"]).agg(F.sum("failures")).toDF("foreign_rows", "incomplete")
+    repeated = continuity.duplicate_keys(rows, ["id"]).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("repeated"))
+    return found.join(repeated, how="cross")  # one row with one row
 
 
 @query("SELECT DISTINCT id, reason FROM (SELECT CAST(c_nationkey AS VARCHAR) AS id, 'filter' AS reason FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'repeated' FROM customer GROUP BY c_nationkey HAVING count(*) > 1)")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import registry as R
 from ..functions import scalars as S
@@ -86,73 +83,6 @@ def year_key(year: Column) -> Column:
     return F.coalesce(year.cast("string"), F.lit("unclassified"))
 
 
-def write_years(records: DataFrame, path: str) -> DataFrame:
-    """Public rows as JSON by year below `path`, which must be new; returns the manifest (year, rows)."""
-    out = public_rows(records).withColumn("year_key", year_key(F.col("fiscalYear")))
-    out.write.partitionBy("year_key").mode("errorifexists").json(path)
-    return out.groupBy("year_key").agg(F.count("*").alias("rows"))
-
-
-def publish(records: DataFrame, root: str, version: str) -> str:
-    """Write a version, check its rows, then flip the pointer; a failure leaves the old pointer.
-
-    The rows are written once and read back with their schema; the pointer is written beside the old one and
-    renamed over it.
-    """
-    spark, path = records.sparkSession, f"{root}/v={version}"
-    rows = public_rows(records)
-    seen = Observation("published")
-    rows.observe(seen, F.count("*").alias("n")).withColumn("year_key", year_key(F.col("fiscalYear"))).write.partitionBy("year_key").mode("errorifexists").json(path)
-    written = spark.read.schema(rows.schema).json(path)
-    found = written.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).first()
-    if not seen.get["n"] == found["n"] == found["ids"]:
-        raise GateError("written rows differ from the records")
-    written.groupBy(year_key(F.col("fiscalYear")).alias("year_key")).agg(F.count("*").alias("rows")).coalesce(1).write.mode("errorifexists").json(f"{path}_manifest")
-    flip(spark, f"{root}/pointer.json", json.dumps({"version": version, "path": path}))
-    return path
-
-
-def flip(spark: SparkSession, pointer: str, text: str) -> None:
-    """Replace a small file by another in one rename."""
-    jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{pointer}.new", pointer))
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    out = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(new, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(new, old, options)
-
-
-def read_published(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The rows of the version that the pointer names, by a given schema; gzip files are read by their suffix."""
-    pointer = spark.read.schema("version string, path string").json(f"{root}/pointer.json").first()
-    return spark.read.schema(schema).json(pointer["path"])
-
-
-def read_listed(spark: SparkSession, folder: str, receipts: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows of the files of a folder with `file`; only after `verify_release` finds files and receipts alike."""
-    verify_release(file_receipts(spark, folder), receipts)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1)
-    return spark.read.schema(schema).json(folder).withColumn("file", name)
-
-
-def write_index(rows: DataFrame, order: list[Column], path: str) -> int:
-    """The search index: public rows in search order, as gzip JSON files that follow one another; returns how many rows were written."""
-    seen = Observation("index")
-    rows.orderBy(*order).observe(seen, F.count("*").alias("n")).write.mode("errorifexists").option("compression", "gzip").json(path)
-    return seen.get["n"]
-
-
-def read_index(spark: SparkSession, path: str, schema: T.StructType, n_rows: int) -> DataFrame:
-    """The rows of a search index; refused where there are more or fewer than its metadata says."""
-    rows = spark.read.schema(schema).json(path)
-    if (found := rows.count()) != n_rows:
-        raise GateError(f"the index has {found} rows instead of {n_rows}")
-    return rows
-
-
 def write_dataset(records: DataFrame, metadata: DataFrame, path: str) -> None:
     """The full data set below `path`: all records, and the summary, which is the metadata without them."""
     records.write.mode("errorifexists").json(f"{path}/records")
@@ -167,40 +97,18 @@ def write_evidence(raw: dict[str, DataFrame], snapshot: DataFrame, path: str) ->
 
 
 def set_hash(df: DataFrame, by: list[str], key: str, buckets: int | None = None) -> DataFrame:
-    """Hash of the set of keys of each group, as a tree: buckets of keys, sorted, then the sorted bucket hashes.
+    """Rows, repeated keys beyond the first, and the hash of the set of keys of each group, from one shuffle.
 
-    No group is gathered whole: a bucket holds a share of 1 / `buckets` of a group. Unless it is given, the number
-    follows from the number of rows: 4,096, doubled until a bucket has about 50,000 of them.
+    The hash is a tree: buckets of keys, sorted, then the sorted bucket hashes, so no group is gathered whole: a bucket holds
+    a share of 1 / `buckets` of a group. Unless it is given, the number follows from the number of rows: 4,096, doubled
+    until a bucket has about 50,000 of them.
     """
     if buckets is None:
         buckets, n = 4096, df.count()
         while buckets * 50_000 < n:
             buckets *= 2
     bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4 if buckets <= 65_536 else 12), 16, 10).cast("long") % buckets
-    leaves = df.groupBy(*by, bucket.alias("bucket__")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("leaf__"))
-    return leaves.groupBy(*by).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket__", "leaf__"))), lambda x: x["leaf__"]), "\n"), 256).alias("set_hash"))
-
-
-def file_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes and sha256 of every JSON file of a published version; files are hashed where they are read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").option("recursiveFileLookup", True).load(path)
-    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return found.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def verify_release(published: DataFrame, receipts: DataFrame) -> None:
-    """Files must be the same by name, size and hash on both sides; the first three differences are named."""
-    a, b = published.alias("a"), receipts.alias("b")
-    differ = a.join(b, "file", "full_outer").where("not (a.bytes <=> b.bytes) or not (a.sha256 <=> b.sha256)")
-    if bad := [r["file"] for r in differ.select("file").orderBy("file").limit(3).collect()]:
-        raise GateError(f"files differ from the receipt: {', '.join(bad)}")
-
-
-def public_violations(rows: DataFrame, ingest: str) -> DataFrame:
-    """One row of counters: records of another source, without required fields, or with a repeated id."""
-    required = F.lit(False)
-    for c in ("id", "organization", "corporateNumber", "sourceKey", "stage"):
-        required = required | (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
-    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"))
-    counts = rows.agg(F.count_if(~F.col("ingestSource").eqNullSafe(F.lit(ingest))).alias("foreign"), F.count_if(required).alias("incomplete"), F.count_if(~S.valid_corporate_number(F.col("corporateNumber"))).alias("bad_number"))
-    return counts.join(repeated, how="cross")  # one row with one row
+    held = df.groupBy(*by, bucket.alias("bucket__")).agg(F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("keys__"))
+    leaves = held.select(*by, "bucket__", F.size("keys__").alias("n__"), F.size(F.array_distinct("keys__")).alias("distinct__"), F.sha2(F.array_join("keys__", "\n"), 256).alias("leaf__"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bucket__", "leaf__"))), lambda x: x["leaf__"])
+    return leaves.groupBy(*by).agg(F.sum("n__").cast("long").alias("rows"), F.sum(F.col("n__") - F.col("distinct__")).cast("long").alias("repeated"), F.sha2(F.array_join(ordered, "\n"), 256).alias("set_hash"))

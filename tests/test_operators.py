@@ -1,8 +1,13 @@
+import hashlib
+import json
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.functions import registry as R
-from ledgerlark.operators import continuity, gates, normalize, search, summaries
-from ledgerlark.sources import files
+from ledgerlark.operators import continuity, gates, index, normalize, search, summaries
+from ledgerlark.sources import files, site
 
 
 def number(body):
@@ -92,15 +97,66 @@ def test_search(spark):
     assert search.criteria({"page": "1e1", "agency": " "}) == search.Criteria(page=10)
 
 
-def test_publish_flips_pointer_last(spark, imported, tmp_path):
-    records = imported.records
-    path = files.publish(records, f"{tmp_path}/site", "one")
-    back = spark.read.json(path)
-    assert {r.year_key for r in back.select("year_key").distinct().collect()} == {"2026", "unclassified"} and "amountRaw" not in back.columns
-    assert spark.read.json(f"{tmp_path}/site/pointer.json").first().version == "one"
-    with pytest.raises(continuity.GateError):
-        files.publish(records.union(records), f"{tmp_path}/site", "two")
-    assert spark.read.json(f"{tmp_path}/site/pointer.json").first().version == "one"
+SNAPSHOTS = {"csvRetrievedAt": "t"} | {k: {"sha256": "0" * 64, "bytes": 1, "filename": k} for k in R.STAGES}
+
+
+def publish(records, root, version="one"):
+    return site.publish(records.withColumn("sourceSystem", F.lit("s")), str(root), version, "2026-01-01T00:00:00Z", "A" * 40, SNAPSHOTS)
+
+
+def test_files_manifest_receipt_and_pointer(spark, imported, tmp_path):
+    path = publish(imported.records, tmp_path / "site")
+    names = {p.name: p for p in Path(path).iterdir() if not p.name.startswith(".")}
+    assert set(names) == {"commitments-2026.json", "commitments-unclassified.json", "manifest.json", "release.json"}
+    manifest, release = (json.loads(names[f].read_text()) for f in ("manifest.json", "release.json"))
+    assert manifest["commitments"] == {"2026": "commitments-2026.json", "unclassified": "commitments-unclassified.json"}
+    for name, told in release["files"].items():
+        raw = names[name].read_bytes()
+        assert (told["sha256"], told["bytes"], told["rows"]) == (hashlib.sha256(raw).hexdigest(), len(raw), len(json.loads(raw)))
+    [row] = json.loads(names["commitments-unclassified.json"].read_text())
+    assert row["date"] is None and row["amount"] == 0 and "amountRaw" not in row
+    assert release["manifestSha256"] == hashlib.sha256(names["manifest.json"].read_bytes()).hexdigest() and release["recordCount"] == 2
+    assert site.current(spark, f"{tmp_path}/site") == path
+    for broken in (imported.records.union(imported.records), imported.records.withColumn("organization", F.lit(""))):
+        with pytest.raises(continuity.GateError):
+            publish(broken, tmp_path / "site", "two" if broken is None else f"v{hash(broken) % 1000}")
+        assert site.current(spark, f"{tmp_path}/site") == path
+
+
+def test_sync_uses_what_it_checked(spark, imported, tmp_path):
+    path = publish(imported.records, tmp_path / "site")
+    done = site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "A" * 40, "now", index.build)
+    assert (done["recordCount"], done["agencies"]) == (2, ["経済産業省", "経済産業省関東経済産業局"])
+    made = index.read(spark, done["objectKey"], 2)
+    assert [r.sourceKey for r in index.page(made, search.criteria({"q": "乙社"}), done["agencies"])[0].collect()] == ["k2"]
+    with pytest.raises(continuity.GateError, match="3"):
+        index.read(spark, done["objectKey"], 3)
+    before = (tmp_path / "index" / "current.json").read_text()
+    with pytest.raises(continuity.GateError, match="commit"):
+        site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "b" * 40, "now", index.build)
+    for name, change, message in (("commitments-2026.json", lambda t: t.replace("乙社", "丁社"), "bytes of a file"), ("manifest.json", lambda t: t + " ", "manifest")):
+        file = Path(path) / name
+        held = file.read_text()
+        (file.parent / f".{name}.crc").unlink(missing_ok=True)
+        file.write_text(change(held))
+        with pytest.raises(continuity.GateError, match=message):
+            site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "A" * 40, "later", index.build)
+        file.write_text(held)
+    assert (tmp_path / "index" / "current.json").read_text() == before
+
+
+def test_index_pages_equal_a_full_sort(spark, tmp_path):
+    rows = [(f"id{i:04}", f"{'甲乙丙'[i % 3]}株式会社 No.{i % 40}", f"{i:013}", f"省{i % 2}", ("contracted", "subsidy_published")[i % 3 == 0], None if i % 7 == 0 else 2000 + i % 5, None if i % 11 else "2026-01-01") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id string, organization string, corporateNumber string, sourceAgency string, stage string, fiscalYear int, date string")
+    df.write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    made = index.read(spark, f"{tmp_path}/index", index.build(df, f"{tmp_path}/index", 100))
+    for params in ({}, {"page": "15"}, {"q": "株式会社 no.3", "page": "2"}, {"q": "丙"}, {"q": "社 "}, {"q": "zzz"}, {"q": "7 0000000000"}, {"year": "unclassified", "page": "3"}, {"agency": "省1", "stage": "contracted", "page": "5"}):
+        c = search.criteria(params)
+        (want, *counts), (got, *found) = search.result(df, c), index.page(made, c)
+        assert counts == found and [r.id for r in want.collect()] == [r.id for r in got.collect()], params
+    with pytest.raises(ValueError, match="page 16 of 15"):
+        index.page(made, search.criteria({"page": "16"}))
 
 
 def test_dashboard_contract(spark):
@@ -116,15 +172,6 @@ def test_dashboard_contract(spark):
     assert got == [(1234, 56), (None, None), (None, None), (None, 56), (None, None), (None, None), (4, 5), (None, None), (None, None)]
 
 
-def test_release_receipts(spark, imported, tmp_path):
-    path = files.publish(imported.records, f"{tmp_path}/site", "one")
-    receipts = files.file_receipts(spark, path)
-    assert receipts.count() == 2
-    files.verify_release(receipts, receipts)
-    with pytest.raises(continuity.GateError, match="files differ"):
-        files.verify_release(receipts, receipts.limit(1))
-
-
 def test_adoption_rules(spark):
     rows = spark.createDataFrame([("a", "01", "p"), ("a", "01", "p"), ("b", "02", "p"), ("c", "01", "q")], "id string, prefecture string, subsidy string")
     assert sorted(map(tuple, search.adoption_violations(rows, "01", "p").collect())) == [("a", "repeated"), ("b", "filter"), ("c", "filter")]
@@ -151,18 +198,6 @@ def test_search_refuses_numbers_and_unknown_agencies(spark):
     assert search.result(df, search.criteria({"agency": "経済産業省"}))[1:] == (1, 1)
 
 
-def test_reading_what_was_published(spark, imported, tmp_path):
-    records = imported.records
-    path, schema = files.publish(records, f"{tmp_path}/site", "one"), files.public_rows(records).schema
-    assert sorted(r.id for r in files.read_published(spark, f"{tmp_path}/site", schema).collect()) == sorted(r.id for r in records.collect())
-    receipts = files.file_receipts(spark, path)
-    assert files.read_listed(spark, path, receipts, schema).count() == records.count()
-    with pytest.raises(continuity.GateError):
-        files.read_listed(spark, path, receipts.withColumn("bytes", receipts.bytes + 1), schema)
-    files.publish(records.limit(1), f"{tmp_path}/site", "two")
-    assert files.read_published(spark, f"{tmp_path}/site", schema).count() == 1
-
-
 def test_evidence_and_dataset_are_written(spark, subsidy, imported, tmp_path):
     one = spark.createDataFrame([(1, "m")], "n int, message string")
     files.write_evidence({"subsidy": subsidy}, one, f"{tmp_path}/audit")
@@ -184,4 +219,4 @@ def test_gates_refuse_the_first_rule(spark):
 
 def test_rule_hash_of_the_publishers(spark):
     found = summaries.pairs_hash(normalize.aliases(spark), "alias_name", "canonical", number=False).first().sha256
-    assert found.startswith("eb670af0")
+    assert found.startswith("eb670af0") and spark.range(1).select(gates.rules_hash()).first()[0] == found
