@@ -89,20 +89,20 @@ def _groups(texts: list[str], most_chars: int = 400_000, most: int = 64) -> Iter
         yield group
 
 
-def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most_per_lang: int = 2000, most_langs: int = 1000) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most_per_lang: int = 2000) -> dict[str, np.ndarray]:
     """Prototypes by language from rows of text and lang; null langs and null texts teach nothing.
 
     The classifier is fitted on a bounded sample: texts of about `most_per_lang` rows of each language, chosen by
-    a hash of the text, each text once however often it is repeated; a profile is made for each of the `most_langs` most frequent labels. Partitions bundle their rows, and the sums, one number for each language and
-    dimension, are all that reaches the driver. They are whole numbers of 1/256, so their order is free.
+    a hash of the text, each text once however often it is repeated. Every label gets a profile. Partitions bundle
+    their rows, and the sums, one number for each language and dimension, are all that reaches the driver: 8 kB a
+    label. They are whole numbers of 1/256, so their order is free.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
-    if not counts:
-        return {}
-    keep = F.lit(False)
-    for lang, count in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < int(min(1.0, most_per_lang / count) * (1 << 50))))
+    frequent = rows.groupBy("lang").count().where(F.col("count") > most_per_lang).collect()  # languages of more texts than that
+    limits = [(r["lang"], int(most_per_lang / r["count"] * (1 << 50))) for r in frequent]
+    if limits:
+        few = labelled.sparkSession.createDataFrame(limits, "lang string, limit__ long")
+        rows = rows.join(few, "lang", "left").where(F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < F.col("limit__"), F.lit(True))).select("text", "lang")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -117,7 +117,7 @@ def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most
         if sums:
             yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
-    part = rows.where(keep).distinct().mapInPandas(run, "lang string, sums array<bigint>")
+    part = rows.distinct().mapInPandas(run, "lang string, sums array<bigint>")
     summed = part.select("lang", F.posexplode("sums").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in summed.collect():  # languages x dims numbers
@@ -149,7 +149,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, dims
                         names[i], scores[i] = langs[best], float(min(1.0, max(0.0, cosines[row, best])))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    guess = F.pandas_udf(run, "lang_pred string, score double")
-    told = docs.withColumn("guess__", guess(F.col("text").cast("string")))
+    guess, own = F.pandas_udf(run, "lang_pred string, score double"), "guess__"
+    while own in docs.columns:
+        own += "_"
+    told = docs.withColumn(own, guess(F.col("text").cast("string")))
     kept = [F.col(c) for c in docs.columns if c not in names]
-    return told.select(*kept, F.col("guess__.lang_pred").alias(names[0]), F.col("guess__.score").alias(names[1]))
+    return told.select(*kept, F.col(f"{own}.lang_pred").alias(names[0]), F.col(f"{own}.score").alias(names[1]))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerlark.llm import langid
 from ledgerlark.llm.queries import op2_language
@@ -45,3 +46,21 @@ def test_bundle_is_sum_of_bound_letters():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert langid.train(none) == {} and langid.predict(none, {}).collect() == []
+
+
+def test_any_number_of_labels(spark):
+    rng = np.random.default_rng(3)
+    words = lambda k: " ".join("".join(chr(97 + c) for c in np.random.default_rng([k, j]).integers(0, 26, 6)) for j in range(12))
+    rows = [(f"{words(k)} {words(k + 5000)}", f"l{k:04}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("guess__", F.lit(1))
+    prototypes = langid.train(docs, most_per_lang=1)
+    assert len(prototypes) == 1500
+    some = docs.where(F.col("lang").isin([f"l{k:04}" for k in rng.choice(1500, 60, replace=False)]))
+    told = langid.predict(some, prototypes).collect()
+    assert all(r.guess__ == 1 and r.lang_pred == r.lang for r in told) and len(told) == 60
+
+
+def test_frequent_labels_are_sampled(spark):
+    docs = spark.createDataFrame([(f"some words number {k} of it", "en") for k in range(3000)] + [("ein satz", "de")], "text string, lang string")
+    whole, part = (langid.train(docs, most_per_lang=n)["en"] for n in (5000, 300))
+    assert 0.03 < np.linalg.norm(part) / np.linalg.norm(whole) < 0.3
