@@ -7,8 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The white space that cells are cleaned of, as a character class.
-SPACE = r"[\u0009-\u000D    -     　﻿]"
+# The white space that cells are cleaned of, as a character class: separators of any kind, tabs to carriage returns, U+FEFF.
+SPACE = r"[\s\p{Z}\uFEFF]"
 SAFE = 9007199254740991
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SEPARATOR = "\x1f"
@@ -23,15 +23,26 @@ def clean_cell(c: Column) -> Column:
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$|^[0-9]{8}$|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日"
 
 
-def date_of_clean(c: Column) -> Column:
-    """Date of a cleaned cell; each step reads the one before once, so nothing is evaluated twice."""
-    apart = F.regexp_replace(F.translate(F.regexp_extract(c, DATE, 0), "/年月日", "---"), "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
-    return F.regexp_replace(apart, "^00[0-9]{2}-.*$", "").try_cast("date")
+def parse_date(c: Column) -> Column:
+    """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null. Years below 100 are null.
 
+    Each step reads the one before once, so nothing is evaluated twice.
+    """
+    apart = F.regexp_replace(dashed(clean_cell(c)), "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
+    return F.regexp_replace(apart, "^00[0-9]{2}-.*$", "").try_cast("date").cast("string")
 
-def parse_date(c: Column) -> Column:
-    """ISO date of Y-M-D or Y/M/D, else of YYYYMMDD, else of the first Y年M月D日 within; else null. Years below 100 are null."""
-    return date_of_clean(clean_cell(c)).cast("string")
+
+def dashed(clean: Column) -> Column:
+    """The date of a cleaned cell with dashes between its parts, or as eight digits; empty where there is none."""
+    return F.translate(F.regexp_extract(clean, DATE, 0), "/年月日", "---")
+
+
+def with_date(df: DataFrame, name: str, clean: Column) -> DataFrame:
+    """`df` with the date of a cleaned cell as `parse_date` finds it, as a date."""
+    f, d = F.col("found__"), F.col("day__")
+    solid = F.concat_ws("-", F.substring(f, 1, 4), F.substring(f, 5, 2), F.substring(f, 7, 2))
+    rows = df.withColumn("found__", dashed(clean)).withColumn("day__", F.when(F.length(f) == 8, solid).otherwise(f).try_cast("date"))
+    return rows.withColumn(name, F.when(F.year(d) >= 100, d)).drop("found__", "day__")
 
 
 def is_iso_date(c: Column) -> Column:
@@ -44,34 +55,28 @@ def fiscal_year(date: Column) -> Column:
     return F.year(date) - (F.month(date) <= 3).cast("int")
 
 
-def bare_amount(c: Column) -> Column:
-    """Text of a cleaned cell's number: signs and commas gone, a minus for triangles and parentheses, 0 where signs were all; a blank is `x`."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(c, "^$", "x"), "[,円￥]", ""))
-    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, "^[△▲]", "-"), r"^\((.*)\)$", "-$1")), "^$", "0")
-
-
-def whole_number(bare: Column) -> Column:
-    """Double of a decimal, hexadecimal, octal or binary number; null for another text."""
-    number = F.regexp_extract(bare, NUMBER, 0).try_cast("double")
-    for mark, digits, base, most in (("xX", "0-9a-fA-F", 16, 14), ("oO", "0-7", 8, 18), ("bB", "01", 2, 53)):  # more digits are beyond exact doubles
-        number = F.coalesce(number, F.conv(F.nullif(F.regexp_extract(bare, f"^0[{mark}]0*([{digits}]{{1,{most}}})$", 1), F.lit("")), base, 10).try_cast("double"))
-    return number
-
-
 def with_amount(df: DataFrame, name: str, clean: Column) -> DataFrame:
     """`df` with the amount of a cleaned cell: whole yen, or null where it is blank, not a whole number or beyond exact doubles.
 
     Commas and the signs 円 and ￥ go, leading △ or ▲ and parentheses are a minus; a cell of signs alone is 0. Unsigned
     numbers may be hexadecimal, octal or binary after 0x, 0o or 0b. The steps are columns of their own, as the later
-    ones read the earlier ones more than once.
+    ones read the earlier ones more than once; plain digits take the first alone.
     """
-    n = F.col("number__")
-    rows = df.withColumn("bare__", bare_amount(clean)).withColumn("number__", whole_number(F.col("bare__")))
-    return rows.withColumn(name, F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long"))).drop("bare__", "number__")
+    p, b, n = F.col("plain__"), F.col("bare__"), F.col("number__")
+    radix = F.lit(None).cast("double")
+    for mark, digits, base, most in (("xX", "0-9a-fA-F", 16, 14), ("oO", "0-7", 8, 18), ("bB", "01", 2, 53)):  # more digits are beyond exact doubles
+        radix = F.when(b.rlike(f"^0[{mark}]0*[{digits}]{{1,{most}}}$"), F.conv(F.substring(b, 3, 1000), base, 10).try_cast("double")).otherwise(radix)
+    rows = df.withColumn("plain__", F.trim(F.translate(clean, ",円￥", "")))
+    rows = rows.withColumn("fast__", F.when(p == "", F.when(clean != "", 0)).when(p.rlike("^-?[0-9]{1,15}$"), p.try_cast("long")).cast("long"))
+    minus = F.trim(F.regexp_replace(F.regexp_replace(p, "^[△▲]", "-"), r"^\((.*)\)$", "-$1"))
+    rows = rows.withColumn("bare__", F.when(F.col("fast__").isNull() & p.rlike("[0-9]"), minus))
+    rows = rows.withColumn("number__", F.when(b.rlike(NUMBER), b.try_cast("double")).when(b.startswith("0"), radix))
+    found = F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long"))
+    return rows.withColumn(name, F.coalesce("fast__", found)).drop("plain__", "fast__", "bare__", "number__")
 
 
 def digits_only(c: Column) -> Column:
-    return F.regexp_replace(clean_cell(c), "[^0-9]", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
 
 
 def valid_corporate_number(c: Column) -> Column:

@@ -104,17 +104,22 @@ def coherent_date(date: Column, year: Column) -> Column:
 
 
 def record_rules() -> Rules:
-    """Conditions that make a record invalid, in order."""
+    """Conditions that make a record invalid, in order, over the records with their own hash in `hash__`."""
     c = F.col
-    stored = [(c(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC]
     return [
-        ("corporate number", ~S.valid_corporate_number(c("corporateNumber"))), ("no key", blank("sourceKey")), ("hash", ~blank("sourceRecordHash") & (c("sourceRecordHash") != S.hash_of_json(S.json_array(stored)))),
+        ("corporate number", ~S.valid_corporate_number(c("corporateNumber"))), ("no key", blank("sourceKey")), ("hash", ~blank("sourceRecordHash") & (c("sourceRecordHash") != c("hash__"))),
         ("publisher", ~canonical_publisher(c("sourceAgency")).eqNullSafe(c("publisherCanonical"))), ("amount", c("amount").isNotNull() & (F.abs("amount") > S.SAFE)),
         ("date or fiscal year", ~coherent_date(c("date"), c("fiscalYear"))), ("stage", ~F.coalesce(c("stage").isin(*R.STAGES.values()), F.lit(False))),
         ("address of the source", ~F.coalesce(https(c("sourceUrl")), F.lit(False))),
     ]
 
 
+def record_verdicts(records: DataFrame) -> DataFrame:
+    """Verdicts on every record, one pass; hashes are made once, in columns before the rules."""
+    hashed = S.with_semantic_hash(records, "hash__", [(F.col(name), name in ("fiscalYear", "amount")) for name in R.SEMANTIC])
+    return verdicts(hashed, record_rules())
+
+
 def https(c: Column) -> Column:
     return c.startswith("https://")
 
@@ -164,15 +169,15 @@ def validate(records: DataFrame, source: DataFrame) -> DataFrame:
 
     `source` has one row; columns of SOURCE and rules_sha256 that it lacks are unknown. With none or several rows the rule `source` fails.
     """
-    spark, rules = records.sparkSession, record_rules()
+    spark = records.sparkSession
     head = repeated_rows(records, ["id"]).select(F.lit(1).alias("position"), F.lit("repeated id").alias("rule"), "failures")
     fields = spark.range(1).select(F.lit(2).alias("position"), F.lit("route fields").alias("rule"), F.lit(len(banned_fields(records.columns))).cast("long").alias("failures"))
-    rows = verdicts(records, rules).withColumn("position", F.col("position") + 2)
+    rows = record_verdicts(records).withColumn("position", F.col("position") + 2)
     known = [F.col(c).cast("long").alias(c) if c in source.columns else F.lit(None).cast("long").alias(c) for c in SOURCE]
     known.append((F.col("rules_sha256") if "rules_sha256" in source.columns else F.lit(None)).cast("string").alias("rules_sha256"))
     one = source.select(F.struct(*known).alias("source")).agg(F.count("*").alias("sources"), F.first("source").alias("source"))  # a row even without any source
     both = one.join(stage_counts(records).select(F.struct("*").alias("records")), how="cross")  # one row with one row
-    meta = verdicts(both, source_rules(rules_hash())).withColumn("position", F.col("position") + 2 + len(rules))
+    meta = verdicts(both, source_rules(rules_hash())).withColumn("position", F.col("position") + 2 + len(record_rules()))
     return head.unionByName(fields).unionByName(rows).unionByName(meta)
 
 

@@ -50,18 +50,17 @@ def typed_rows(raw: DataFrame, kind: str) -> DataFrame:
     head = R.HEADERS[kind]
     check_headers([c for c in raw.columns if c != "sourceRowNumber"], kind)
     c = F.col
-
-    def cell(name: str):
-        return S.clean_cell(c(f"`{name}`")) if name in raw.columns else F.lit("")
-
-    rows = raw.select(
-        S.digits_only(c(head["corporate"])).alias("corporateNumber"), cell(head["name"]).alias("organization"), F.coalesce(c(head["date"]), F.lit("")).alias("dateRaw"), cell(head["date"]).alias("date__"),
-        cell(head["program"]).alias("program"), F.coalesce(c(head["amount"]), F.lit("")).alias("amountRaw"), cell(head["amount"]).alias("amount__"), cell(head["agency"]).alias("sourceAgency"), cell(head["key"]).alias("sourceKey"),
-        c("sourceRowNumber").cast("long").alias("sourceRowNumber"), cell(R.OPTIONAL["quality"]).alias("dataQuality"), cell(R.OPTIONAL["system"]).alias("sourceSystem"),
-        cell(R.OPTIONAL["retrieved"]).alias("sourceRetrievedAt"), cell(R.OPTIONAL["updated"]).alias("sourceUpdatedAt"), cell(head["notes"]).alias("notes"), F.lit(R.STAGES[kind]).alias("stage"),
+    names = {"organization": head["name"], "date__": head["date"], "program": head["program"], "amount__": head["amount"], "sourceAgency": head["agency"], "sourceKey": head["key"]}
+    optional = {"dataQuality": R.OPTIONAL["quality"], "sourceSystem": R.OPTIONAL["system"], "sourceRetrievedAt": R.OPTIONAL["retrieved"], "sourceUpdatedAt": R.OPTIONAL["updated"], "notes": head["notes"]}
+    names |= {name: column for name, column in optional.items() if column in raw.columns}
+    # One expression cleans all cells: inlined a dozen times it would make a method that the JVM doesn't compile.
+    cells = F.transform(F.array(*[c(f"`{column}`") for column in names.values()]), S.clean_cell)
+    rows = raw.withColumn("cells__", cells).select(
+        S.digits_only(c(head["corporate"])).alias("corporateNumber"), *[F.get("cells__", F.lit(k)).alias(name) for k, name in enumerate(names)], *[F.lit("").alias(name) for name in optional if name not in names],
+        F.coalesce(c(head["date"]), F.lit("")).alias("dateRaw"), F.coalesce(c(head["amount"]), F.lit("")).alias("amountRaw"), c("sourceRowNumber").cast("long").alias("sourceRowNumber"), F.lit(R.STAGES[kind]).alias("stage"),
     )
-    rows = S.with_amount(rows, "amount", c("amount__")).withColumn("day__", S.date_of_clean(c("date__")))
-    rows = rows.withColumns({"date": c("day__").cast("string"), "fiscalYear": S.fiscal_year(c("day__"))}).drop("date__", "day__", "amount__")
+    rows = S.with_date(S.with_amount(rows, "amount", c("amount__")), "own__", c("date__"))
+    rows = rows.withColumns({"date": c("own__").cast("string"), "fiscalYear": S.fiscal_year(c("own__"))}).drop("date__", "own__", "amount__")
     rows = with_publisher(rows, "sourceAgency")
     rows = rows.withColumn("is_recipient", S.valid_corporate_number(c("corporateNumber")) & (c("organization") != ""))
     return rows.withColumn("is_eligible", c("is_recipient") & c("publisherCanonical").isNotNull())

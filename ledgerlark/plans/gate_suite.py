@@ -28,7 +28,8 @@ def bulk(spark, sf_dir, kind="subsidy") -> DataFrame:
         "program": "if(o_orderpriority = '2-HIGH', '　', o_orderpriority)", "amount": "if(o_orderpriority = '3-MEDIUM', '非公開', cast(floor(o_totalprice) as string) || '円')", "agency": PUBLISHERS, "key": "if(o_orderkey % 7 = 0, '', 'K' || o_orderkey)",
     } | ({"notes": "' 備考 ' || o_orderstatus"} if kind == "procurement" else {})
     more = ["'A  1' as `データ品質`"] if kind == "procurement" else []
-    return rows.selectExpr(*[f"{value} as `{head[name]}`" for name, value in cells.items()], *more, "cast(o_orderkey + 1 as long) as sourceRowNumber")
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")  # the table is one file
+    return dealt.selectExpr(*[f"{value} as `{head[name]}`" for name, value in cells.items()], *more, "cast(o_orderkey + 1 as long) as sourceRowNumber")
 
 
 def imported(spark, sf_dir, kind="subsidy") -> normalize.Import:
