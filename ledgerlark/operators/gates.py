@@ -39,6 +39,15 @@ def repeated_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("failures"))
 
 
+def repeated_by_rule(rows: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
+    """(rule, failures): rows beyond the first of their key, for several keys at once from one shuffle of (rule, 128-bit hash of the key)."""
+    names = {rule: k for k, rule in enumerate(keys)}
+    listed = [F.struct(F.lit(names[rule]).alias("rule"), F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).alias("key")) for rule, columns in keys.items()]
+    per_key = rows.select(F.inline(F.array(*listed))).groupBy("rule", "key").agg((F.count("*") - 1).alias("more"))
+    sums = per_key.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("rule") == k, F.col("more"))), F.lit(0)).alias(f"n{k}") for k in names.values()])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"n{k}").alias("failures")) for rule, k in names.items()])))
+
+
 def blank(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
 

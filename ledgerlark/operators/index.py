@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions.registry import GateError
+from ..sources.storage import written
 from . import search
 
 GRAM, BUCKETS = 3, 64
@@ -22,9 +23,10 @@ GRAM, BUCKETS = 3, 64
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """`rows` with `rank`, from 0 on in the given order: sorted by ranges, then numbered by the numbers of rows of the ranges before.
 
-    `rows` must be stored: ranges are sorted twice, the first time to count them.
+    The sorted ranges are written, as their bounds are sampled and would differ from run to run.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()).withColumn("part__", F.shiftright("at__", 33))
+    placed = written(placed, "placed")
     counts = placed.groupBy("part__").agg(F.count("*").alias("n__"))
     before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row for each range.
@@ -53,7 +55,7 @@ class Index:
 
 
 def build(rows: DataFrame, path: str, block: int = 100_000) -> int:
-    """Write the index of stored `rows` below `path`, which must be new; returns how many rows it holds.
+    """Write the index of `rows` below `path`, which must be new; returns how many rows it holds.
 
     rows: the columns of search, an id among them. Postings list the ranks of a block for each trigram, as gaps are of no use to
     the reader, in full; a list is as long as a block at most.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import continuity, gates, index, normalize, search, summaries
+from ..operators import continuity, gates, index, normalize, search, summaries, throttle
 from ..sources import adoptions, files, site
 from ..sources.storage import scratch
 from .suite import DATED, DIGIT_SUM, FISCAL, dated, query, searchable, snapshots, table
@@ -488,3 +488,27 @@ def dataset_files(spark, sf_dir):
     files.write_dataset(orders, orders.agg(F.max("o_orderdate").alias("newest")), path)
     n = spark.read.schema(orders.schema).json(f"{path}/records").agg(F.count("*").alias("n_records"))
     return n.crossJoin(spark.read.schema(orders.select(F.col("o_orderdate").alias("newest")).schema).json(f"{path}/summary"))  # one row with one row
+
+
+def _windows_sql(seconds: int, limit: int) -> str:
+    return f"""WITH RECURSIVE w AS (SELECT user_id, min(ts) AS opened FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1
+  UNION ALL SELECT e.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.opened + INTERVAL {seconds} SECOND GROUP BY 1)
+  SELECT e.user_id, e.event_id, opened, row_number() OVER (PARTITION BY e.user_id, opened ORDER BY e.ts, e.event_id) AS position, row_number() OVER (PARTITION BY e.user_id, opened ORDER BY e.ts, e.event_id) <= {limit} AS accepted
+  FROM events e JOIN w ON w.user_id = e.user_id AND e.ts >= opened AND e.ts < opened + INTERVAL {seconds} SECOND"""
+
+
+@query(_windows_sql(60, 30))
+def request_windows(spark, sf_dir):
+    return throttle.anchored_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+
+
+@query(_windows_sql(86_400, 2))
+def day_windows(spark, sf_dir):
+    return throttle.anchored_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400, 2)
+
+
+@query("""SELECT 'custkey and status' AS rule, CAST(sum(n - 1) AS BIGINT) AS failures FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) UNION ALL
+  SELECT 'key', CAST(count(*) - count(DISTINCT o_orderkey) AS BIGINT) FROM orders UNION ALL SELECT 'priority', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY nullif(o_orderpriority, '5-LOW'))""")
+def repeated_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("priority", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    return gates.repeated_by_rule(rows, {"custkey and status": ["o_custkey", "o_orderstatus"], "key": ["o_orderkey"], "priority": ["priority"]})
