@@ -68,6 +68,9 @@ COUNTERS = ["total_subsidy", "total_procurement", "eligible_subsidy", "eligible_
 BASELINE = ["record_count", *COUNTERS, "bytes_subsidy", "bytes_procurement", "dashboard_subsidy", "dashboard_procurement", "gap_subsidy", "gap_procurement"]
 
 
+SNAPSHOT = ", ".join(f"{f} long" for f in ["missing_key_rows", "suspicious_rows", *COUNTERS, "bytes_subsidy", "bytes_procurement"])
+
+
 def whole(c: Column) -> Column:
     """Whether a long is there and exact as a double."""
     return c.isNotNull() & (F.abs(c) <= S.SAFE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +91,15 @@ def write_dataset(records: DataFrame, metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")
 
 
-def write_evidence(raw: dict[str, DataFrame], snapshot: DataFrame, path: str) -> None:
-    """Evidence of a run below `path`: each kind's bulk rows as gzip CSV with a header, and the snapshot as JSON."""
-    for kind, rows in raw.items():
-        rows.write.mode("errorifexists").options(header=True, compression="gzip", quoteAll=False, escape='"').csv(f"{path}/{kind}")
-    snapshot.coalesce(1).write.mode("errorifexists").json(f"{path}/snapshot")
+def write_evidence(spark: SparkSession, raw: dict[str, str], corrections: DataFrame, snapshot: dict, path: str) -> None:
+    """Evidence of a run below `path`: the lines of each kind's file as they are, gzipped in parts that follow one another, the corrections, and the snapshot.
+
+    Lines end with a newline alone, carriage returns stay in them, so the unzipped parts are the file's bytes; a missing last newline is added.
+    """
+    for kind, source in raw.items():
+        spark.read.option("lineSep", "\n").text(source).write.mode("errorifexists").option("lineSep", "\n").option("compression", "gzip").text(f"{path}/{kind}")
+    corrections.write.mode("errorifexists").json(f"{path}/corrections")
+    spark.createDataFrame([json.dumps(snapshot)], "string").coalesce(1).write.mode("errorifexists").text(f"{path}/snapshot")
 
 
 def set_hash(df: DataFrame, by: list[str], key: str, buckets: int | None = None) -> DataFrame:

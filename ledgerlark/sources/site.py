@@ -102,6 +102,15 @@ def read_years(spark: SparkSession, path: str) -> Read:
     return Read(receipts, stored.where("row is not null").select("file", "row.*"))
 
 
+def source_receipt(spark: SparkSession, path: str) -> dict:
+    """sha256, bytes and filename of a bulk file of less than two gigabytes; of a folder, the hash of its files' hashes in the order of their names."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    if not found:
+        raise GateError(f"{path} is empty")
+    sha = found[0]["sha256"] if len(found) == 1 else hashlib.sha256("\n".join(r["sha256"] for r in found).encode()).hexdigest()
+    return {"sha256": sha, "bytes": sum(r["length"] for r in found), "filename": path.rstrip("/").rsplit("/", 1)[-1]}
+
+
 def release_of(spark: SparkSession, read: Read, manifest_sha256: str, generated_at: str, commit: str, sources: dict) -> dict:
     """The receipt of a version: commit, time, rows, hashes, the sources' snapshots, and bytes, hash and rows of each file (a row for each year)."""
     ids = files.set_hash(read.rows, [], "id").first()

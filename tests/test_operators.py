@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 from pathlib import Path
@@ -198,11 +199,13 @@ def test_search_refuses_numbers_and_unknown_agencies(spark):
     assert search.result(df, search.criteria({"agency": "経済産業省"}))[1:] == (1, 1)
 
 
-def test_evidence_and_dataset_are_written(spark, subsidy, imported, tmp_path):
+def test_evidence_and_dataset_are_written(spark, subsidy, tmp_path):
+    raw = 'a,b\r\n"x\r\ny",2\n日本,"q""q"\n'.encode() * 50
+    (tmp_path / "raw.csv").write_bytes(raw)
+    files.write_evidence(spark, {"subsidy": f"{tmp_path}/raw.csv"}, spark.range(1), {"n": 1}, f"{tmp_path}/audit")
+    assert b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "audit" / "subsidy").glob("part-*.gz"))) == raw
+    assert site.source_receipt(spark, f"{tmp_path}/raw.csv") == {"sha256": hashlib.sha256(raw).hexdigest(), "bytes": len(raw), "filename": "raw.csv"}
     one = spark.createDataFrame([(1, "m")], "n int, message string")
-    files.write_evidence({"subsidy": subsidy}, one, f"{tmp_path}/audit")
-    back = spark.read.option("header", True).csv(f"{tmp_path}/audit/subsidy")
-    assert back.count() == subsidy.count() and list((tmp_path / "audit" / "subsidy").glob("*.csv.gz"))
     files.write_dataset(subsidy, one, f"{tmp_path}/data")
     assert spark.read.json(f"{tmp_path}/data/summary").first().message == "m"
 
