@@ -57,17 +57,19 @@ def random_strings(spark: SparkSession, n: int = 6000) -> DataFrame:
     return spark.range(n).selectExpr(f"case id % {len(kinds)} {text} end as text", "true as random")
 
 
-def labelled_samples(docs: DataFrame, most_docs: int = 20_000, n_random: int = 6000) -> DataFrame:
+def labelled_samples(docs: DataFrame, most_docs: int = 2_000, n_random: int = 6000) -> DataFrame:
     """(text, random) samples: random strings of several alphabets against identifiers made of ordinary words.
 
     A classifier may be fitted on a bounded sample: the words are those of four letters and more of about
-    `most_docs` rows, chosen by a hash of doc_id, and a fixed list in several orders. Identifiers are words alone, capitalised, in capitals, and
+    `most_docs` rows, chosen by a hash of doc_id, each word once, and a fixed list in several orders. Identifiers are words alone, capitalised, in capitals, and
     neighbouring ones joined by `_`, by `-` and by capitals, with a small number at the end of one in four.
     """
     n = docs.count()
     rows = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 50)) < int(min(1.0, most_docs / max(n, 1)) * (1 << 50)))
     fixed = docs.sparkSession.range(40).select(F.expr(f"transform(sequence(0, {len(WORDS) - 1}), i -> get(split('{' '.join(WORDS)}', ' '), cast((i * (1 + id * 2) + id) % {len(WORDS)} as int)))").alias("w"))
-    rows = rows.select(F.expr(r"array_distinct(regexp_extract_all(coalesce(cast(text as string), ''), r'(?<![A-Za-z0-9])[A-Za-z]{4,}(?![A-Za-z0-9])', 0))").alias("w")).unionByName(fixed)
+    words = rows.select(F.explode(F.expr(r"array_distinct(regexp_extract_all(coalesce(cast(text as string), ''), r'(?<![A-Za-z0-9])[A-Za-z]{4,}(?![A-Za-z0-9])', 0))")).alias("w")).distinct()
+    # Distinct words, dealt out by a hash into about as many rows as there were documents.
+    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(most_docs)).alias("k")).agg(F.sort_array(F.collect_list("w")).alias("w")).select("w").unionByName(fixed)
     at = lambda k: f"coalesce(get(w, i + {k}), '')"
     forms = [at(0), f"initcap({at(0)})", f"upper({at(0)})", f"concat_ws('_', lower({at(0)}), lower({at(1)}), lower({at(2)}))", f"concat_ws('-', lower({at(0)}), lower({at(1)}))", f"concat(lower({at(0)}), initcap({at(1)}), initcap({at(2)}))"]
     form = " ".join(f"when {k} then {x}" for k, x in enumerate(forms))
