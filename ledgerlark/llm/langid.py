@@ -102,6 +102,7 @@ def train(labelled: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7, most
     limits = [(r["lang"], int(most_per_lang / r["count"] * (1 << 50))) for r in frequent]
     if limits:
         few = labelled.sparkSession.createDataFrame(limits, "lang string, limit__ long")
+        few = F.broadcast(few) if len(limits) <= 100_000 else few  # a few bytes each; a shuffle of whole texts otherwise
         rows = rows.join(few, "lang", "left").where(F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < F.col("limit__"), F.lit(True))).select("text", "lang")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
