@@ -42,11 +42,11 @@ ROUTE_FIELDS = ["route", "flowLevel", "flowDepth"]
 PAGE_SIZE, MOST_PAGES, MOST_QUERY = 100, 10_000, 100
 ADOPTION_PAGE_SIZE, MOST_ADOPTION_BYTES, MOST_MESSAGE = 20, 1_000_000, 2_000
 GROWTH_FLOOR, GROWTH_PERCENT = 1000, 5
-
-
-def growth_limit(previous: int) -> int:
-    return max(GROWTH_FLOOR, -(-previous * GROWTH_PERCENT // 100))
-
-
-def correction_limit(previous: int) -> int:
-    return max(1, min(100, -(-previous * 2 // 1000)))
+CORRECTIONS_MOST, CORRECTIONS_PERMILLE = 100, 2
+
+# Fields of a record that evidence shows, and the notice that an update was stopped.
+AUDITED = ["id", "sourceKey", "sourceRowNumber", "organization", "corporateNumber", "sourceAgency", "sourceSystem", "program", "date", "fiscalYear", "amount", "amountRaw", "stage"]
+STOPPED = "GビズINFOの自動更新を停止しました。検証済みの前回データを維持し、新しいデータは公開していません。"
+STOPPED_FIELDS = ["- 実行: ", "- 検出日時: ", "- 理由: "]
+STOPPED_REASON, STOPPED_EVIDENCE = "更新処理失敗", "- 証跡: この実行の `gbiz-source-evidence` artifact"
+STOPPED_TABLE, STOPPED_NO_TABLE = "### 訂正候補", "訂正候補の詳細は証跡artifactを確認してください。"

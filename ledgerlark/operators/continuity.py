@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
+from ..functions import scalars as S
 from ..functions.registry import GateError
 
 
@@ -38,26 +39,37 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     )
 
 
+def odd_id() -> Column:
+    """Whether a record's id is another than the one that follows from its stage and key."""
+    kind = F.when(F.col("stage") == R.STAGES["subsidy"], "subsidy").when(F.col("stage") == R.STAGES["procurement"], "procurement")
+    return ~F.coalesce(F.col("id") == S.stable_id(kind, F.col("sourceKey")), F.lit(False))
+
+
 def continuity_counts(previous: DataFrame, candidate: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row: the counters of the diff, blank and repeated keys of either side, and records whose id kept but whose identity changed.
 
-    One outer join by key, one aggregation by key on each side, one join by id; blank keys take no part in the first.
+    One outer join and one aggregation on each side, all by key, so that snapshots stored by key (`snapshots`) don't move; blank keys take no part in the
+    join. Ids follow from keys; only if some don't, the two sides are joined by id as well.
     """
     blank = F.trim(F.coalesce(F.col(keys[-1]).cast("string"), F.lit(""))) == ""
     out = diff_counts(snapshot_diff(previous.where(~blank), candidate.where(~blank), keys, fields))
     for name, df in (("previous", previous), ("candidate", candidate)):
-        per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(blank).alias("blank"))
-        bad = per_key.agg(F.coalesce(F.sum(F.when(F.col("blank") | (F.col("n") > 1), F.col("n"))), F.lit(0)).alias(f"{name}_bad_keys"))
+        per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(blank).alias("blank"), F.count_if(odd_id()).alias("odd"))
+        bad = per_key.agg(F.coalesce(F.sum(F.when(F.col("blank") | (F.col("n") > 1), F.col("n"))), F.lit(0)).alias(f"{name}_bad_keys"), F.coalesce(F.sum("odd"), F.lit(0)).alias(f"{name}_odd"))
         out = out.crossJoin(bad)  # one row with one row
-    old = previous.select("id", F.struct(*R.IDENTITY).alias("old"))
-    moved = old.join(candidate.select("id", F.struct(*R.IDENTITY).alias("new")), "id").agg(F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("moved_ids"))
-    return out.crossJoin(moved)
+    n = out.first().asDict()
+    if n.pop("previous_odd") + n.pop("candidate_odd"):
+        old = previous.select("id", F.struct(*R.IDENTITY).alias("old"))
+        n["moved_ids"] = old.join(candidate.select("id", F.struct(*R.IDENTITY).alias("new")), "id").where(~F.col("old").eqNullSafe(F.col("new"))).count()
+    else:
+        n["moved_ids"] = n["identity_changes"]
+    return previous.sparkSession.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
 
 
 def continuity_verdicts(counts: DataFrame, allow_corrections: bool = False) -> DataFrame:
     """(position, rule, failures) of `continuity_counts`, in the order in which a candidate is refused."""
     c = F.col
-    limit = F.greatest(F.lit(1), F.least(F.lit(100), F.ceil(c("previous_rows") * 2 / 1000)))
+    limit = correction_limit(c("previous_rows"))
     rules = [("the previous snapshot is empty", (c("previous_rows") == 0).cast("long")), ("keys of the previous snapshot are blank or repeated", c("previous_bad_keys")), ("keys of the candidate snapshot are blank or repeated", c("candidate_bad_keys"))]
     if allow_corrections:
         rules.append(("an identity field of a record changed", c("moved_ids")))
@@ -75,13 +87,13 @@ def assert_continuity(previous: DataFrame, candidate: DataFrame, allow_correctio
     """
     keys = ["stage", "sourceKey"]
     fields = [f for f in R.SEMANTIC if f not in keys]
-    n = continuity_counts(previous, candidate, keys, fields).first().asDict()
-    row = previous.sparkSession.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
+    row = continuity_counts(previous, candidate, keys, fields)
+    n = row.first().asDict()
     for r in continuity_verdicts(row, allow_corrections).where("failures > 0").orderBy("position").limit(1).collect():
         status = {"keys are missing": "removed", "rows changed": "changed"}.get(r["rule"])
         found = snapshot_diff(previous, candidate, keys, fields).where(F.col("status") == status).select(*keys).orderBy(*keys).limit(3).collect() if status else []
         raise GateError(f"{r['rule']}: {r['failures']}" + f" {[tuple(x) for x in found]}" * bool(found))
-    return n | {"correction_limit": R.correction_limit(n["previous_rows"])}
+    return n | {"correction_limit": row.select(correction_limit(F.col("previous_rows"))).first()[0]}
 
 
 def import_totals(counts: DataFrame) -> DataFrame:
@@ -100,9 +112,19 @@ def import_audit(counts: DataFrame) -> DataFrame:
     return counts.select("kind", (F.col("eligible") - F.col("imported")).alias("gap"), difference.alias("difference"), status.alias("status"))
 
 
+def growth_limit(previous: Column) -> Column:
+    """How much a counter may grow without anyone looking."""
+    return F.greatest(F.lit(R.GROWTH_FLOOR), F.ceil(previous * R.GROWTH_PERCENT / 100)).cast("long")
+
+
+def correction_limit(previous: Column) -> Column:
+    """How many rows may change without anyone looking."""
+    return F.greatest(F.lit(1), F.least(F.lit(R.CORRECTIONS_MOST), F.ceil(previous * R.CORRECTIONS_PERMILLE / 1000))).cast("long")
+
+
 def snapshot_verdicts(counters: DataFrame) -> DataFrame:
     """counter, growth, growth_limit and passed for rows of (counter, previous, candidate)."""
-    limit = F.greatest(F.lit(R.GROWTH_FLOOR), F.ceil(F.col("previous") * R.GROWTH_PERCENT / 100)).cast("long")
+    limit = growth_limit(F.col("previous"))
     growth = F.col("candidate") - F.col("previous")
     passed = F.coalesce((growth >= 0) & (growth <= limit), F.lit(False))
     return counters.select("counter", growth.alias("growth"), limit.alias("growth_limit"), passed.alias("passed"))
@@ -110,7 +132,5 @@ def snapshot_verdicts(counters: DataFrame) -> DataFrame:
 
 def correction_table(changes: DataFrame) -> DataFrame:
     """One Markdown line per changed field of rows of (key, field, before, after)."""
-    from ..functions.scalars import escape_table
-
-    line = F.format_string("| %s | %s | %s | %s |", *[escape_table(F.col(c)) for c in ("key", "field", "before", "after")])
+    line = F.format_string("| %s | %s | %s | %s |", *[S.escape_table(F.col(c)) for c in ("key", "field", "before", "after")])
     return changes.select("key", "field", line.alias("line"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from .continuity import GateError
+from .continuity import GateError, growth_limit
 
 Rules = list[tuple[str, Column]]
 
@@ -87,7 +87,7 @@ def snapshot_rules() -> Rules:
         ("no dashboard counts", ~(whole(F.col("dashboard.subsidy")) & whole(F.col("dashboard.procurement")))),
     ]
     for f in COUNTERS:
-        limit = F.greatest(F.lit(R.GROWTH_FLOOR), F.ceil(p(f) * R.GROWTH_PERCENT / 100))
+        limit = growth_limit(p(f))
         rules += [(f"{f} is unknown", ~whole(c(f))), (f"{f} decreased", c(f) < p(f)), (f"{f} grew too much", c(f) - p(f) > limit)]
     rules += [(f"bytes_{k} is not positive", ~(whole(c(f"bytes_{k}")) & (c(f"bytes_{k}") > 0))) for k in R.STAGES]
     for k in R.STAGES:

@@ -9,8 +9,7 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..sources.files import year_key
 
-#: Fields of a record that evidence shows.
-AUDITED = ["id", "sourceKey", "sourceRowNumber", "organization", "corporateNumber", "sourceAgency", "sourceSystem", "program", "date", "fiscalYear", "amount", "amountRaw", "stage"]
+AUDITED = R.AUDITED
 
 
 def publisher_counts(records: DataFrame) -> DataFrame:
@@ -96,7 +95,8 @@ def failure_receipt(failures: DataFrame, message: str = "message") -> DataFrame:
 
 def failure_body(run: Column, at: Column, reason: Column, table: Column) -> Column:
     """Text of the notice that an update was stopped."""
-    lines = ["GビズINFOの自動更新を停止しました。検証済みの前回データを維持し、新しいデータは公開していません。", "", F.concat(F.lit("- 実行: "), run), F.concat(F.lit("- 検出日時: "), at), F.concat(F.lit("- 理由: "), S.escape_table(F.coalesce(reason, F.lit("更新処理失敗")))), "- 証跡: この実行の `gbiz-source-evidence` artifact", "", "### 訂正候補", F.coalesce(table, F.lit("訂正候補の詳細は証跡artifactを確認してください。"))]
+    said = [F.concat(F.lit(name), value) for name, value in zip(R.STOPPED_FIELDS, (run, at, S.escape_table(F.coalesce(reason, F.lit(R.STOPPED_REASON)))))]
+    lines = [R.STOPPED, "", *said, R.STOPPED_EVIDENCE, "", R.STOPPED_TABLE, F.coalesce(table, F.lit(R.STOPPED_NO_TABLE))]
     return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
 
 

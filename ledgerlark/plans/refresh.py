@@ -12,7 +12,7 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..functions.registry import GateError
 from ..operators import continuity, gates, normalize, summaries
-from ..sources import files, site
+from ..sources import files, site, snapshots
 from ..sources.storage import hadoop_path, scratch
 
 # The dashboard's rows that count towards the snapshot.
@@ -43,19 +43,27 @@ def dashboard(pages: DataFrame, html: str) -> dict[str, int | None]:
 
 
 def previous(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(records, source metadata, one row) of the data set that the pointer names, records in today's form."""
+    """(records, source metadata, one row) of the data set that the pointer names: as stored by key, or, where it is older than that, in today's form."""
     path = site.current(spark, f"{root}/data")
-    return gates.rederived(spark.read.schema(RECORD).json(f"{path}/records")), spark.read.schema(SOURCE).json(f"{path}/summary")
+    fs, place = hadoop_path(spark, f"{path}/by_key.layout.json")
+    records = snapshots.read(spark, f"{path}/by_key") if fs.exists(place) else gates.rederived(spark.read.schema(RECORD).json(f"{path}/records"))
+    return records, spark.read.schema(SOURCE).json(f"{path}/summary")
 
 
-def accept(spark: SparkSession, records: DataFrame, source: DataFrame, root: str, version: str, generated_at: str, commit: str, snapshots: dict) -> str:
-    """Write the data set, validate and publish what was written, then flip the pointers, the site's first."""
+def buckets(rows: int, share: int = 500_000) -> int:
+    """A power of two, so that it seldom changes from one snapshot to the next: about `share` rows a bucket, 4 buckets at least."""
+    return max(4, 1 << max(0, -(-rows // share) - 1).bit_length())
+
+
+def accept(spark: SparkSession, records: DataFrame, source: DataFrame, root: str, version: str, generated_at: str, commit: str, receipts: dict) -> str:
+    """Write the data set, validate what was written, store it by key for the next run, publish it, then flip the pointers, the site's first."""
     path = f"{root}/data/v={version}"
     names = [x.split()[0] for x in RECORD.split(", ")]
     files.write_dataset(records.select(*names), source, path)
     stored, told = spark.read.schema(RECORD).json(f"{path}/records"), spark.read.schema(SOURCE).json(f"{path}/summary")
     gates.refuse(gates.validate(stored, told))
-    published = site.publish(stored, f"{root}/site", version, generated_at, commit, snapshots)
+    snapshots.write(stored, f"{path}/by_key", buckets(stored.count()))
+    published = site.publish(stored, f"{root}/site", version, generated_at, commit, receipts)
     site.flip(spark, f"{root}/data/pointer.json", json.dumps({"version": version, "path": path}))
     return published
 
@@ -79,7 +87,7 @@ def refresh(spark: SparkSession, csv: dict[str, str], pages: DataFrame, html: st
         gates.refuse(gates.import_gate(counted))
         changes = continuity.assert_continuity(old, both.records, allow_corrections=True)
         receipts = {k: site.source_receipt(spark, csv[k]) for k in R.STAGES}
-        made = snapshot(stats, receipts, board, bad)
+        made = measured(stats, receipts, bad)
         total = continuity.import_totals(counted).first()
         judged = source.select(F.struct("*").alias("previous")).join(spark.createDataFrame([json.dumps(made)], "string").select(F.from_json("value", gates.SNAPSHOT).alias("current"), F.from_json(F.lit(json.dumps(board)), "subsidy long, procurement long").alias("dashboard")), how="cross")  # one row with one row
         fault = gates.snapshot_continuity(judged).first()["fault"]
@@ -101,7 +109,7 @@ def refresh(spark: SparkSession, csv: dict[str, str], pages: DataFrame, html: st
         return Outcome(False, str(e))
 
 
-def snapshot(stats: dict, receipts: dict, board: dict, suspicious: int) -> dict:
+def measured(stats: dict, receipts: dict, suspicious: int) -> dict:
     """What `gates.snapshot_rules` look at of the new files."""
     out = {"missing_key_rows": sum(s["missing_key"] for s in stats.values()), "suspicious_rows": suspicious}
     for kind, s in stats.items():

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import registry as R
+from ledgerlark.functions import scalars as S
 from ledgerlark.operators import continuity, gates, index, normalize, search, summaries
-from ledgerlark.sources import files, site
+from ledgerlark.sources import files, site, snapshots
 
 
 def number(body):
@@ -80,7 +81,30 @@ def test_continuity(spark):
             continuity.assert_continuity(previous, candidate, allow)
     diff = continuity.snapshot_diff(old, one, ["stage", "sourceKey"], ["amount", "program"]).where("status = 'changed'").first()
     assert diff.changedFields == ["amount", "program"]
-    assert [R.correction_limit(n) for n in (1000, 69501)] == [2, 100] and R.growth_limit(69501) == 3476
+    limits = spark.createDataFrame([(1000,), (69501,)], "n long").select(continuity.correction_limit(F.col("n")), continuity.growth_limit(F.col("n"))).collect()
+    assert sorted(map(tuple, limits)) == [(2, 1000), (100, 3476)]
+
+
+def test_stored_snapshots_join_without_moving(spark, tmp_path):
+    old, new = snapshot(spark, 60), snapshot(spark, 61, k3={"program": "w"})
+    ids = lambda df: df.withColumn("id", S.stable_id(F.when(F.col("stage") == "contracted", "procurement"), F.col("sourceKey")))
+    old, new = ids(old.withColumn("stage", F.lit("contracted"))), ids(new.withColumn("stage", F.lit("contracted")))
+    a, b = snapshots.write(old, f"{tmp_path}/a", 8), snapshots.write(new, f"{tmp_path}/b", 8)
+    assert a.count() == 60 and snapshots.read(spark, f"{tmp_path}/a").columns == old.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = continuity.snapshot_diff(a, b, ["stage", "sourceKey"], ["program"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        plan = continuity.snapshot_diff(a, spark.createDataFrame(new.collect(), new.schema), ["stage", "sourceKey"], ["program"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert "Exchange" not in a.groupBy("stage", "sourceKey").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found, want = continuity.assert_continuity(a, b, True), continuity.assert_continuity(old, new, True)
+    assert found == want and (found["added_rows"], found["changed_rows"], found["moved_ids"]) == (1, 1, 0)
+    moved = b.withColumn("corporateNumber", F.when(F.col("sourceKey") == "k5", "9").otherwise(F.col("corporateNumber")))
+    with pytest.raises(continuity.GateError, match="identity field of a record"):
+        continuity.assert_continuity(a, moved, True)
 
 
 def test_search(spark):
