@@ -119,3 +119,40 @@ def op13_sql(levels: int = 6) -> str:
         out.append(f"f{x + 1} AS (SELECT f.* REPLACE ({at} // 16 AS {at}, CASE WHEN s.l IS NULL THEN now ELSE sha256(s.l || now || s.r) END AS now, beside || coalesce(s.l || s.r, '') AS beside) FROM f{x} f LEFT JOIN {tree}s{x % levels} s ON s.k = {key} AND s.i = f.{at})")
     head = ", ".join(out)
     return f"WITH {head} SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, now AS folded_root, now = root AS verified FROM f{2 * levels}, root"
+
+
+def op12_sql() -> str:
+    """The cheapest way through the grammar, turn by turn: of each state (nothing yet, after the system turn, user or assistant expected) the least cost and audit.
+
+    A state is a text, six digits of cost and the audit, so the least text has the least cost and of those the least audit.
+    """
+    put = lambda v, cost, edit: f"lpad(CAST(CAST(left({v}, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({v}, 7) || '{edit}'"
+    inserted = lambda a, b: f"least({a}, {', '.join(put(x, 3, 'I') for x in b)})"
+    # Two turns at most are inserted at one place.
+    twice = f"""SELECT * REPLACE ({inserted('e', ['a'])} AS e, {inserted('a', 'nse')} AS a) FROM (SELECT * REPLACE ({inserted('e', ['a'])} AS e, {inserted('a', 'nse')} AS a) FROM {{}})"""
+    stay = lambda kind, x: f"CASE WHEN gone THEN NULL WHEN kind = '{kind}' THEN {put(x, '(CASE WHEN broken THEN 3 ELSE 0 END)', 'K')} ELSE {put(x, '(CASE WHEN broken THEN 6 ELSE 3 END)', 'R')} END"
+    system = f"CASE WHEN NOT gone AND kind = 's' THEN {put('n', '(CASE WHEN broken THEN 3 ELSE 0 END)', 'K')} END"
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    order = "turn NULLS FIRST, role, text, copy"
+    turn = "substr(audit, CAST(p AS INT), 1)"
+    row = "list_extract(lines, CAST(length(replace(substr(audit, 1, CAST(p AS INT)), 'I', '')) AS INT))"
+    place = "(length(replace(substr(audit, 1, CAST(p AS INT) - 1), 'D', '')) - length(replace(audit, 'D', '')) % 2)"
+    role = f"CASE WHEN {place} % 2 = 0 THEN 'user' ELSE 'assistant' END"
+    line = f"CASE {turn} WHEN 'I' THEN {role} || ':' WHEN 'R' THEN {role} || ':' || {row}.text ELSE {row}.role || ':' || {row}.text END"
+    return f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, {text('role')} AS role, {text('text')} AS text, {sql_crc32(f"({text('conv_id')} || ':' || {text('turn')})")} % 20 AS f FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM r WHERE f <> 0),
+o AS (SELECT *, left(role, 1) AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY {order}) > 1 AS again, rtrim(text, {blanks}) AS bare FROM d),
+t AS (SELECT *, bare = '' OR again AS gone, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS broken, lag(kind) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count_if(bare = '') AS BIGINT) AS blank, CAST(count_if(bare <> '' AND again) AS BIGINT) AS duplicate, CAST(count_if(broken) AS BIGINT) AS truncated, CAST(count_if(before IS NOT NULL AND before || kind NOT IN ('su', 'ua', 'au')) AS BIGINT) AS illegal,
+  count(*) AS turns, list({{'role': role, 'text': text}} ORDER BY i) AS lines FROM t GROUP BY 1),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000' AS n, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS e, CAST(NULL AS VARCHAR) AS a FROM g
+  UNION ALL SELECT conv_id, i, {put('n', 4, 'D')}, least({put('s', 4, 'D')}, {system}), least({put('e', 4, 'D')}, {stay('a', 'a')}), least({put('a', 4, 'D')}, {stay('u', 'n')}, {stay('u', 's')}, {stay('u', 'e')})
+  FROM (SELECT x.*, t.i AS i, kind, gone, broken FROM (SELECT * EXCLUDE (i), i AS done FROM ({twice.format('w')})) x JOIN t ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.i = x.done + 1)),
+z AS (SELECT conv_id, least(n, e) AS v FROM ({twice.format('(SELECT w.* FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND i = turns)')})),
+q AS (SELECT g.*, CAST(left(v, 6) AS BIGINT) AS cost, substr(v, 7) AS audit FROM g JOIN z ON g.conv_id IS NOT DISTINCT FROM z.conv_id),
+p AS (SELECT *, sha256(coalesce(array_to_string(list_transform(list_filter(range(1, length(audit) + 1), lambda p: {turn} <> 'D'), lambda p: {line}), chr(10)), '')) AS repaired_sha256 FROM q)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

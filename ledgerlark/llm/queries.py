@@ -139,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL, "op5_vectors": oracle.OP5_SQL, "op6_decontamination": oracle.OP6_SQL, "op8_neardup": oracle.OP8_SQL, "op10_licenses": oracle.op10_sql(), "op13_merkle": oracle.op13_sql()}
+    return {"op3_preferences": OP3_SQL, "op5_vectors": oracle.OP5_SQL, "op6_decontamination": oracle.OP6_SQL, "op8_neardup": oracle.OP8_SQL, "op10_licenses": oracle.op10_sql(), "op12_repair": oracle.op12_sql(), "op13_merkle": oracle.op13_sql()}

@@ -3,6 +3,8 @@ import random
 import re
 import zlib
 
+import duckdb
+
 from ledgerlark.llm import queries, repair
 
 EDITS = {"D": 4, "I": 3, "K": 0, "R": 3}
@@ -98,6 +100,9 @@ def test_query_equals_a_repair_by_hand(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).selectExpr("*", "1 as cost", "'x' as key").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: tuple(r)[1:] for r in queries.op12_repair(spark, str(tmp_path)).collect()}
     assert got == by_hand(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op12_repair"]).fetchall()} == got
     assert got[gone] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
 
 
