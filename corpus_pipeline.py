@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontaminate, langid, neardup, packing, pii
 from ledgerlark.llm.queries import DEMO_KEY
-from ledgerlark.llm.shared import table, written
+from ledgerlark.llm.shared import drop_written, table, written
 
 
 #: A text of so many letters whose best cosine stays below the floor is in none of the learnt languages.
@@ -75,5 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "written_path"):  # nothing reads what the stage before wrote any more
+            drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
