@@ -61,3 +61,17 @@ def test_many_notices_in_one_text(spark):
     assert got[0] == dict.fromkeys(notices, 1.0)
     assert {k: v for k, v in got[1].items() if k in ("apache-2.0", "mit", "bsd")} == {"apache-2.0": 1.0, "mit": 1.0, "bsd": 1.0}
     assert got[2]["mit"] == got[2]["bsd"] == 1.0
+
+
+def test_versions_and_identifiers_are_told_apart(spark):
+    texts = {
+        "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "apache-2.0": "// SPDX-License-Identifier: Apache-2.0",
+    }
+    rows = licenses.scan(docs(spark, [(k, t, None, None) for k, t in enumerate(texts.values())])).collect()
+    for r, label in zip(sorted(rows, key=lambda r: r.doc_id), texts):
+        found = {f.label: f.score for f in r.found}
+        assert label in found and found[label] > 0.99 and not {"agpl-3.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1"} - {label} & set(found), (label, found)
