@@ -426,7 +426,7 @@ def bulk_csv_rows(spark, sf_dir):
     path = scratch(spark, "evidence")
     rows.write.options(header=True, compression="gzip", escape='"').csv(f"{path}/csv")
     files.write_evidence(spark, {"subsidy": f"{path}/csv"}, spark.range(1), {}, f"{path}/audit")  # bytes for bytes, so it reads as the files themselves
-    return files.read_bulk_csv(spark, f"{path}/audit/subsidy").selectExpr("cast(id as long) as id", "cast(sourceRowNumber as long) as n", "cell")
+    return files.read_bulk_csv(spark, f"{path}/audit/subsidy", parts=True).selectExpr("cast(id as long) as id", "cast(sourceRowNumber as long) as n", "cell")
 
 
 @query("""SELECT CAST(sum(e) AS BIGINT) AS eligible, CAST(sum(i) AS BIGINT) AS imported, CAST(sum(e) - sum(i) AS BIGINT) AS gap, CAST(sum(n) AS BIGINT) AS dashboard, CAST(sum(n) - sum(e) AS BIGINT) AS difference, CASE WHEN sum(n) = sum(e) THEN 'matched' ELSE 'different' END AS status

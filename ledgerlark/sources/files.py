@@ -11,22 +11,24 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..functions.registry import GateError
 from . import scanner
+from .storage import drop, hadoop_path
 
 # Headers of the dashboard's table, in order.
 DASHBOARD_HEADERS = ["", "省庁", "財務情報", "特許情報", "届出・認定・行政処分情報", "補助金情報", "調達情報", "表彰情報", "職場情報"]
 ADOPTIONS = "props struct<pageProps: struct<count: string, total: bigint, listView: array<struct<id: string, name: string, address: string, subsidy: string, year: string, times: string, plan: string>>>>"
 
 
-def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bulk_csv(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """All columns as strings plus sourceRowNumber, from 2 on, of a file or a folder of files; rows of another width are refused.
 
-    Files are split and read by many tasks (`scanner`); one pass checks them and finds where their rows begin.
+    Files are split and read by many tasks (`scanner`); one pass checks them and finds where their rows begin. With `parts`,
+    `path` is a folder that `write_lines` wrote, which gives the rows of the files themselves.
     """
-    made = scanner.layout(spark, path)
+    made = scanner.layout(spark, path, parts)
     names = [header_cell(x) for x in made.header]
     if len(set(names)) != len(names):
         raise GateError("duplicate header")
-    return scanner.scan(spark, path, made, names)
+    return scanner.scan(spark, path, made, names, parts)
 
 
 def header_cell(x: str | None) -> str:
@@ -91,13 +93,31 @@ def write_dataset(records: DataFrame, metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")
 
 
+def write_lines(spark: SparkSession, source: str, path: str) -> None:
+    """The lines of a file or a folder of files as they are, below `path`, gzipped in parts that follow one another: a part for each range of each file, files in the order of their paths.
+
+    The reader deals files to tasks by size, so parts are told apart by file and range, and a rename puts them in order.
+    """
+    held = scanner.lines(spark, source).withColumn("at__", F.monotonically_increasing_id()).sortWithinPartitions("file", "block", "at__").drop("at__")
+    held.write.partitionBy("file", "block").option("maxRecordsPerFile", 0).mode("errorifexists").option("lineSep", "\n").option("compression", "gzip").text(f"{path}/_parts")
+    number = {file: n for n, (file, _) in enumerate(sorted(scanner.paths(spark, source).items(), key=lambda x: x[1]))}
+    fs, parts = hadoop_path(spark, f"{path}/_parts")
+    below = lambda place: sorted((int(x.getPath().getName().partition("=")[2]), x.getPath()) for x in fs.listStatus(place) if x.isDirectory())
+    for file, folder in below(parts):
+        for block, (_, held_in) in enumerate(below(folder)):
+            [part] = [x.getPath() for x in fs.listStatus(held_in) if x.getPath().getName().startswith("part-")]
+            if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{scanner.part_name(number[file], block)}")):
+                raise GateError(f"a part of {source} could not be named")
+    drop(spark, f"{path}/_parts")
+
+
 def write_evidence(spark: SparkSession, raw: dict[str, str], corrections: DataFrame, snapshot: dict, path: str) -> None:
-    """Evidence of a run below `path`: the lines of each kind's file as they are, gzipped in parts that follow one another, the corrections, and the snapshot.
+    """Evidence of a run below `path`: the lines of each kind's file or files as they are (`write_lines`), the corrections, and the snapshot.
 
-    Lines end with a newline alone, carriage returns stay in them, so the unzipped parts are the file's bytes; a missing last newline is added.
+    Lines end with a newline alone, carriage returns stay in them, so the unzipped parts are the files' bytes; a missing last newline is added.
     """
     for kind, source in raw.items():
-        spark.read.option("lineSep", "\n").text(source).write.mode("errorifexists").option("lineSep", "\n").option("compression", "gzip").text(f"{path}/{kind}")
+        write_lines(spark, source, f"{path}/{kind}")
     corrections.write.mode("errorifexists").json(f"{path}/corrections")
     spark.createDataFrame([json.dumps(snapshot)], "string").coalesce(1).write.mode("errorifexists").text(f"{path}/snapshot")
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,29 @@ SUMS = "file long, block long, odd boolean, head string, " + ", ".join(f"{name}{
 ROW = "sourceRowNumber"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def part_name(file: int, block: int) -> str:
+    """Name of a stored part; names sort as their files and ranges do."""
+    return f"part-{file:08}-{block:08}.txt.gz"
+
+
+def place(parts: bool) -> tuple[Column, Column]:
+    """(file, block) of what is read: its path and the first byte of the range, or, with `parts`, what the names of stored parts say."""
+    path = F.col("_metadata.file_path")
+    if not parts:
+        return path, F.col("_metadata.file_block_start")
+    return F.regexp_replace(path, "-[0-9]{8}[.]txt[.]gz$", ""), F.regexp_extract(path, "-([0-9]{8})[.]txt[.]gz$", 1).cast("long")
+
+
+def lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """value, file (a hash of its path) and block (the first byte of the range) of each line; ranges are as long as the session splits files."""
-    return spark.read.option("lineSep", "\n").text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    file, block = place(parts)
+    return spark.read.option("lineSep", "\n").text(path).select("value", F.xxhash64(file).alias("file"), block.alias("block"))
+
+
+def paths(spark: SparkSession, path: str, parts: bool = False) -> dict[int, str]:
+    """Path of each file by its hash."""
+    file, _ = place(parts)
+    return {r["file"]: r["path"] for r in spark.read.format("binaryFile").load(path).select(F.xxhash64(file).alias("file"), file.alias("path")).distinct().collect()}
 
 
 def cells(row: str) -> list[str]:
@@ -120,15 +140,16 @@ class Layout:
     rows: int
 
 
-def layout(spark: SparkSession, path: str) -> Layout:
+def layout(spark: SparkSession, path: str, parts: bool = False) -> Layout:
     """Fold the sums of all ranges, by file and first byte; a breach of the contract raises GateError.
 
     Refused are: an empty file, quotes left open at the end of a file, files with different headers, and a row that has
     another number of cells than the header, a blank line among them. A row for each range reaches the driver.
-    Row numbers go on from file to file; the first header is 1, those of further files have no number.
+    Row numbers go on from file to file; the first header is 1, those of further files have no number. With `parts`, parts of a
+    file (`part_name`) are its ranges.
     """
-    files = {r["file"]: r["path"] for r in spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path")).collect()}
-    sums = {(r["file"], r["block"]): r for r in lines(spark, path).mapInArrow(summed, SUMS).collect()}
+    files = paths(spark, path, parts)
+    sums = {(r["file"], r["block"]): r for r in lines(spark, path, parts).mapInArrow(summed, SUMS).collect()}
     if empty := sorted(set(files) - {file for file, _ in sums}, key=files.get) or ([None] if not files else []):
         raise GateError(f"{files.get(empty[0], path)} is empty")
     header, starts, number, widths = None, {}, 1, {}
@@ -157,7 +178,7 @@ def layout(spark: SparkSession, path: str) -> Layout:
     return Layout(header, starts, number - 2)
 
 
-def scan(spark: SparkSession, path: str, made: Layout, names: list[str]) -> DataFrame:
+def scan(spark: SparkSession, path: str, made: Layout, names: list[str], parts: bool = False) -> DataFrame:
     """All rows of a file or a folder of files as string columns, with sourceRowNumber, from 2 on without gaps in the order of files.
 
     `made` is their layout, which has checked the contract. Every range is a task's own work; where the range
@@ -165,7 +186,7 @@ def scan(spark: SparkSession, path: str, made: Layout, names: list[str]) -> Data
     lines and one row.
     """
     starts, width = made.starts, len(made.header)
-    held = lines(spark, path)
+    held = lines(spark, path, parts)
 
     def parse(batches: Iterator[pa.RecordBatch], pieces: bool) -> Iterator[tuple[int, int, str]]:
         """(number, block, text) of whole rows, or of the pieces of rows that reach over an end of their range."""
@@ -208,7 +229,7 @@ def scan(spark: SparkSession, path: str, made: Layout, names: list[str]) -> Data
     rows = held.mapInArrow(whole, schema)
     if any(quoted and not skip for quoted, _, skip in starts.values()):
 
-        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for number, block, text in parse(batches, True):
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([block]), pa.array([text])], ["number", "block", "text"])
 
@@ -216,6 +237,6 @@ def scan(spark: SparkSession, path: str, made: Layout, names: list[str]) -> Data
             for b in batches:
                 yield from batched((n, cells(t)) for n, t in zip(*(b.column(k).to_pylist() for k in range(2))))
 
-        cut = held.mapInArrow(parts, "number long, block long, text string").groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        cut = held.mapInArrow(cuts, "number long, block long, text string").groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
         rows = rows.unionByName(cut.mapInArrow(joined, schema))
     return rows.toDF(*names, ROW)

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pytest
@@ -81,3 +82,20 @@ def test_files_of_a_folder_have_one_header(split, tmp_path):
     (tmp_path / "b.csv").write_text("a,c\n1,2\n")
     with pytest.raises(GateError, match="another header"):
         files.read_bulk_csv(split, str(tmp_path))
+
+
+def test_evidence_keeps_files_and_their_order(split, tmp_path):
+    """A folder's small first file and large later ones, which the reader deals to tasks by size."""
+    folder, raw = tmp_path / "csv", []
+    folder.mkdir()
+    for n, rows in enumerate((1, 30, 3, 60, 0, 12)):
+        raw.append("h1,h2\n" + "".join(f'{n}-{k},"two\nlines, ""{k}"""\n' if k % 3 else f"{n}-{k},\n" for k in range(rows)))
+        (folder / f"f{n}.csv").write_text(raw[-1])
+    for name, size in (("small", "40"), ("whole", "100000")):
+        split.conf.set("spark.sql.files.maxPartitionBytes", size)
+        files.write_lines(split, str(folder), f"{tmp_path}/{name}")
+        parts = sorted((tmp_path / name).glob("part-*.gz"))
+        assert b"".join(gzip.decompress(p.read_bytes()) for p in parts).decode() == "".join(raw) and (len(parts) > 6) == (name == "small")
+        got = sorted(map(tuple, files.read_bulk_csv(split, f"{tmp_path}/{name}", parts=True).collect()))
+        assert got == sorted(map(tuple, files.read_bulk_csv(split, str(folder)).collect())) and sorted(r[2] for r in got) == list(range(2, 108))
+        assert [r[0] for r in sorted(got, key=lambda r: r[2])] == [f"{n}-{k}" for n, rows in enumerate((1, 30, 3, 60, 0, 12)) for k in range(rows)]
