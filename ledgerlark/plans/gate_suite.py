@@ -400,15 +400,15 @@ def escaped_hash(spark, sf_dir):
 SNAPSHOTS = {"csvRetrievedAt": "2026-01-02T00:00:00Z"} | {kind: {"sha256": "0" * 64, "bytes": 1, "filename": f"{kind}.csv"} for kind in R.STAGES}
 
 
-def published_site(spark, sf_dir) -> str:
-    """The bulk rows of orders, imported and published; the folder of the version."""
-    records = imported(spark, sf_dir).records.where("sourceKey != ''").withColumn("sourceSystem", F.lit("s"))
-    return site.publish(records, scratch(spark, "site"), "one", "2026-01-02T03:04:05Z", "a" * 40, SNAPSHOTS)
+def published_site(spark, sf_dir, keyless: bool = False) -> str:
+    """The bulk rows of orders, imported and published, those without a key only with `keyless`; the folder of the version."""
+    records = imported(spark, sf_dir).records.where(F.lit(keyless) | (F.col("sourceKey") != "")).withColumn("sourceSystem", F.lit("s"))
+    return site.publish(records, scratch(spark, "site"), "one", "2026-01-02T03:04:05Z", "a" * 40, SNAPSHOTS, keyless)
 
 
-@query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL AND key <> ''")
+@query(f"SELECT {IMPORTED_ID} AS id, date_ AS date, amount_ AS amount, CASE WHEN amount_ IS NULL THEN amount_raw END AS \"amountRaw\", key AS \"sourceKey\" FROM {RECORD} WHERE canonical IS NOT NULL")
 def published_rows(spark, sf_dir):
-    return site.read_years(spark, published_site(spark, sf_dir)).rows.select("id", "date", "amount", "amountRaw", "sourceKey")
+    return site.read_years(spark, published_site(spark, sf_dir, keyless=True)).rows.select("id", "date", "amount", "amountRaw", "sourceKey")
 
 
 @query(f"SELECT 'commitments-' || coalesce(CAST(fy AS VARCHAR), 'unclassified') || '.json' AS file, count(*) AS n_rows, true AS listed FROM {RECORD} WHERE canonical IS NOT NULL AND key <> '' GROUP BY 1")

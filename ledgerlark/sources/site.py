@@ -118,10 +118,11 @@ def release_of(spark: SparkSession, read: Read, manifest_sha256: str, generated_
     return {"schemaVersion": 1, "commitSha": commit, "generatedAt": generated_at, "recordCount": ids["rows"], "manifestSha256": manifest_sha256, "idSetSha256": ids["set_hash"], "sourceSnapshots": {"gbiz": sources}, "files": listed}
 
 
-def publish(records: DataFrame, root: str, version: str, generated_at: str, commit: str, sources: dict) -> str:
+def publish(records: DataFrame, root: str, version: str, generated_at: str, commit: str, sources: dict, keyless: bool = False) -> str:
     """Write a version, read it back, check its rows, give it a manifest and a receipt, then flip the pointer; a failure leaves the old pointer.
 
-    sources: csvRetrievedAt, and sha256, bytes and filename of `subsidy` and `procurement`.
+    sources: csvRetrievedAt, and sha256, bytes and filename of `subsidy` and `procurement`. Rows without a key are refused, unless `keyless`
+    publishes them as well, as the index takes them.
     """
     spark, path = records.sparkSession, f"{root}/v={version}"
     n = write_years(records, path)
@@ -130,7 +131,7 @@ def publish(records: DataFrame, root: str, version: str, generated_at: str, comm
     if not ids or ids["rows"] != n or ids["repeated"]:
         raise GateError("written rows differ from the records")
     in_file = F.regexp_extract("file", "^commitments-(.*)[.]json$", 1)
-    gates.refuse(gates.verdicts(read.rows.withColumns({"file_year": in_file, "ingestSource": F.lit(R.INGEST)}), gates.public_rules()))
+    gates.refuse(gates.verdicts(read.rows.withColumns({"file_year": in_file, "ingestSource": F.lit(R.INGEST)}), gates.public_rules(keyless=keyless)))
     named = {r["file"][12:-5]: r["file"] for r in read.files.select("file").collect()}  # a row for each year
     manifest = json.dumps({"generatedAt": generated_at, "commitments": dict(sorted(named.items()))}, indent=2, ensure_ascii=False) + "\n"
     write_text(spark, f"{path}/manifest.json", manifest)

@@ -148,6 +148,14 @@ def test_files_manifest_receipt_and_pointer(spark, imported, tmp_path):
         assert site.current(spark, f"{tmp_path}/site") == path
 
 
+def test_rows_without_a_key_are_published_where_asked(spark, imported, tmp_path):
+    records = imported.records.withColumn("sourceKey", F.when(F.col("sourceKey") != "k2", F.col("sourceKey")).otherwise(""))
+    with pytest.raises(continuity.GateError, match="required fields"):
+        publish(records, tmp_path / "site")
+    path = site.publish(records.withColumn("sourceSystem", F.lit("s")), f"{tmp_path}/site", "two", "2026-01-01T00:00:00Z", "A" * 40, SNAPSHOTS, keyless=True)
+    assert sorted(r.sourceKey for r in site.read_years(spark, path).rows.collect())[0] == "" and site.current(spark, f"{tmp_path}/site") == path
+
+
 def test_sync_uses_what_it_checked(spark, imported, tmp_path):
     path = publish(imported.records, tmp_path / "site")
     done = site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "A" * 40, "now", index.build)

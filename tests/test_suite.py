@@ -21,3 +21,8 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_published_rows_hold_those_without_a_key(spark):
+    assert QUERIES["published_rows"](spark, str(DATA)).where("sourceKey = ''").count() > 0
