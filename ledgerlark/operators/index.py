@@ -20,12 +20,12 @@ from . import search
 GRAM, BUCKETS = 3, 64
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """`rows` with `rank`, from 0 on in the given order: sorted by ranges, then numbered by the numbers of rows of the ranges before.
+def ranked(rows: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """`rows` with `rank`, from 0 on in the given order: sorted by ranges, as many as given, then numbered by the numbers of rows of the ranges before.
 
     The sorted ranges are written, as their bounds are sampled and would differ from run to run.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()).withColumn("part__", F.shiftright("at__", 33))
+    placed = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()).withColumn("part__", F.shiftright("at__", 33))
     placed = written(placed, "placed")
     counts = placed.groupBy("part__").agg(F.count("*").alias("n__"))
     before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,7 +1,8 @@
 """The published site: a JSON array of public rows for each year, their manifest, a receipt of all of it, and a pointer.
 
-A file of a year is one array, so one task writes it, sorted with spills; years are written side by side. Readers hash, count
-and parse a file from one read of its bytes, and go on with the rows of that read alone: what was checked is what is used.
+The rows of all years are sorted by ranges and numbered, and a task writes a bounded number of them. A year of more rows is a folder
+under the name of its file, whose parts, one after another, are the array. Readers hash, count and parse a file or a part from one read
+of its bytes, and go on with the rows of that read alone: what was checked is what is used.
 """
 
 from __future__ import annotations
@@ -11,15 +12,16 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions.registry import GateError
-from ..operators import gates, search
+from ..operators import gates, index, search
 from . import files
 from .storage import drop, hadoop_path, scratch
 
+PART_ROWS = 100_000  # rows of a file or part, some tens of megabytes
 ROWS = "id string, fiscalYear int, date string, organization string, corporateNumber string, sourceAgency string, program string, amount long, amountRaw string, stage string, sourceKey string, sourceRowNumber long, sourceSystem string"
 
 
@@ -33,24 +35,43 @@ def file_of(year_key: Column) -> Column:
     return F.concat(F.lit("commitments-"), year_key, F.lit(".json"))
 
 
-def write_years(records: DataFrame, path: str) -> int:
+def part_of(k: int) -> str:
+    return f"part-{k:08}.json"
+
+
+def write_years(records: DataFrame, path: str, most: int = PART_ROWS) -> int:
     """`commitments-<year>.json` below `path`, which must be new, in stored order, a row a line; returns how many rows were written.
 
-    Spark writes a part for each year, which a rename gives its published name.
+    A year of more than `most` rows is a folder of that name with parts of `most` rows. Spark writes a folder for each part, which a
+    rename gives its published name.
     """
-    spark, seen = records.sparkSession, Observation()
-    rows = files.public_rows(records).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("year_key", files.year_key(F.col("fiscalYear")))
-    by = Window.partitionBy("year_key").orderBy(*search.stored_order())
-    framed = F.concat(F.when(F.lag("year_key").over(by).isNull(), "[").otherwise(","), json_row(), F.when(F.lead("year_key").over(by).isNull(), "]").otherwise(""))
-    rows.select("year_key", framed.alias("value")).write.partitionBy("year_key").option("maxRecordsPerFile", 0).mode("errorifexists").text(f"{path}/_parts")
-    fs, parts = hadoop_path(spark, f"{path}/_parts")
+    spark = records.sparkSession
+    rows = files.public_rows(records).withColumn("year_key", files.year_key(F.col("fiscalYear")))
+    counts = sorted((r["year_key"], r["count"]) for r in rows.groupBy("year_key").count().collect())  # a row for each year
+    starts, slots, names = [], [], []
+    for key, n in counts:
+        parts = -(-n // most)
+        starts.append(starts[-1] + counts[len(starts) - 1][1] if starts else 0)
+        slots.append(len(names))
+        names += [f"commitments-{key}.json" + (f"/{part_of(k)}" if parts > 1 else "") for k in range(parts)]
+    if not counts:
+        return 0
+    years = spark.createDataFrame([(key, n, start, slot) for (key, n), start, slot in zip(counts, starts, slots)], "year_key string, n__ long, start__ long, slot__ long")
+    ranked = index.ranked(rows, [F.col("year_key"), *search.stored_order()], len(names)).join(F.broadcast(years), "year_key").withColumn("at__", F.col("rank") - F.col("start__"))
+    framed = F.concat(F.when(F.col("at__") == 0, "[").otherwise(","), json_row(), F.when(F.col("at__") == F.col("n__") - 1, "]").otherwise(""))
+    placed = ranked.select((F.col("slot__") + F.floor(F.col("at__") / most)).cast("int").alias("slot"), "rank", framed.alias("value"))
+    seen = Observation()
+    dealt = placed.observe(seen, F.count(F.lit(1)).alias("n")).repartition(len(names), "slot").sortWithinPartitions("slot", "rank").drop("rank")
+    dealt.write.partitionBy("slot").option("maxRecordsPerFile", 0).mode("errorifexists").text(f"{path}/_parts")
+    fs, held = hadoop_path(spark, f"{path}/_parts")
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in fs.listStatus(parts):
+    for folder in fs.listStatus(held):
         if folder.isDirectory():
-            key = folder.getPath().getName().partition("=")[2]
+            name = names[int(folder.getPath().getName().partition("=")[2])]
             [part] = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
-            if not fs.rename(part, path_of(f"{path}/commitments-{key}.json")):
-                raise GateError(f"the file of {key} could not be named")
+            target = path_of(f"{path}/{name}")
+            if not (fs.mkdirs(target.getParent()) and fs.rename(part, target)):
+                raise GateError(f"{name} could not be named")
     drop(spark, f"{path}/_parts")
     return seen.get["n"]
 
@@ -90,15 +111,29 @@ class Read:
 def read_years(spark: SparkSession, path: str) -> Read:
     """Read all year files once: bytes, hash, rows and form come from the same bytes as the rows that are stored and used from then on.
 
-    A task holds one file, which must be below two gigabytes.
+    A task holds one file or part. Of a year in parts, the hash is that of its parts' hashes in their order, and it is an array if its parts
+    are one after another: none is missing, the first alone opens it and the last alone closes it.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "commitments-*.json").load(path)
-    parsed = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.from_json(F.col("content").cast("string"), f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ROWS.split(', ')) }>>").alias("list"))
-    flat = parsed.select("file", "bytes", "sha256", F.col("list").isNotNull().alias("is_array"), F.explode_outer("list").alias("row"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{commitments-*,part-*}.json").load(path)
+    name = lambda group: F.regexp_extract("path", "/(commitments-[^/]+[.]json)(?:/(part-[0-9]+[.]json))?$", group)
+    raw = found.select(name(1).alias("file"), name(2).alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("text")).where("file != ''")
+    ends = raw.withColumns({"head": F.when(F.col("part") != "", F.left("text", F.lit(1))), "closed": F.when(F.col("part") != "", F.col("text").rlike(r"\]\s*\z"))})
+    whole = F.when(F.col("part") == "", F.col("text")).otherwise(F.concat(F.lit("["), F.substr("text", F.lit(2)), F.when(F.col("closed"), "").otherwise("]")))
+    parsed = ends.withColumn("list", F.from_json(whole, f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ROWS.split(', ')) }>>"))
+    own = ["file", "part", "bytes", "sha256", "head", "closed", "good"]
+    flat = parsed.withColumn("good", F.col("list").isNotNull()).select(*own, F.explode_outer("list").alias("row"))
     folder = scratch(spark, "read")
     flat.write.parquet(folder)
     stored = spark.read.schema(flat.schema).parquet(folder)
-    receipts = stored.groupBy("file", "bytes", "sha256", "is_array").agg(F.count("row").alias("rows"))
+    pieces = stored.groupBy(*own).agg(F.count("row").alias("rows"))
+    listed = pieces.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.array_sort(F.collect_list(F.struct(*[c for c in own if c != "file"]))).alias("parts"))  # a name and a hash for each part
+    n, one = F.size("parts"), F.col("parts")[0]
+    follows = lambda p, k: p["good"] & (p["part"] == F.format_string("part-%08d.json", k)) & (p["head"] == F.when(k == 0, "[").otherwise(",")) & (p["closed"] == (k == n - 1))
+    single = (n == 1) & (one["part"] == "")
+    receipts = listed.select(
+        "file", "bytes", F.when(single, one["sha256"]).otherwise(F.sha2(F.array_join(F.transform("parts", lambda p: p["sha256"]), "\n"), 256)).alias("sha256"),
+        F.when(single, one["good"]).otherwise(F.forall(F.transform("parts", follows), lambda x: F.coalesce(x, F.lit(False)))).alias("is_array"), "rows",
+    )
     return Read(receipts, stored.where("row is not null").select("file", "row.*"))
 
 

@@ -156,6 +156,29 @@ def test_rows_without_a_key_are_published_where_asked(spark, imported, tmp_path)
     assert sorted(r.sourceKey for r in site.read_years(spark, path).rows.collect())[0] == "" and site.current(spark, f"{tmp_path}/site") == path
 
 
+def test_a_large_year_is_written_and_read_in_parts(spark, tmp_path):
+    """No task holds a whole year: parts of at most 40 rows follow one another as the array that a single file is."""
+    blank = [F.lit("x").alias(c) for c in ("organization", "corporateNumber", "sourceAgency", "program", "amountRaw", "stage", "sourceKey", "sourceSystem", "date")]
+    records = spark.range(230).select(F.concat(F.lit("r"), "id").alias("id"), F.when(F.col("id") < 200, F.lit(None)).otherwise(2000 + F.col("id") % 2).cast("int").alias("fiscalYear"), (F.col("id") % 7).alias("amount"), F.lit(1).alias("sourceRowNumber"), *blank)
+    assert site.write_years(records, f"{tmp_path}/parts", 40) == site.write_years(records, f"{tmp_path}/files") == 230
+    place, parts = lambda v, key: tmp_path / v / f"commitments-{key}.json", sorted((tmp_path / "parts" / "commitments-unclassified.json").glob("part-*.json"))
+    assert [p.read_text().count("\n") for p in parts] == [40] * 5 and b"".join(p.read_bytes() for p in parts) == place("files", "unclassified").read_bytes()
+    assert all(place("parts", key).read_bytes() == place("files", key).read_bytes() for key in (2000, 2001))
+    ids = [r["id"] for r in json.loads(place("files", "unclassified").read_text())]
+    assert ids == sorted((f"r{k}" for k in range(200)), key=lambda x: (-(int(x[1:]) % 7), x))
+    read, one = (site.read_years(spark, f"{tmp_path}/{v}") for v in ("parts", "files"))
+    assert sorted(map(tuple, read.rows.collect())) == sorted(map(tuple, one.rows.collect())) and read.rows.count() == 230
+    found, whole = ({r.file: r for r in x.files.collect()} for x in (read, one))
+    big = found["commitments-unclassified.json"]
+    assert (big.bytes, big.rows, big.is_array) == (sum(p.stat().st_size for p in parts), 200, True) and big.sha256 == hashlib.sha256("\n".join(hashlib.sha256(p.read_bytes()).hexdigest() for p in parts).encode()).hexdigest()
+    assert all(found[f] == whole[f] for f in whole if f != big.file) and (whole[big.file].bytes, whole[big.file].rows) == (big.bytes, 200)
+    held, form = parts[1].read_text(), lambda: {r.file: r.is_array for r in site.read_years(spark, f"{tmp_path}/parts").files.collect()}[big.file]
+    for bad in ("[" + held[1:], held.rstrip("\n") + "]\n", held[:-3], None):
+        (parts[1].parent / f".{parts[1].name}.crc").unlink(missing_ok=True)
+        parts[1].unlink() if bad is None else parts[1].write_text(bad)
+        assert form() is False
+
+
 def test_sync_uses_what_it_checked(spark, imported, tmp_path):
     path = publish(imported.records, tmp_path / "site")
     done = site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "A" * 40, "now", index.build)
