@@ -179,6 +179,22 @@ def test_a_large_year_is_written_and_read_in_parts(spark, tmp_path):
         assert form() is False
 
 
+def test_a_release_in_parts_is_verified(spark, imported, tmp_path, monkeypatch):
+    monkeypatch.setattr(site.write_years, "__defaults__", (1,))
+    records = imported.records.union(imported.records.withColumns({"id": F.concat("id", F.lit("x")), "sourceKey": F.concat("sourceKey", F.lit("x"))}))
+    path = publish(records, tmp_path / "site")
+    assert len(list((Path(path) / "commitments-2026.json").glob("part-*.json"))) == 2
+    read, receipts, facts = site.sync_facts(spark, path, "A" * 40)
+    gates.refuse(gates.sync_verdicts(read.rows, read.files, receipts, facts))
+    assert sorted((r.file, r["count"]) for r in read.rows.groupBy("file").count().collect()) == [("commitments-2026.json", 2), ("commitments-unclassified.json", 2)]
+    part = sorted((Path(path) / "commitments-2026.json").glob("part-*.json"))[1]
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_text(part.read_text().replace("乙社", "丁社"))
+    read, receipts, facts = site.sync_facts(spark, path, "A" * 40)
+    with pytest.raises(continuity.GateError, match="bytes of a file"):
+        gates.refuse(gates.sync_verdicts(read.rows, read.files, receipts, facts))
+
+
 def test_sync_uses_what_it_checked(spark, imported, tmp_path):
     path = publish(imported.records, tmp_path / "site")
     done = site.sync(spark, f"{tmp_path}/site", f"{tmp_path}/index", "A" * 40, "now", index.build)
