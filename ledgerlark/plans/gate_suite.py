@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import continuity, gates, index, normalize, search, summaries, throttle
 from ..sources import adoptions, files, site
 from ..sources.storage import scratch
-from .suite import DATED, DIGIT_SUM, FISCAL, dated, query, searchable, snapshots, table
+from .suite import DATED, DIGIT_SUM, FISCAL, dated, dealt, query, searchable, snapshots, table
 
 # The bulk columns of both files, made from orders: a valid number for all but one priority, four publishers, some blanks.
 BODY = "lpad(CAST(o_custkey * 7919 AS {}), 12, '0')"
@@ -28,8 +28,7 @@ def bulk(spark, sf_dir, kind="subsidy") -> DataFrame:
         "program": "if(o_orderpriority = '2-HIGH', '　', o_orderpriority)", "amount": "if(o_orderpriority = '3-MEDIUM', '非公開', cast(floor(o_totalprice) as string) || '円')", "agency": PUBLISHERS, "key": "if(o_orderkey % 7 = 0, '', 'K' || o_orderkey)",
     } | ({"notes": "' 備考 ' || o_orderstatus"} if kind == "procurement" else {})
     more = ["'A  1' as `データ品質`"] if kind == "procurement" else []
-    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")  # the table is one file
-    return dealt.selectExpr(*[f"{value} as `{head[name]}`" for name, value in cells.items()], *more, "cast(o_orderkey + 1 as long) as sourceRowNumber")
+    return dealt(rows, "o_orderkey").selectExpr(*[f"{value} as `{head[name]}`" for name, value in cells.items()], *more, "cast(o_orderkey + 1 as long) as sourceRowNumber")
 
 
 def imported(spark, sf_dir, kind="subsidy") -> normalize.Import:
@@ -151,7 +150,7 @@ def adoption_pages(spark, sf_dir):
     total = "case k when 6 then '\"1\"' when 11 then '2' else '1' end"
     body = f"concat('{{\"props\":', if(k = 3, '[]', concat('{{\"pageProps\":{{\"count\":', if(k = 7, '\"1,00\"', if(k = 10, '\"0\"', '\"3\"')), ',\"total\":', {total}, ',\"listView\":', {listed}, '}}}}')), if(k = 2, '', '}}'))"
     html = f"case k when 0 then '<html/>' when 1 then '<p>__NEXT_DATA__</p>' else concat('<script id=''__NEXT_DATA__''>', {body}, '</script>') end"
-    pages = table(spark, sf_dir, "customer").withColumn("k", F.expr("c_custkey % 14")).select("c_custkey", F.expr(html).alias("html"))
+    pages = dealt(table(spark, sf_dir, "customer"), "c_custkey").withColumn("k", F.expr("c_custkey % 14")).select("c_custkey", F.expr(html).alias("html"))
     return adoptions.page_faults(pages, "html").select("c_custkey", "fault")
 
 
@@ -160,7 +159,7 @@ def adoption_query_echo(spark, sf_dir):
     asked = "concat('{\"page\":\"', if(k = 0, '0', '7'), '\",\"keyword\":\" ', c_name, '\",\"prefCode\":\"13\"', if(k = 4, ',\"subsidyCodes\":\"a\"', ''), '}')"
     applied = "concat('{\"keyword\":\"', if(k = 1, 'other', c_name), '\",\"prefCode\":', if(k = 2, '[\"13\",\"14\"]', '[\"13\"]'), if(k in (3, 4), ',\"subsidyCodes\":[\"a\"]', ''), '}')"
     html = f"concat('<script id=\"__NEXT_DATA__\">', '{{\"query\":', {asked}, ',\"props\":{{\"pageProps\":{{\"count\":\"0\",\"total\":1,\"listView\":[],\"query\":', {applied}, '}}}}}}</script>')"
-    pages = table(spark, sf_dir, "customer").withColumn("k", F.expr("c_custkey % 6")).select("c_custkey", F.expr(html).alias("html"))
+    pages = dealt(table(spark, sf_dir, "customer"), "c_custkey").withColumn("k", F.expr("c_custkey % 6")).select("c_custkey", F.expr(html).alias("html"))
     return adoptions.page_faults(pages, "html", with_query=True).select("c_custkey", "fault")
 
 

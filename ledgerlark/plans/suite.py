@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over all cores by `key`: the tables are single files, which one task reads up to some megabytes."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 DATED = "CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END"
 FISCAL = f"year({DATED}) - CAST(month({DATED}) <= 3 AS INT)"
 

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import ledgerlark.plans.gate_suite  # noqa: F401, registers more queries
 from ledgerlark.plans.suite import QUERIES, SQL
@@ -26,3 +27,10 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 def test_published_rows_hold_those_without_a_key(spark):
     assert QUERIES["published_rows"](spark, str(DATA)).where("sourceKey = ''").count() > 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["adoption_pages", "adoption_query_echo"])
+def test_pages_are_judged_by_many_tasks(spark, name):
+    rows = QUERIES[name](spark, str(DATA)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) == spark.sparkContext.defaultParallelism > 1
